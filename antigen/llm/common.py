@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +37,19 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterat
         start = stop
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder of spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
-def drop_checkpoint(df: DataFrame) -> None:
-    """Lets go of a checkpointed frame; Spark's cleaner removes the files where it is configured to."""
-    df.unpersist()
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes the frame as Parquet into the shared folder and reads it back, so that a lost executor
+    costs no earlier step."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
