@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from antigen.llm.byte_bpe import op7_byte_bpe
+from antigen.llm.line_dedup import op5_line_dedup
+from antigen.llm.mixing import op6_mixing
 from antigen.llm.near_dedup import op10_near_dedup
 from antigen.llm.token_counts import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
 }
