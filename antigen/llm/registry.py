@@ -7,16 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from antigen.llm.byte_bpe import op7_byte_bpe
+from antigen.llm.language_id import op9_language_id
 from antigen.llm.line_dedup import op5_line_dedup
 from antigen.llm.mixing import op6_mixing
 from antigen.llm.near_dedup import op10_near_dedup
+from antigen.llm.toxicity import op2_toxicity
+from antigen.llm.span_dedup import op4_span_dedup
 from antigen.llm.token_counts import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_span_dedup": op4_span_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
 }
 
