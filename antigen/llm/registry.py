@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from antigen.llm.ann import op1_ann
 from antigen.llm.byte_bpe import op7_byte_bpe
+from antigen.llm.exact_topk import OP8_SQL, op8_exact_topk
 from antigen.llm.language_id import op9_language_id
 from antigen.llm.line_dedup import op5_line_dedup
 from antigen.llm.mixing import op6_mixing
@@ -16,14 +18,16 @@ from antigen.llm.span_dedup import op4_span_dedup
 from antigen.llm.token_counts import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_span_dedup": op4_span_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_exact_topk": op8_exact_topk,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_exact_topk": OP8_SQL}
