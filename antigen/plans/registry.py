@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from antigen.plans import data_queries, run_queries
+
+QUERIES: dict = {**data_queries.QUERIES, **run_queries.QUERIES}
+ORACLES: dict[str, str] = {**data_queries.ORACLES, **run_queries.ORACLES}
