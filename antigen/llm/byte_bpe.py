@@ -5,16 +5,16 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from antigen.llm.common import by_bytes, table
 
-#: Distinct chunks whose ids a worker keeps; past it the memo starts anew, which changes speed only.
-MEMO_CHUNKS = 300_000
+#: Distinct pieces whose ids a worker keeps, twice at most; it changes speed only.
+MEMO_PIECES = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -41,56 +41,49 @@ def merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
 
 
 class ByteBpe:
-    """Encodes texts to ids by the ranks, and decodes ids to bytes. Chunks between blanks are encoded once."""
+    """Encodes texts to ids by the ranks, and decodes ids to bytes. Each match of the pattern is encoded by itself,
+    and equal matches once."""
 
     def __init__(self, content: bytes, pattern: str):
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         ranks, chars = read_ranks(content), byte_characters()
         spell = {t: "".join(map(chars.__getitem__, t)) for t in ranks}
         merges = [tuple(spell[p] for p in merge_of(t, ranks)) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
         model = models.BPE({spell[t]: n for t, n in ranks.items()}, merges, ignore_merges=True)
         self.tokenizer = Tokenizer(model)
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         back = {c: b for b, c in enumerate(chars)}
         self.bytes_of = {n: bytes(map(back.__getitem__, spell[t])) for t, n in ranks.items()}
-        self.memo: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Cuts a text before each blank that begins a run of white space. No match of the pattern spans such a
-        place and none looks past it, so the chunks' ids in a row are the ids of the text."""
-        first, *rest = text.split(" ")
-        out = [first] if first else []
-        for word in rest:
-            if out and not out[-1][-1].isspace():
-                out.append(" " + word)
-            elif out:
-                out[-1] += " " + word
-            else:
-                out.append(" " + word)
-        return out
+        self.pieces = regex.compile(pattern).findall
+        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def decode(self, ids) -> bytes:
         """The bytes of the ids; characters that tokens share are whole again once their tokens stand side by side."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def encode(self, texts: list[str | None]) -> list[list[tuple[tuple[int, ...], str, bytes]]]:
-        """For each text its chunks, each as ids, the same in decimal, and the bytes that they decode to."""
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo = {}
-        parts = [self.chunks(t) if t else [] for t in texts]
-        seen: set[str] = set()
-        for p in parts:
-            seen.update(p)
-        new = [c for c in seen if c not in self.memo]
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes the pieces that are new. When the memo is full, what was used since the last time stays."""
+        if len(self.memo) > MEMO_PIECES:
+            self.memo, self.older = {}, self.memo
+        new = []
+        for piece in pieces:
+            if piece not in self.memo:
+                if piece in self.older:
+                    self.memo[piece] = self.older[piece]
+                else:
+                    new.append(piece)
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = tuple(found.ids)
-                self.memo[chunk] = ids, " ".join(map(str, ids)), self.decode(ids)
+            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                ids = found.ids
+                self.memo[piece] = " ".join(map(str, ids)), self.decode(ids)
+
+    def encode(self, texts: list[str | None]) -> list[list[tuple[str, bytes]]]:
+        """For each text its pieces, each as ids in decimal and as the bytes that they decode to."""
+        parts = [self.pieces(t) if t else [] for t in texts]
+        self.learn(set().union(*parts))
         return [list(map(self.memo.__getitem__, p)) for p in parts]
 
 
@@ -130,7 +123,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                 texts = batch.column("text").to_pylist()
                 ids, starts, chars = [], [], []
                 for text, parts in zip(texts, own.encode(texts)):
-                    flat = list(chain.from_iterable(p[0] for p in parts))
+                    flat = [int(i) for p in parts for i in p[0].split()]
                     sizes = np.array([len(own.bytes_of[i]) for i in flat], np.int64)
                     at = np.cumsum(sizes) - sizes
                     ids.append(flat)
@@ -177,9 +170,10 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
             for batch in by_bytes(whole, "text"):
                 counts, of_ids, of_bytes = [], [], []
                 for parts in own.encode(batch.column("text").to_pylist()):
-                    counts.append(sum(len(p[0]) for p in parts))
-                    of_ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                    of_bytes.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
+                    ids = " ".join([p[0] for p in parts])
+                    counts.append(ids.count(" ") + 1 if ids else 0)
+                    of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
+                    of_bytes.append(hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
                     ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
