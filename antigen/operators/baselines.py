@@ -45,12 +45,16 @@ def _path_length(n: np.ndarray | float):
 def isolation_scores(train: DataFrame, rows: DataFrame, features: list[str], key: str, trees: int = 50, seed: int = 42) -> DataFrame:
     """(key, score): Liu, Ting and Zhou's isolation score, higher for rows that few cuts isolate. Each tree is grown in a task of
     its own from at most TREE_ROWS rows; all trees are a few thousand nodes."""
-    share = TREE_ROWS * trees * 1.5 / max(1, train.count())
-    dealt = train.where(uniform_hash(seed, key) < share * 2.0**32).withColumn("tree", (uniform_hash(seed + 1, key) % trees).cast("int"))
+    # each tree samples its rows by a hash of its own; rows that no tree can take are left out first
+    n = train.count()
+    share = min(1.0, 1.2 * TREE_ROWS / max(1, n))
+    some = min(1.0, 2 * share * trees)
+    under = lambda s, p, *ids: uniform_hash(s, key, *ids) < p * 2.0**32
+    dealt = train.where(under(seed, some)).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(under(seed + 1, share / some, "tree"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(pdf["tree"].iloc[0])])
-        x = pdf.sort_values(key)[features].to_numpy(float)[:TREE_ROWS]
+        x = rng.permutation(pdf.sort_values(key)[features].to_numpy(float))[:TREE_ROWS]
         limit, nodes, stack = int(np.ceil(np.log2(max(2, len(x))))), [], [(np.arange(len(x)), 0, -1, False)]
         while stack:
             own, depth, parent, right = stack.pop()
@@ -70,7 +74,7 @@ def isolation_scores(train: DataFrame, rows: DataFrame, features: list[str], key
 
     grown = dealt.groupBy("tree").applyInPandas(grow, "tree int, node int, f int, cut double, lo int, hi int, depth double").toPandas()  # trees times 2 * TREE_ROWS nodes
     forest = [g.sort_values("node")[["f", "cut", "lo", "hi", "depth"]].to_numpy(float) for _, g in grown.groupby("tree")]
-    norm = float(_path_length(TREE_ROWS))
+    norm = float(_path_length(max(2, min(TREE_ROWS, n))))
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

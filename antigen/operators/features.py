@@ -95,10 +95,12 @@ def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
         reach = F.least(*full) if len(full) > 1 else full[0]
         far = F.when(F.col("k") == kk, reach) if far is None else far.when(F.col("k") == kk, reach)
     radius = sized.withColumn("r", far).select("feature", "id", "x", "ny", "k", "r")
-    # kind orders events of one place: the start of an interval lies behind the points at it, its end before them
+    # just under the radius, so that the neighbour at it stays out in spite of rounding; kind orders events of one place:
+    # an interval begins before the points there and ends behind them
+    radius = radius.withColumn("r", F.col("r") * (1 - 1e-9))
     points = radius.select("feature", F.col("x").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("id"))
-    starts = radius.select("feature", (F.col("x") - F.col("r")).alias("at"), F.when(F.col("r") > 0, 2).otherwise(0).alias("kind"), F.lit(0).alias("one"), "id")
-    ends = radius.select("feature", (F.col("x") + F.col("r")).alias("at"), F.when(F.col("r") > 0, 0).otherwise(2).alias("kind"), F.lit(0).alias("one"), "id")
+    starts = radius.select("feature", (F.col("x") - F.col("r")).alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("one"), "id")
+    ends = radius.select("feature", (F.col("x") + F.col("r")).alias("at"), F.lit(2).alias("kind"), F.lit(0).alias("one"), "id")
     mark = lambda df, s: df.withColumn("sign", F.lit(s))
     events = mark(points, 0).union(mark(starts, -1)).union(mark(ends, 1))
     run = events.withColumn("c", F.sum("one").over(Window.partitionBy("feature").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)))
