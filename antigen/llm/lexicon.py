@@ -30,6 +30,17 @@ class Trie:
             node["stem" if is_stem else "term"] = (text, weight)
             if not is_stem:
                 self.longest = max(self.longest, len(text) + edits_allowed(text))
+        # of e + 1 parts of a term, e edits leave one whole: the first, the last or one between
+        starts, middles, ends = set(), set(), set()
+        for text, is_stem, _ in entries:
+            if not is_stem and (e := edits_allowed(text)):
+                cut = [len(text) * i // (e + 1) for i in range(e + 2)]
+                parts = [re.escape(text[a:b]) for a, b in zip(cut, cut[1:])]
+                starts.add(parts[0])
+                ends.add(parts[-1])
+                middles.update(parts[1:-1])
+        gates = ["^(?:" + "|".join(sorted(starts)) + ")"] * bool(starts) + ["(?:" + "|".join(sorted(middles)) + ")"] * bool(middles) + ["(?:" + "|".join(sorted(ends)) + ")$"] * bool(ends)
+        self.gate = re.compile("|".join(gates)) if gates else re.compile(r"(?!)")
 
     def exact(self, word: str) -> tuple[str, float, int] | None:
         """The heaviest stem that the word begins with or the term that it is."""
@@ -78,6 +89,6 @@ class Trie:
         if found is None:
             short = STRETCHED.sub(r"\1", word)
             found = self.exact(short) if short != word else None
-            if found is None and 4 <= len(short) <= self.longest:
+            if found is None and 4 <= len(short) <= self.longest and self.gate.search(short):
                 found = self.near(short)
         return found
