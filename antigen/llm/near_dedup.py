@@ -33,6 +33,8 @@ HOT_SHARE = 0.3
 #: Estimates of a similarity of 0.75 from 64 values have a deviation of 0.054; this lies over five below.
 LEAST_ESTIMATE = 0.45
 BLOCK = 512
+#: Hot values by which texts meet: linked ones share each with a chance over 0.54, so 16 fail once in 250,000 links.
+CHAIN = 16
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -197,9 +199,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = checkpoint(candidate_pairs(reps, postings))
 
     hot = postings.where("n > size_limit")
-    shares = hot.groupBy("rep").agg(F.count("*").alias("n_hot"), F.min("n_shingles").alias("size"))
-    mostly = shares.where(F.col("n_hot") > HOT_SHARE * F.least("size", F.lit(SKETCH))).select("rep")
-    pool = checkpoint(hot.join(mostly, "rep").select("rep", "value", "n_shingles"))
+    # linked texts share over half of their hot values, so each one's smallest few suffice to meet
+    few = F.slice(F.sort_array(F.collect_list("value")), 1, CHAIN).alias("few")
+    shares = hot.groupBy("rep", "n_shingles").agg(F.count("*").alias("n_hot"), few)  # a sketch's rows
+    mostly = shares.where(F.col("n_hot") > HOT_SHARE * F.least("n_shingles", F.lit(SKETCH)))
+    pool = checkpoint(mostly.select("rep", "n_shingles", F.explode("few").alias("value")))
 
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(pool.select("rep")).distinct()
     needed = needed.join(reps, "rep").select("rep", "text_hash")  # an id that is repeated may have several texts
