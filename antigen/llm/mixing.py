@@ -110,7 +110,8 @@ def taken_pieces(placed: DataFrame, drawn: DataFrame, block_words: int = BLOCK_W
         F.greatest(F.col("start") - base, F.lit(0)).alias("lo"), F.least(F.col("start") + F.col("size") - base, F.lit(block_words)).alias("hi"),
         F.greatest(base - F.col("start"), F.lit(0)).alias("word"),
     )
-    met = pieces.join(drawn, F.col("of").eqNullSafe(F.col("source")) & (F.col("index") == F.col("block")))
+    # the planner takes the unfolded draws for as small as the sources that they come from
+    met = pieces.join(drawn.hint("merge"), F.col("of").eqNullSafe(F.col("source")) & (F.col("index") == F.col("block")))
     words = F.least("hi", "take") - F.least("lo", "take")
     return met.select("source", "start", "shard", "draw", "pass", "word", words.alias("words")).where("words > 0")
 
