@@ -241,6 +241,22 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return kept.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not predicted toxic. Rows pass through the scoring task, so
+    that no join has to bring scores and texts together."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key = str(id(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = scorer(key, shared.value)
+        for whole in batches:
+            for batch in by_bytes(whole, text_col):
+                x = np.array([own.features(t) for t in batch.column(text_col).to_pylist()], np.float64).reshape(-1, 5)
+                yield batch.filter(pa.array(scores(x, own.model) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))

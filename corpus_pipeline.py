@@ -13,7 +13,7 @@ from antigen.llm.common import shared_folder, table
 from antigen.llm.line_dedup import dedup_lines
 from antigen.llm.mixing import mixed_texts
 from antigen.llm.near_dedup import near_duplicates
-from antigen.llm.toxicity import fit, toxicity
+from antigen.llm.toxicity import fit, without_toxic
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,14 +25,7 @@ def with_length(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents scored 0.5 or more by a model of the labelled ones among `docs`."""
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity_filter(docs, model)
-
-
-def toxicity_filter(docs: DataFrame, model) -> DataFrame:
-    """A text's hash stands for the text, so that only ids and hashes meet the documents again."""
-    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    bad = toxicity(keyed.select("_key", "text"), model, id_col="_key").where("predicted = 1").select(F.col("_key").alias("_bad"))
-    return keyed.join(bad.distinct(), F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").select(*COLUMNS)
+    return without_toxic(docs.select(*COLUMNS), model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
