@@ -14,6 +14,7 @@ from antigen.llm.line_dedup import op5_line_dedup
 from antigen.llm.mixing import op6_mixing
 from antigen.llm.near_dedup import op10_near_dedup
 from antigen.llm.toxicity import op2_toxicity
+from antigen.llm.oracles import OP5_SQL, OP10_SQL
 from antigen.llm.span_dedup import op4_span_dedup
 from antigen.llm.token_counts import op3_token_counts
 
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op8_exact_topk": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL, "op10_near_dedup": OP10_SQL}
