@@ -44,9 +44,10 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def axes_for(rows: int, width: int) -> list[int]:
-    """How many axes each rotation of a table offers, so that buckets hold about BUCKET_ROWS rows."""
+    """How many axes each rotation of a table offers, so that buckets hold about BUCKET_ROWS rows. Another rotation comes in
+    only once its eight signed axes are wanted, as buckets that are too small lose neighbours."""
     left, out = max(8.0, rows / BUCKET_ROWS), []
-    while left > 1.5 or not out:
+    while left >= 8:
         n = 4
         while n < width and 2 * n < left:
             n *= 2
@@ -55,6 +56,14 @@ def axes_for(rows: int, width: int) -> list[int]:
     return out
 
 
+def probes_for(axes: list[int]) -> int:
+    """Buckets that a query probes: PROBES, times three quarters of the signed axes of each further rotation, 12 at most."""
+    total = PROBES
+    for n in axes[1:]:
+        total *= min(12, -(-3 * n // 2))
+    return total
+
+
 def rotated(x: np.ndarray, width: int, index: int, axes: list[int]) -> list[np.ndarray]:
     """For each rotation of a table the inner products with its signed axes."""
     out = []
@@ -105,7 +114,7 @@ def hashed(rows: DataFrame, sizes: dict[int, tuple[int, float, float]], queries:
                         fill = np.zeros_like(norms) if queries else np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))
                         unit = np.concatenate([unit if queries else x / longest, fill], axis=1)
                     axes = axes_for(n, 1 << (unit.shape[1] - 1).bit_length())
-                    per = [buckets(unit, t, axes, PROBES if queries else 1) for t in range(TABLES)]
+                    per = [buckets(unit, t, axes, probes_for(axes) if queries else 1) for t in range(TABLES)]
                     codes = np.concatenate(per, axis=1)
                     tables = np.repeat(np.arange(TABLES), [p.shape[1] for p in per])
                     at = pa.array(np.repeat(own, codes.shape[1]))
