@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from antigen.llm.common import by_bytes, checkpoint, table
 from antigen.llm.shingles import mix, word_hashes
 
-#: Consecutive sentences in a run, and words that a run has at least, so that a few short ones don't count.
+#: Consecutive sentences and words that a run has at least.
 RUN, LEAST_WORDS = 3, 12
-#: A longer sentence is cut every so many words, so that a passage of one long sentence is a run as well.
-LONGEST = 16
+#: A longer sentence is cut at the word of the least hash in each CUT words, wherever it begins, so that a passage of it is a
+#: run as well. A passage of 50 words so holds a run, whatever stands around it.
+LONGEST, CUT = 10, 8
 #: A sentence ends after its stop and white space, or with its line.
 SENTENCE = re.compile(rb"[^\n]*?(?:[.!?\xe2\x80\xa6][\"')\]]*(?=[ \t\r\n])|\n|$)[ \t\r]*\n*", re.S)
-_WEIGHTS = mix(np.arange(1, RUN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_WEIGHTS = mix(np.arange(1, LEAST_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def units(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,10 +33,17 @@ def units(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.array([m.end() for m in SENTENCE.finditer(raw) if m.end() > m.start()], np.int64)
     sentence = np.searchsorted(ends, at, side="right")
     new = np.flatnonzero(np.diff(sentence, prepend=-1))
-    within = np.arange(len(words)) - np.repeat(new, np.diff(new, append=len(words)))
-    first = np.flatnonzero(within % LONGEST == 0)
+    length = np.diff(new, append=len(words))
+    # each window within a long sentence cuts before its least word, the last of equal ones
+    inside = np.arange(len(words)) - np.repeat(new, length) + CUT <= np.repeat(length, length)
+    window = np.flatnonzero(inside & np.repeat(length > LONGEST, length))
+    least, cut = words[window + CUT - 1], window + CUT - 1
+    for i in range(CUT - 2, -1, -1):
+        less = words[window + i] < least
+        least, cut = np.where(less, words[window + i], least), np.where(less, window + i, cut)
+    first = np.union1d(new, cut)
     counts = np.diff(first, append=len(words))
-    place = (within % LONGEST).astype(np.uint64)
+    place = (np.arange(len(words)) - np.repeat(first, counts)).astype(np.uint64)
     hashes = mix(np.add.reduceat(mix(words + place * np.uint64(0xD6E8FEB86659FD93)), first))
     starts = at[first].copy()
     starts[0] = 0
@@ -43,16 +51,21 @@ def units(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The positions at which a run of enough words starts, and its hash."""
-    last = len(hashes) - RUN + 1
-    if last <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total, words = np.zeros(last, np.uint64), np.zeros(last, np.int64)
-    for i in range(RUN):
-        total += hashes[i : i + last] * _WEIGHTS[i]
-        words += counts[i : i + last]
-    at = np.flatnonzero(words >= LEAST_WORDS)
-    return at, mix(total)[at].view(np.int64)
+    """The places of the runs, and their hashes: from each unit the shortest run of enough units and words, and the
+    shortest that ends with each unit, so that a passage's end is in a run. A place is 16 times the position plus the
+    number of units, which is LEAST_WORDS at most as each has a word."""
+    n, total = len(hashes), np.concatenate([[0], np.cumsum(counts)])
+    start = np.arange(n)
+    end = np.maximum(start + RUN, np.searchsorted(total, total[:-1] + LEAST_WORDS))
+    stop = start + 1
+    back = np.minimum(stop - RUN, np.searchsorted(total, total[1:] - LEAST_WORDS, side="right") - 1)
+    place = np.unique(np.concatenate([(start * 16 + end - start)[end <= n], (back * 16 + stop - back)[back >= 0]]))
+    start, size = place >> 4, place & 15
+    out = np.zeros(len(place), np.uint64)
+    for i in range(LEAST_WORDS):
+        of = np.flatnonzero(size > i)
+        out[of] += hashes[start[of] + i] * _WEIGHTS[i]
+    return place, mix(out).view(np.int64)
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -84,6 +97,9 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text are one document and get the same result. Null texts stay null, texts of fewer sentences than a run stay as
     they are, an empty table gives no rows, other columns are not read. A text may become empty; its row stays."""
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    texts = own.where("text is not null").groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"))
+    if texts.where("lo <> hi").isEmpty():  # ids tell the texts apart, so that each run is spared eight random bytes
+        own = own.withColumn("text_hash", F.when(F.col("text").isNotNull(), F.lit(0).cast("long")))
     found = checkpoint(spans(own.where("text is not null")))
     # one partial row for each run and task goes to the shuffle; a run's place as one sortable value keeps this cheap
     place = F.struct("doc_id", "text_hash", "pos")
@@ -102,7 +118,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     starts, _, _ = units(raw)
                     covered = np.zeros(len(starts), bool)
                     for p in at or ():
-                        covered[p : p + RUN] = True
+                        covered[p >> 4 : (p >> 4) + (p & 15)] = True
                     if covered.any():
                         ends = np.append(starts[1:], len(raw))
                         text = b"".join(raw[a:b] for a, b, c in zip(starts, ends, covered) if not c).decode()

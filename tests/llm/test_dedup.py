@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
+import pytest
 
 from antigen.llm import near_dedup
 from antigen.llm.components import connected_components
@@ -125,6 +127,33 @@ def test_span_dedup_of_one_long_sentence(spark):
     assert got[1] == rows[0][1] and "w30" not in got[2] and "Quite another start." in got[2] and "And its end." in got[2]
 
 
+def test_span_dedup_of_short_sentences_and_prefixes(spark):
+    rng = np.random.default_rng(3)
+    slogans = "\n".join(" ".join(f"S{n}" for n in rng.integers(0, 9999, k)) + "!!" for k in rng.integers(1, 4, 40))
+    bare = " ".join(f"w{n}" for n in rng.integers(0, 9999, 80))
+    rows = [(1, f"First one here. {slogans}\nMore of it."), (2, f"Another start.\n{slogans}\nAn end."), (3, f"a b c {bare} d"), (4, f"e f g h i j k {bare} l m n")]
+    got = {r.doc_id: r.text for r in dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1]
+    assert got[2] == "Another start.\nAn end."
+    assert not passages(got[4]) & passages(bare) and "e f g" in got[4] and "l m n" in got[4]
+
+
+def passages(text: str) -> set:
+    words = WORD.findall(text.lower())
+    return {tuple(words[i : i + 50]) for i in range(len(words) - 49)}
+
+
+def test_span_dedup_leaves_no_passage_of_50_words(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    rows = spark.read.parquet(path).where("doc_id < 10000 and doc_id % 2 = 0 or doc_id in (3139, 1386, 9122)").select("doc_id", "text")
+    seen: dict = {}
+    for r in sorted(dedup_spans(rows).collect(), key=lambda r: r.doc_id):
+        for p in passages("".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "")):
+            assert seen.setdefault(hash(p), r.doc_id) == r.doc_id, (r.doc_id, p)
+
+
 def test_blocks_agree_with_sets():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(30)]
