@@ -2,12 +2,14 @@
 
 Vectors are turned by fast Hadamard pseudo-rotations (three rounds of random signs and a Walsh-Hadamard transform); the
 nearest signed axis is a vector's bucket, and more than one rotation is used in a table where one has too few axes. A query
-probes its best buckets of every table. Rows and queries of a bucket meet in one task, in parts of bounded size, which
+probes its best buckets of every table. Rows of unlike length are hashed apart, in bands of length, and a query probes all
+bands. A query that finds fewer rows than it asks for meets all. Rows and queries of a bucket meet in one task, in parts of bounded size, which
 scores them exactly and returns each query's best.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ TABLES, PROBES, NEIGHBOURS = 10, 10, 20
 BUCKET_ROWS = 200
 #: Rows and queries of one bucket that meet in one task at most, on the average; larger buckets are dealt to parts.
 PART = 4096
+#: Rows of one band differ in length by this factor at most.
+BAND = 1.5
 
 
 def usable(v: str, zero: bool = False) -> Column:
@@ -93,37 +97,44 @@ def buckets(x: np.ndarray, index: int, axes: list[int], probes: int) -> np.ndarr
     return codes
 
 
-def hashed(rows: DataFrame, sizes: dict[int, tuple[int, float, float]], queries: bool) -> DataFrame:
-    """(dim, tbl, bucket, vec_id, v): a row for each table, and for queries for each probe. Rows are made unit vectors for
-    hashing; where lengths differ, a further component fills all rows up to the longest, which makes the nearest unit
-    vector that of the largest inner product."""
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; dividing by the largest component first keeps squares from running over or under."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def hashed(rows: DataFrame, sizes: dict[int, dict[int, int]], queries: bool) -> DataFrame:
+    """(dim, band, tbl, bucket, vec_id, v): a row for each table, and for queries for each band and probe. `sizes` has the
+    rows of each length and band. Only directions are hashed, as lengths within a band are alike. A band of so few rows that
+    all its buckets would be probed is one bucket of one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                ids, lists = batch.column("vec_id"), batch.column("v").to_pylist()
+                ids, lists, bands = batch.column("vec_id"), batch.column("v").to_pylist(), batch.column("band").to_numpy(zero_copy_only=False)
                 dims = np.array([len(v) for v in lists])
                 for dim in np.unique(dims):
-                    own = np.flatnonzero(dims == dim)
-                    x = np.array([lists[i] for i in own], np.float64)
-                    n, shortest, longest = sizes[int(dim)]
-                    norms = np.linalg.norm(x, axis=1, keepdims=True)
-                    unit = x / norms
-                    if shortest < 0.999 * longest:
-                        fill = np.zeros_like(norms) if queries else np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))
-                        unit = np.concatenate([unit if queries else x / longest, fill], axis=1)
-                    axes = axes_for(n, 1 << (unit.shape[1] - 1).bit_length())
-                    per = [buckets(unit, t, axes, probes_for(axes) if queries else 1) for t in range(TABLES)]
-                    codes = np.concatenate(per, axis=1)
-                    tables = np.repeat(np.arange(TABLES), [p.shape[1] for p in per])
-                    at = pa.array(np.repeat(own, codes.shape[1]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(codes.size, dim, np.int32)), pa.array(np.tile(tables, len(own)).astype(np.int32)), pa.array(codes.ravel()), ids.take(at), batch.column("v").take(at)],
-                        ["dim", "tbl", "bucket", "vec_id", "v"],
-                    )
-
-    return rows.mapInArrow(run, "dim int, tbl int, bucket long, vec_id long, v array<double>")
+                    for band, n in sizes[int(dim)].items():
+                        own = np.flatnonzero((dims == dim) & (queries | (bands == band)))
+                        if not len(own):
+                            continue
+                        axes = axes_for(n, 1 << (int(dim) - 1).bit_length())
+                        if len(axes) == 1 and 2 * axes[0] <= PROBES:
+                            per = [np.zeros((len(own), 1), np.int64)]
+                        else:
+                            x = unit(np.array([lists[i] for i in own], np.float64))
+                            per = [buckets(x, t, axes, probes_for(axes) if queries else 1) for t in range(TABLES)]
+                        codes = np.concatenate(per, axis=1)
+                        tables = np.repeat(np.arange(len(per)), [p.shape[1] for p in per])
+                        at = pa.array(np.repeat(own, codes.shape[1]))
+                        number = lambda k: pa.array(np.full(codes.size, k, np.int32))
+                        yield pa.RecordBatch.from_arrays(
+                            [number(dim), number(band), pa.array(np.tile(tables, len(own)).astype(np.int32)), pa.array(codes.ravel()), ids.take(at), batch.column("v").take(at)],
+                            ["dim", "band", "tbl", "bucket", "vec_id", "v"],
+                        )
+
+    return rows.mapInArrow(run, "dim int, band int, tbl int, bucket long, vec_id long, v array<double>")
 
 
 def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -156,11 +167,19 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: st
     score. Empty tables give no rows; other columns are not read."""
     pick = lambda df: df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
     own, asked = pick(rows), pick(queries)
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    sizes = {r["dim"]: (r["n"], r["lo"], r["hi"]) for r in own.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.min(length).alias("lo"), F.max(length).alias("hi")).collect()}  # a row a length
-    known = asked.where(F.size("v").isin(*sizes)) if sizes else asked.limit(0)
-    index, probes = checkpoint(hashed(own, sizes, False)), checkpoint(hashed(known, sizes, True))
-    key = ["dim", "tbl", "bucket"]
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    # the logarithm of the length; the largest component apart, as squares may run over
+    length = F.log(largest) + F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))) / 2
+    own = own.withColumn("dim", F.size("v")).withColumn("length", length)
+    longest = {r["dim"]: r["hi"] for r in own.groupBy("dim").agg(F.max("length").alias("hi")).collect()}  # a row a length
+    top = F.create_map(*(F.lit(c) for pair in longest.items() for c in pair))[F.col("dim")] if longest else F.lit(0.0)
+    own = own.select("vec_id", "v", "dim", F.floor((top - F.col("length")) / math.log(BAND)).cast("int").alias("band"))
+    sizes: dict[int, dict[int, int]] = {}
+    for r in own.groupBy("dim", "band").agg(F.count("*").alias("n")).collect():  # a row a length and band
+        sizes.setdefault(r["dim"], {})[r["band"]] = r["n"]
+    known = (asked.where(F.size("v").isin(*sizes)) if sizes else asked.limit(0)).withColumn("band", F.lit(0))
+    index, probes = checkpoint(hashed(own.drop("dim"), sizes, False)), checkpoint(hashed(known, sizes, True))
+    key = ["dim", "band", "tbl", "bucket"]
     parts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / PART).alias(name))
     both = parts(index, "parts").join(parts(probes, "qparts"), key)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -174,10 +193,27 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: st
         found = best_of(ids[~asks], x[~asks], ids[asks], x[asks], k) if asks.any() and not asks.all() else ([], [], [])
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    met = left.union(right).groupBy(*key, "part", "qpart").applyInArrow(meet, "query_id long, vec_id long, score double")
-    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(pairs: DataFrame) -> DataFrame:
+        met = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    result = "query_id long, vec_id long, score double"
+    found = checkpoint(ranked(left.union(right).groupBy(*key, "part", "qpart").applyInArrow(meet, result)))
+    count = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    rows_of = {d: sum(n.values()) for d, n in sizes.items()}
+    wanted = F.least(F.lit(k), F.create_map(*(F.lit(c) for pair in rows_of.items() for c in pair))[F.size("v")] - 1) if sizes else F.lit(0)
+    few = checkpoint(known.join(count, F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < wanted).select("vec_id", "v"))
+    if few.isEmpty():
+        return found
+    # they meet all rows in blocks
+    blocks, qblocks = max(1, -(-sum(rows_of.values()) // PART)), max(1, -(-few.count() // PART))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    left = own.select("dim", place(blocks).alias("part"), all_of(qblocks).alias("qpart"), F.lit(False).alias("asks"), "vec_id", "v")
+    right = few.select(F.size("v").alias("dim"), all_of(blocks).alias("part"), place(qblocks).alias("qpart"), F.lit(True).alias("asks"), "vec_id", "v")
+    rest = left.union(right).groupBy("dim", "part", "qpart").applyInArrow(meet, result)
+    return ranked(found.select("query_id", "vec_id", "score").union(rest))
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from antigen.llm.ann import axes_for, hadamard, nearest
 from antigen.llm.exact_topk import bounds, exact_top, segment_statistics
@@ -47,6 +48,25 @@ def test_recall_and_scores(spark):
         assert hits / total > 0.9
 
 
+def test_recall_of_skewed_lengths(spark):
+    n, dim = 40000, 64
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, dim))[rng.integers(0, 200, n)] + 0.5 * rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one = x.copy()
+    one[7] *= 20
+    for x in (one, x * rng.lognormal(size=(n, 1))):
+        df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+        got: dict = {}
+        for r in nearest(df, df.where("vec_id % 400 = 0")).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        hits = 0
+        for i in range(0, n, 400):
+            assert len(got[i]) == 20
+            hits += len({w[0] for w in best(np.arange(n), x, i, 20)} & set(got[i]))
+        assert hits / 2000 > 0.95, hits
+
+
 def test_few_candidates_ties_and_empty(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in (3, 1, 2, 0)], "vec_id long, embedding array<double>")
     got = nearest(df, df.where("vec_id = 0")).collect()
