@@ -26,8 +26,8 @@ LEVELS = (4, 16)
 ROWS, QUERIES = 4096, 4096
 #: Rows against which each query finds its first k-th best score; any rows give a right bound.
 PIVOTS = 1024
-#: Scaled components lie under this, so that scores of up to 1024 components fit a long.
-LARGEST = 1 << 26
+#: Scores lie between this and its negative; it stands for all that are less.
+LEAST_LONG = -(1 << 63)
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,8 +35,8 @@ def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.nda
     edges = np.linspace(0, x.shape[1], min(segments, x.shape[1]) + 1).astype(int)
     sizes = np.diff(edges)
     sums = np.add.reduceat(x, edges[:-1], axis=1)
-    squares = np.add.reduceat(x * x, edges[:-1], axis=1)
-    return sums / np.sqrt(sizes), np.sqrt(np.maximum(0, squares - sums * sums / sizes))
+    rest = x - np.repeat(sums / sizes, sizes, axis=1)  # not a difference of squares, which loses digits of large values
+    return sums / np.sqrt(sizes), np.sqrt(np.add.reduceat(rest * rest, edges[:-1], axis=1))
 
 
 def bounds(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -45,14 +45,23 @@ def bounds(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles where they and all partial sums stay under 2^53, else in 64-bit integers."""
-    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < 2**53:
+    """Exact inner products: in doubles where they and all partial sums stay under 2^53, in 64-bit integers under 2^62, else
+    in Python's. One that is over a long raises an error, as the best score of its query is then as well; one that is
+    under it becomes LEAST_LONG, which is an error only where it is among the best."""
+    reach = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1]
+    if reach < 2**53:
         return (x @ q).astype(np.int64)
-    return x.astype(np.int64) @ q.astype(np.int64)
+    if reach < 2**62 and max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)) < 2**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    asks = [int(v) for v in q]
+    score = [sum(int(v) * a for v, a in zip(row, asks)) for row in x]
+    if max(score, default=0) >= 1 << 63:
+        raise OverflowError("a score exceeds a long")
+    return np.array([max(n, LEAST_LONG) for n in score], np.int64)
 
 
 def top(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score))[:k]
+    return np.lexsort((ids, ~score))[:k]  # the complement orders as the negative does, and no long overflows
 
 
 def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -64,10 +73,10 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     for start in range(0, len(q), 256):
         coarse = bounds(tuple(s[start : start + 256] for s in asks[0]), rows[0])
         for i in range(start, min(len(q), start + 256)):
-            near = np.flatnonzero((coarse[i - start] + room[i] >= least[i]) & (ids != query_ids[i]))
+            near = np.flatnonzero(~(coarse[i - start] + room[i] < least[i]) & (ids != query_ids[i]))  # a NaN drops none
             for level in range(1, len(LEVELS)):
                 fine = rows[level][0][near] @ asks[level][0][i] + rows[level][1][near] @ asks[level][1][i]
-                near = near[fine + room[i] >= least[i]]
+                near = near[~(fine + room[i] < least[i])]
             score = products(x[near], q[i])
             best = top(ids[near], score, k)
             out[0].extend([int(query_ids[i])] * len(best))
@@ -80,11 +89,15 @@ def exact_top(rows: DataFrame, queries: DataFrame, k: int = BEST, scale: int = S
     """(query_id, rank, vec_id, score): for each query the k rows with the largest inner product of the vectors of
     floor(scale * x), ties to the smaller id, without rows of its own id.
 
-    Vectors that are null, empty or hold a null, NaN or infinite component (or one of 2^26 or more after scaling), and rows
-    with a null id, take no part; zero vectors do. Rows of another length than a query's are no candidates of it. Rows that
+    Vectors that are null, empty or hold a null, NaN or infinite component, and rows with a null id, take no part; zero
+    vectors do. A best score beyond a long, or a component beyond a double after scaling, is an error. Rows of another length than a query's are no candidates of it. Rows that
     repeat an id count once, by their best score. Empty tables give no rows; other columns are not read."""
-    scaled = lambda c: F.transform(c.cast("array<double>"), lambda x: F.when(F.abs(x) < LARGEST / scale, F.floor(x * scale).cast("double")))
-    pick = lambda df: df.select(df[id_col].cast("long").alias("vec_id"), scaled(df[vector_col]).alias("v")).where(F.col("vec_id").isNotNull() & usable("v", zero=True))
+    # doubles from 2^53 on are whole, and floor gives a long
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).when(F.abs(y) < float("inf"), y).otherwise(F.raise_error(F.lit("a scaled component exceeds a double")).cast("double"))
+    pick = lambda df: (
+        df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("x"))
+        .select("vec_id", F.when(F.col("vec_id").isNotNull() & usable("x", zero=True), F.transform("x", lambda x: whole(x * scale))).alias("v")).where("v is not null")
+    )
     own, asked = checkpoint(pick(rows)), pick(queries)
     sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # PIVOTS rows
     pivots: dict[int, tuple[list, list]] = {}
@@ -121,7 +134,8 @@ def exact_top(rows: DataFrame, queries: DataFrame, k: int = BEST, scale: int = S
     met = left.union(right).groupBy("dim", "block", "qblock").applyInArrow(meet, "query_id long, vec_id long, score long")
     met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.when(F.col("score") > LEAST_LONG, F.col("score")).otherwise(F.raise_error(F.lit("a score exceeds a long")).cast("long"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from antigen.llm.ann import axes_for, hadamard, nearest
 from antigen.llm.exact_topk import bounds, exact_top, segment_statistics
@@ -74,6 +75,22 @@ def test_few_candidates_ties_and_empty(spark):
     assert nearest(df.limit(0), df).count() == 0 and nearest(df, df.limit(0)).count() == 0
 
 
+def test_exact_top_keeps_large_components(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1e6, 3.5]), (3, [-3e5, 1e5]), (4, [2.0**24, 1.0]), (5, [-(2.0**60), 0.0]), (6, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_top(df.where("vec_id < 5"), df.where("vec_id in (1, 2)"), 3).collect()}
+    scaled = {i: [int(256 * v) for v in x] for i, x in rows}
+    for q in (1, 2):
+        want = sorted((-sum(a * b for a, b in zip(scaled[i], scaled[q])), i) for i in range(1, 5) if i != q)
+        assert [got[q, k] for k in (1, 2, 3)] == [(i, -n) for n, i in want]
+    one = exact_top(df.where("vec_id in (2, 3, 5, 6)"), df.where("vec_id = 2"), 2).collect()  # 5 is far under a long and not asked for
+    assert sorted(r.vec_id for r in one) == [3, 6]
+    over = spark.createDataFrame([(9, [2.0**50, 1.0])], df.schema)
+    for few in (df.where("vec_id in (2, 5)"), df.where("vec_id = 2").union(over)):
+        with pytest.raises(Exception, match="exceeds a long"):
+            exact_top(few, df.where("vec_id = 4"), 3).collect()
+
+
 def test_exact_top(spark):
     df, ids, x = table(spark)
     whole = np.floor(256 * x)
