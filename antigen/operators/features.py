@@ -83,10 +83,10 @@ def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
 
     In each feature and class, sorted by value, the radius is the distance to the k-th nearest neighbour of the class; then
     all points strictly within the radius are counted by sorting the points with the interval ends. Classes of one row are
-    left out. A window holds one feature of a bounded sample (see class_cap)."""
+    left out. A window sorts one feature's rows in one task."""
     sized = long.withColumn("ny", F.count("*").over(Window.partitionBy("feature", "y"))).where("ny > 1")
-    sized = sized.withColumn("k", F.least(F.lit(k), F.col("ny") - 1)).withColumn("id", F.monotonically_increasing_id())
-    own = Window.partitionBy("feature", "y").orderBy("x", "id")
+    sized = sized.withColumn("k", F.least(F.lit(k), F.col("ny") - 1))
+    own = Window.partitionBy("feature", "y").orderBy("x")
     far = None
     for kk in range(1, k + 1):
         reach = F.lit(None).cast("double")
@@ -94,22 +94,24 @@ def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
         full = [F.when((F.lag("x", j).over(own).isNotNull() if j else F.lit(True)) & (F.lead("x", kk - j).over(own).isNotNull() if kk - j else F.lit(True)), s) for j, s in enumerate(spans)]
         reach = F.least(*full) if len(full) > 1 else full[0]
         far = F.when(F.col("k") == kk, reach) if far is None else far.when(F.col("k") == kk, reach)
-    radius = sized.withColumn("r", far).select("feature", "id", "x", "ny", "k", "r")
+    # rows of one value and class share the radius, and are counted; no row needs a number, which could change when recomputed
+    same = ["feature", "x", "ny", "k", "r"]
+    radius = sized.withColumn("r", far).groupBy(*same).agg(F.count("*").alias("w"))
     # just under the radius, so that the neighbour at it stays out in spite of rounding; kind orders events of one place:
     # an interval begins before the points there and ends behind them
     radius = radius.withColumn("r", F.col("r") * (1 - 1e-9))
-    points = radius.select("feature", F.col("x").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("id"))
-    starts = radius.select("feature", (F.col("x") - F.col("r")).alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("one"), "id")
-    ends = radius.select("feature", (F.col("x") + F.col("r")).alias("at"), F.lit(2).alias("kind"), F.lit(0).alias("one"), "id")
+    points = radius.select(*same, "w", F.col("x").alias("at"), F.lit(1).alias("kind"), F.col("w").alias("one"))
+    none = F.lit(0).cast("long").alias("one")
+    starts = radius.select(*same, "w", (F.col("x") - F.col("r")).alias("at"), F.lit(0).alias("kind"), none)
+    ends = radius.select(*same, "w", (F.col("x") + F.col("r")).alias("at"), F.lit(2).alias("kind"), none)
     mark = lambda df, s: df.withColumn("sign", F.lit(s))
     events = mark(points, 0).union(mark(starts, -1)).union(mark(ends, 1))
     run = events.withColumn("c", F.sum("one").over(Window.partitionBy("feature").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)))
-    near = run.where("sign <> 0").groupBy("feature", "id").agg(F.sum(F.col("sign") * F.col("c")).alias("m"))
+    m = run.where("sign <> 0").groupBy(*same).agg(F.sum(F.col("sign") * F.col("c")).alias("m"), F.min("w").alias("w"))
     psi = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i) * F.when(n > 1, 1.0).otherwise(0.0) - 0.5772156649015329
-    m = near.join(radius.select("id", "ny", "k"), "id")
     # digamma of each distinct count once
-    n_all = m.groupBy("feature").agg(F.count("*").alias("N"))
-    parts = m.groupBy("feature", "m", "ny", "k").agg(F.count("*").alias("w")).join(n_all, "feature")
+    n_all = m.groupBy("feature").agg(F.sum("w").alias("N"))
+    parts = m.groupBy("feature", "m", "ny", "k").agg(F.sum("w").alias("w")).join(n_all, "feature")
     out = parts.groupBy("feature").agg((psi(F.max("N")) + F.sum(F.col("w") * (psi(F.col("k")) - psi(F.col("ny")) - psi(F.col("m")))) / F.max("N")).alias("mi"))
     return out.select("feature", F.greatest("mi", F.lit(0.0)).alias("mi"))
 

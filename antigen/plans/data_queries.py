@@ -368,8 +368,7 @@ def mrmr(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mi_knn")
 def mi_knn(spark: SparkSession, d: str) -> DataFrame:
-    sample = sampling.class_cap(V.flows(spark, d), 20000, 42)
-    return X.knn_information(X.melted(sample, ["y"], ["quantity", "price", "discount", "tax"])).withColumn("mi", F.round("mi", 9))
+    return X.knn_information(X.melted(V.flows(spark, d), ["y"], V.FEATURES)).withColumn("mi", F.round("mi", 9))
 
 
 @query("spearman", f"""WITH {V.EMB}, r AS (SELECT vec_id, rank() OVER (ORDER BY e00) + (count(*) OVER (PARTITION BY e00) - 1) / 2.0 AS a, rank() OVER (ORDER BY e01) + (count(*) OVER (PARTITION BY e01) - 1) / 2.0 AS b FROM emb) SELECT round(corr(a, b), 9) AS rho FROM r""")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from antigen.plans import registry
+from antigen.operators import features
+from antigen.plans import registry, views
 from tests.oracle import SF, connect, differences
 
 
@@ -21,6 +22,15 @@ def test_query(spark, con, name):
         assert not differences(got, con.execute(registry.ORACLES[name]).df())
 
 
+def test_mi_knn_uses_all_rows_and_features(spark, monkeypatch):
+    seen = []
+    whole = features.knn_information
+    monkeypatch.setattr(features, "knn_information", lambda long, k=3: (seen.append(long), whole(long, k))[1])
+    got = {r.feature for r in registry.QUERIES["mi_knn"](spark, SF).collect()}
+    rows = views.flows(spark, SF).count()
+    assert got == set(views.FEATURES) and {r["count"] for r in seen[0].groupBy("feature").count().collect()} == {rows}
+
+
 def test_the_entry_stands_without_the_text_operators(tmp_path):
     import os
     import shutil
