@@ -345,8 +345,8 @@ def feature_signature(spark: SparkSession, d: str) -> DataFrame:
     return ranking(spark, d).agg(F.sha2(F.array_join(F.transform(items, lambda s: s["t"]), "|"), 256).alias("signature"))
 
 
-def pair_mi(spark: SparkSession, d: str) -> DataFrame:
-    return X.pair_information(binned_flows(spark, d).where("split = 'train'"), V.FEATURES[:6])
+def pair_mi(spark: SparkSession, d: str, features: list[str]) -> DataFrame:
+    return X.pair_information(binned_flows(spark, d).where("split = 'train'"), features)
 
 
 @query("pairwise_mi", f"""WITH {EDGES}, six AS (SELECT id, feature, x FROM bins WHERE split = 'train' AND feature IN ({', '.join(repr(f) for f in V.FEATURES[:6])})),
@@ -354,14 +354,13 @@ def pair_mi(spark: SparkSession, d: str) -> DataFrame:
   t AS (SELECT *, sum(n) OVER (PARTITION BY a, b, x) AS nx, sum(n) OVER (PARTITION BY a, b, y) AS ny, sum(n) OVER (PARTITION BY a, b) AS s FROM n)
   SELECT a, b, round(sum(n / s * ln(n * s / (nx * ny))), 9) AS mi FROM t GROUP BY 1, 2""")
 def pairwise_mi(spark: SparkSession, d: str) -> DataFrame:
-    return pair_mi(spark, d).withColumn("mi", F.round("mi", 9))
+    return pair_mi(spark, d, V.FEATURES[:6]).withColumn("mi", F.round("mi", 9))
 
 
 @query("mrmr")
 def mrmr(spark: SparkSession, d: str) -> DataFrame:
-    features = V.FEATURES[:6]
-    relevance = {r["feature"]: r["mi"] for r in information(spark, d).where(F.col("feature").isin(features)).collect()}  # features
-    redundancy = {(r["a"], r["b"]): r["mi"] for r in pair_mi(spark, d).collect()}  # features squared
+    relevance = {r["feature"]: r["mi"] for r in information(spark, d).collect()}  # features
+    redundancy = {(r["a"], r["b"]): r["mi"] for r in pair_mi(spark, d, V.FEATURES).collect()}  # features squared
     order = X.mrmr(relevance, redundancy)
     return spark.createDataFrame([(i + 1, f, relevance[f]) for i, f in enumerate(order)], "rank int, feature string, mi double")
 

@@ -31,6 +31,11 @@ def test_mi_knn_uses_all_rows_and_features(spark, monkeypatch):
     assert got == set(views.FEATURES) and {r["count"] for r in seen[0].groupBy("feature").count().collect()} == {rows}
 
 
+def test_mrmr_ranks_all_features(spark):
+    got = registry.QUERIES["mrmr"](spark, SF).collect()
+    assert {r.feature for r in got} == set(views.FEATURES) and sorted(r["rank"] for r in got) == list(range(1, 13))
+
+
 def test_the_entry_stands_without_the_text_operators(tmp_path):
     import os
     import shutil
