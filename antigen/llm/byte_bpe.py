@@ -5,16 +5,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from antigen.llm.common import by_bytes, table
+from antigen.llm.common import by_bytes, held, table
 
-#: Distinct pieces whose ids a worker keeps, twice at most; it changes speed only.
-MEMO_PIECES = 400_000
+#: Distinct pieces whose ids a worker keeps, about 25 MB; it changes speed only.
+MEMO_PIECES = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -40,61 +41,53 @@ def merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
+def vocabulary(content: bytes) -> bytes:
+    """The tokenizers library's form of a rank file: what the workers load."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    ranks, chars = read_ranks(content), byte_characters()
+    spell = {t: "".join(map(chars.__getitem__, t)) for t in ranks}
+    merges = [tuple(spell[p] for p in merge_of(t, ranks)) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
+    tokenizer = Tokenizer(models.BPE({spell[t]: n for t, n in ranks.items()}, merges, ignore_merges=True))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return tokenizer.to_str().encode()
+
+
 class ByteBpe:
     """Encodes texts to ids by the ranks, and decodes ids to bytes. Each match of the pattern is encoded by itself,
     and equal matches once."""
 
     def __init__(self, content: bytes, pattern: str):
-        from tokenizers import Tokenizer, models, pre_tokenizers
-
-        ranks, chars = read_ranks(content), byte_characters()
-        spell = {t: "".join(map(chars.__getitem__, t)) for t in ranks}
-        merges = [tuple(spell[p] for p in merge_of(t, ranks)) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
-        model = models.BPE({spell[t]: n for t, n in ranks.items()}, merges, ignore_merges=True)
-        self.tokenizer = Tokenizer(model)
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        back = {c: b for b, c in enumerate(chars)}
-        self.bytes_of = {n: bytes(map(back.__getitem__, spell[t])) for t, n in ranks.items()}
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(content.decode())
+        back = {c: b for b, c in enumerate(byte_characters())}
+        self.bytes_of = {n: bytes(map(back.__getitem__, t)) for t, n in self.tokenizer.get_vocab(False).items()}
+        self.digits_of = {n: str(n) for n in self.bytes_of}
+        self.one = {n: (n,) for n in self.bytes_of}
         self.pieces = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
     def decode(self, ids) -> bytes:
         """The bytes of the ids; characters that tokens share are whole again once their tokens stand side by side."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes the pieces that are new. When the memo is full, what was used since the last time stays."""
-        if len(self.memo) > MEMO_PIECES:
-            self.memo, self.older = {}, self.memo
-        new = []
-        for piece in pieces:
-            if piece not in self.memo:
-                if piece in self.older:
-                    self.memo[piece] = self.older[piece]
-                else:
-                    new.append(piece)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        """Encodes the pieces that are new. A memo that is full starts anew with what the present texts need."""
+        if len(self.memo) + len(pieces) > MEMO_PIECES:
+            self.memo = {p: self.memo[p] for p in pieces if p in self.memo}
+        new = [p for p in pieces if p not in self.memo]
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
             for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 ids = found.ids
-                self.memo[piece] = " ".join(map(str, ids)), self.decode(ids)
+                self.memo[piece] = self.one[ids[0]] if len(ids) == 1 else tuple(ids)
 
-    def encode(self, texts: list[str | None]) -> list[list[tuple[str, bytes]]]:
-        """For each text its pieces, each as ids in decimal and as the bytes that they decode to."""
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text."""
         parts = [self.pieces(t) if t else [] for t in texts]
         self.learn(set().union(*parts))
-        return [list(map(self.memo.__getitem__, p)) for p in parts]
-
-
-_BPES: dict[str, ByteBpe] = {}
-
-
-def bpe(content: bytes, pattern: str, key: str) -> ByteBpe:
-    """One encoder for each rank file and worker process."""
-    if key not in _BPES:
-        _BPES[key] = ByteBpe(content, pattern)
-    return _BPES[key]
+        return [list(chain.from_iterable(map(self.memo.__getitem__, p))) for p in parts]
 
 
 def character_starts(raw: bytes, starts: np.ndarray) -> np.ndarray:
@@ -105,7 +98,11 @@ def character_starts(raw: bytes, starts: np.ndarray) -> np.ndarray:
 
 def _shared(docs: DataFrame, ranks: str):
     with open(ranks, "rb") as f:
-        return docs.sparkSession.sparkContext.broadcast(f.read())  # a rank file: about 1 MB, whatever the input
+        return docs.sparkSession.sparkContext.broadcast(vocabulary(f.read()))  # of a rank file: about 1.5 MB, whatever the input
+
+
+def bpe(content: bytes, pattern: str) -> ByteBpe:
+    return held(content + pattern.encode(), lambda: ByteBpe(content, pattern))
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,13 +114,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     shared = _shared(docs, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe(shared.value, pattern, ranks)
+        own = bpe(shared.value, pattern)
         for whole in batches:
-            for batch in by_bytes(whole, "text", 1 << 20):
+            for batch in by_bytes(whole, "text"):
                 texts = batch.column("text").to_pylist()
                 ids, starts, chars = [], [], []
-                for text, parts in zip(texts, own.encode(texts)):
-                    flat = [int(i) for p in parts for i in p[0].split()]
+                for text, flat in zip(texts, own.encode(texts)):
                     sizes = np.array([len(own.bytes_of[i]) for i in flat], np.int64)
                     at = np.cumsum(sizes) - sizes
                     ids.append(flat)
@@ -146,7 +142,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
     shared = _shared(encoded, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe(shared.value, pattern, ranks)
+        own = bpe(shared.value, pattern)
         for batch in batches:
             raw = [own.decode(x or ()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -165,15 +161,14 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
     shared = _shared(docs, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe(shared.value, pattern, ranks)
+        own = bpe(shared.value, pattern)
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 counts, of_ids, of_bytes = [], [], []
-                for parts in own.encode(batch.column("text").to_pylist()):
-                    ids = " ".join([p[0] for p in parts])
-                    counts.append(ids.count(" ") + 1 if ids else 0)
-                    of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
-                    of_bytes.append(hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest())
+                for ids in own.encode(batch.column("text").to_pylist()):
+                    counts.append(len(ids))
+                    of_ids.append(hashlib.sha256(" ".join(map(own.digits_of.__getitem__, ids)).encode()).hexdigest())
+                    of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
                     ["id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from antigen.llm.common import by_bytes, checkpoint, fold, table
 
-#: Documents of each language that are fitted on, at most about so many, and languages, the most frequent first.
-LANGUAGE_SAMPLE, LANGUAGES = 1500, 200
+#: Documents of each language that are fitted on, at most about so many; and machines that are fitted at a time.
+LANGUAGE_SAMPLE, PARALLEL = 1500, 4
+#: Bytes that are counted at a time, and texts whose vectors are held at a time.
+CHUNK, ROWS = 1 << 18, 256
 BUCKETS = 2048
 #: Families of language codes (fixed values); a code that is not here is a family of its own.
 FAMILIES = {
@@ -44,18 +47,23 @@ def family_of(lang: str) -> str:
 
 
 def gram_vectors(texts: list[bytes]) -> np.ndarray:
-    """A unit vector of BUCKETS counts for each text (zero if it has no letter), over all of its bytes."""
-    raw = _FOLD[np.frombuffer(b"".join(b"  " + t + b"  " for t in texts), np.uint8)].astype(np.uint32)
-    sizes = np.array([len(t) + 4 for t in texts])
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    a, b, c = raw[:-2], raw[1:-1], raw[2:]
-    two = ((a * np.uint32(2654435761) + b * np.uint32(2246822519)) >> np.uint32(13)) % np.uint32(BUCKETS)
-    three = ((a * np.uint32(3266489917) + b * np.uint32(668265263) + c * np.uint32(374761393)) >> np.uint32(13)) % np.uint32(BUCKETS)
-    letters = (a != 32) | (b != 32)
-    at = owner[:-2][letters] * BUCKETS
-    n = len(texts) * BUCKETS
-    counts = np.bincount(at + two[letters], minlength=n) + np.bincount(at + three[letters], minlength=n)
-    x = np.sqrt(counts.reshape(len(texts), BUCKETS).astype(np.float32))
+    """A unit vector of BUCKETS counts for each text (zero if it has no letter), over all of its bytes, CHUNK at a time."""
+    whole = b"".join(b"  " + t + b"  " for t in texts)
+    ends = np.cumsum([len(t) + 4 for t in texts])
+    counts = np.zeros(len(texts) * BUCKETS, np.float32)
+    for start in range(0, len(whole) - 2, CHUNK):
+        raw = _FOLD[np.frombuffer(whole, np.uint8, min(CHUNK + 2, len(whole) - start), start)].astype(np.uint32)
+        a, b, c = raw[:-2], raw[1:-1], raw[2:]
+        letters = np.flatnonzero((a != 32) | (b != 32))
+        a, b, c = a[letters], b[letters], c[letters]
+        at = np.searchsorted(ends, start + letters, side="right") * BUCKETS
+        two = ((a * np.uint32(2654435761) + b * np.uint32(2246822519)) >> np.uint32(13)) % np.uint32(BUCKETS)
+        three = ((a * np.uint32(3266489917) + b * np.uint32(668265263) + c * np.uint32(374761393)) >> np.uint32(13)) % np.uint32(BUCKETS)
+        if len(at):
+            first = int(at[0])
+            seen = np.bincount(np.concatenate([at + two, at + three]) - first)
+            counts[first : first + len(seen)] += seen
+    x = np.sqrt(counts.reshape(len(texts), BUCKETS))
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norm > 0, norm, 1)
 
@@ -108,9 +116,9 @@ def predict(texts: list[bytes], model: Model) -> tuple[list[str], np.ndarray]:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learns from text and lang of rows off fold 0 that have a letter."""
+    """Learns from text and lang of rows off fold 0 that have a letter: all languages that occur, from a sample of each."""
     own = docs.where(F.col("lang").isNotNull() & (fold("doc_id") != 0) & F.col("text").rlike(r"\p{L}"))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()  # LANGUAGES rows
+    counts = own.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return Model([], {}, [], {})
     share = F.lit(0.0)
@@ -120,7 +128,7 @@ def fit(docs: DataFrame) -> Model:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "text", 1 << 20):
+            for batch in by_bytes(whole, "text", rows=ROWS):
                 x = gram_vectors([t.encode() for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(x), pa.list_(pa.float32()))], ["lang", "x"])
 
@@ -136,8 +144,13 @@ def fit(docs: DataFrame) -> Model:
         found = LinearSVC(maxIter=15, regParam=1e-3, standardization=False).fit(two)
         return Machine(low, high, np.array(found.coefficients.toArray(), np.float32), float(found.intercept))
 
-    between = [machine(a, b, families[a], families[b]) for a, b in combinations(sorted(families), 2)]
-    within = {f: [machine(a, b, [a], [b]) for a, b in combinations(langs, 2)] for f, langs in families.items()}
+    asked = [(a, b, families[a], families[b]) for a, b in combinations(sorted(families), 2)]
+    asked += [(a, b, [a], [b]) for langs in families.values() for a, b in combinations(langs, 2)]
+    with ThreadPool(PARALLEL) as pool:  # Spark runs the jobs of several fits side by side
+        machines = pool.starmap(machine, asked)
+    found = {(m.low, m.high): m for m in machines}
+    between = [found[p] for p in combinations(sorted(families), 2)]
+    within = {f: [found[p] for p in combinations(langs, 2)] for f, langs in families.items()}
     rows.unpersist()
     return Model(languages, families, between, within)
 
@@ -148,12 +161,12 @@ def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     `held_out` marks ids whose crc32 modulo 5 is 0 (a null id too), which are never learnt from. A text that is null or
     has no letter is `und` with score 0, and so is every text if there was nothing to learn from. Whole texts are read;
     repeated rows repeat; an empty table gives no rows; other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each pair of up to LANGUAGES languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each pair of families, and of languages of one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for batch in by_bytes(whole, "text", 1 << 20):
+            for batch in by_bytes(whole, "text", rows=ROWS):
                 texts, known = batch.column("text").to_pylist(), batch.column("known").to_pylist()
                 rows = [i for i, k in enumerate(known) if k and own.languages]
                 langs, score = ["und"] * len(texts), np.zeros(len(texts))

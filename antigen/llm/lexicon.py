@@ -11,7 +11,8 @@ STRETCHED = re.compile(r"(.)\1{2,}")
 
 
 def edits_allowed(term: str) -> int:
-    """Longer terms bear more edits; short ones would meet ordinary words."""
+    """Longer terms bear more edits (a letter more, less, changed, or swapped with the next); short ones would meet
+    ordinary words."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
@@ -30,7 +31,8 @@ class Trie:
             node["stem" if is_stem else "term"] = (text, weight)
             if not is_stem:
                 self.longest = max(self.longest, len(text) + edits_allowed(text))
-        # of e + 1 parts of a term, e edits leave one whole: the first, the last or one between
+        # of e + 1 parts of a term, e edits leave one whole (the first, the last or one between), unless letters are swapped
+        # where two parts meet: then these two stand whole with the letters swapped
         starts, middles, ends = set(), set(), set()
         for text, is_stem, _ in entries:
             if not is_stem and (e := edits_allowed(text)):
@@ -39,6 +41,10 @@ class Trie:
                 starts.add(parts[0])
                 ends.add(parts[-1])
                 middles.update(parts[1:-1])
+                for k in range(e):
+                    a, b, c = cut[k : k + 3]
+                    swapped = re.escape(text[a : b - 1] + text[b] + text[b - 1] + text[b + 1 : c])
+                    (ends if k else starts).add(swapped)
         gates = ["^(?:" + "|".join(sorted(starts)) + ")"] * bool(starts) + ["(?:" + "|".join(sorted(middles)) + ")"] * bool(middles) + ["(?:" + "|".join(sorted(ends)) + ")$"] * bool(ends)
         self.gate = re.compile("|".join(gates)) if gates else re.compile(r"(?!)")
 
@@ -70,6 +76,8 @@ class Trie:
                 text, weight = node["term"]
                 if 0 < edits <= edits_allowed(text) and (best is None or (edits, -weight, text) < (best[2], -best[1], best[0])):
                     best = (text, weight, edits)
+            if i + 1 < n and (swapped := node.get(word[i + 1], {}).get(word[i])) is not None and swapped.get("edits", 0) > edits:
+                stack.append((swapped, i + 2, edits + 1))
             if i < n:
                 same = node.get(word[i])
                 if same is not None and same.get("edits", 0) >= edits:

@@ -1,10 +1,10 @@
 """Operator 5, line dedup by winnowing over line hashes: DataFrame functions only.
 
-Lines are hashed. A line's window holds the lines that begin within its next `window_words` words, and the least hash of
-each window is a fingerprint, so every repeated run of so many words has one and a line of so many words is always one.
-Fingerprints meet by hash; each later occurrence is compared with the first, and the match is extended over the short
-lines on both sides (a longer line beyond them is a fingerprint itself). Matched runs of `window_words` words or more
-are deleted, all but the first.
+Blank lines apart, a window is the lines from a place on that first hold `window_words` words together, or those up to a
+place that last do. The least line hash of a window is its fingerprint, so every repeated run of so many words holds one
+that stands at two places at least. Positions of such fingerprints are joined, and each is extended both ways, to all
+windows around it: a window's lines are one key, its first place stays and the later ones go. Windows overlap, so
+together they delete every line of a later repeated run, however long it is and whichever earlier place it repeats.
 """
 
 from __future__ import annotations
@@ -13,82 +13,103 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from antigen.llm.common import WORD_PATTERN, table
+from antigen.llm.common import WORD_PATTERN, Steps, join_counted, table
 
 WINDOW_WORDS = 10
 
 
-def short_lines(lines: Column) -> Column:
-    """What stands before the first line of `window_words` words (null in the list) in a list of line codes."""
-    at = F.array_position(F.transform(lines, lambda x: x.isNull()), True)
-    return F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines)
-
-
-def equal_ahead(a: str, b: str) -> Column:
-    """How many items two lists share from the start."""
-    end = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    return F.when(end > 0, end - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
-
-
-def words_in(codes: str, n: Column) -> Column:
-    """The words of the first n lines; a code's last six bits hold the count."""
-    return F.aggregate(F.slice(codes, F.lit(1), n), F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(F.lit(63).cast("long")))
-
-
-def fingerprints(docs: DataFrame, window_words: int) -> DataFrame:
-    """(doc_id, text_hash, md5, pos, words, left, right) for each line that is the least of a window; left and right
-    hold codes of the short lines beside it, nearest first."""
-    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    words = F.regexp_count("line", F.lit(WORD_PATTERN))
-    lines = lines.select("doc_id", "text_hash", "pos", words.alias("words"), F.md5("line").alias("md5"), F.xxhash64("line").alias("code"))
-    code = F.when(F.col("words") < window_words, F.col("code").bitwiseAND(F.lit(-64).cast("long")).bitwiseOR(F.col("words").cast("long")))
-    lines = lines.withColumn("code", code)
-    own = Window.partitionBy("doc_id", "text_hash").orderBy("pos")
-    # collect_list drops nulls, so that codes are wrapped
-    before = F.collect_list(F.struct("code")).over(own.rowsBetween(-window_words, -1))
-    after = F.collect_list(F.struct("code")).over(own.rowsBetween(1, window_words))
-    start = F.sum(F.greatest("words", F.lit(1))).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.greatest("words", F.lit(1))
-    lines = lines.select("*", F.reverse(before).alias("before"), after.alias("after"), start.alias("start"))
-    lines = lines.withColumn("left", short_lines(F.col("before.code"))).withColumn("right", short_lines(F.col("after.code")))
-    window = Window.partitionBy("doc_id", "text_hash").orderBy("start").rangeBetween(0, window_words - 1)
-    least = F.min(F.when(F.col("words") > 0, F.struct("md5", (-F.col("pos")).alias("back"), "words", "left", "right"))).over(window)
-    chosen = lines.select("doc_id", "text_hash", least.alias("f")).where("f is not null")
-    chosen = chosen.groupBy("doc_id", "text_hash", "f.back").agg(F.first("f").alias("f"))
-    return chosen.select("doc_id", "text_hash", "f.md5", (-F.col("f.back")).alias("pos"), "f.words", "f.left", "f.right")
-
-
-def repeated_lines(docs: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
-    """(doc_id, text_hash, gone): the positions of the lines that go, for documents that lose any."""
-    found = fingerprints(docs, window_words)
-    first = found.groupBy("md5").agg(F.min(F.struct("doc_id", "text_hash", "pos", "left", "right")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(first.select("md5", "first"), "md5").where(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("pos") == F.col("first.pos")))
+def line_arrays(docs: DataFrame, window_words: int) -> DataFrame:
+    """(doc_id, text_hash, pos, words, code, code2) of a text's lines that hold a word, as arrays: the line number, the
+    words (up to the window's) and two hashes of each."""
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda x, i: F.struct(
+            i.alias("pos"), F.least(F.regexp_count(x, F.lit(WORD_PATTERN)), F.lit(window_words)).alias("words"),
+            F.xxhash64(x).alias("code"), F.xxhash64(F.lit("second"), x).alias("code2"),
+        ),
     )
-    later = later.withColumn("first_left", F.col("first.left")).withColumn("first_right", F.col("first.right"))
-    later = later.withColumn("l", equal_ahead("left", "first_left")).withColumn("r", equal_ahead("right", "first_right"))
-    later = later.where(F.col("words") + words_in("left", F.col("l")) + words_in("right", F.col("r")) >= window_words)
-    run = F.sequence(F.col("pos") - F.col("l"), F.col("pos") + F.col("r"))
-    return later.select("doc_id", "text_hash", run.alias("run")).groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("run"))).alias("gone"))
+    kept = docs.select("doc_id", "text_hash", F.filter(lines, lambda x: x["words"] > 0).alias("l")).where(F.size("l") > 0)
+    return kept.select("doc_id", "text_hash", "l.pos", "l.words", "l.code", "l.code2")
+
+
+def lines_needed(words: Column, window_words: int) -> Column:
+    """How many of the first counts in an array add up to the window's words; null if all do not."""
+    step = lambda a, w: F.when(a["words"] >= window_words, a).otherwise(F.struct((a["words"] + w).alias("words"), (a["n"] + 1).alias("n")))
+    found = F.aggregate(words, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), step)
+    return F.when(found["words"] >= window_words, found["n"])
+
+
+def windows(lines: DataFrame, window_words: int) -> DataFrame:
+    """(doc_id, text_hash, start, stop, from, to, print, place, key1, key2) for each window: its lines among those that hold
+    a word, their line numbers, its fingerprint and a hash of where that stands, and two hashes of all its lines."""
+    size = window_words + 1  # a window has so many lines less one at most
+    alone = lambda w: w >= window_words
+    ahead = F.transform("words", lambda w, i: F.when(alone(w), i * size + 1).otherwise(i * size + lines_needed(F.slice("words", i + 1, window_words), window_words)))
+
+    def behind(w: Column, i: Column) -> Column:
+        first = F.greatest(i - (window_words - 1), F.lit(0))
+        n = lines_needed(F.reverse(F.slice("words", first + 1, i - first + 1)), window_words)
+        return F.when(alone(w), i * size + 1).otherwise((i - n + 1) * size + n)
+
+    spans = F.array_compact(F.array_distinct(F.concat(ahead, F.transform("words", behind))))
+    each = lines.select("*", F.explode(spans).alias("span"))
+    start, n = F.floor(F.col("span") / size).cast("int"), F.pmod("span", F.lit(size)).cast("int")
+    each = each.withColumn("start", start).withColumn("n", n)
+    part = lambda c: F.slice(c, F.col("start") + 1, F.col("n"))
+    each = each.select(
+        "doc_id", "text_hash", "start", (F.col("start") + F.col("n")).alias("stop"), F.get("pos", F.col("start")).alias("from"), F.get("pos", F.col("start") + F.col("n") - 1).alias("to"),
+        F.array_min(part("code")).alias("print"), F.array_position(part("code"), F.array_min(part("code"))).alias("at"),
+        F.xxhash64(part("code")).alias("key1"), F.xxhash64(part("code2")).alias("key2"),
+    )
+    return each.withColumn("place", F.xxhash64("doc_id", "text_hash", F.col("start") + F.col("at"))).drop("at")
+
+
+def repeated_lines(docs: DataFrame, steps: Steps, window_words: int = WINDOW_WORDS) -> DataFrame:
+    """(doc_id, text_hash, gone): the first and last lines of the stretches that go, for documents that lose any."""
+    every = steps(windows(steps(line_arrays(docs, window_words)), window_words))
+    prints = every.groupBy("print").agg(F.count("*").alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    prints = steps(prints.where("lo <> hi").select("print", "n"))
+    found = steps(join_counted(every.drop("place"), prints, "print").drop("print", "n"))
+    place = F.struct("doc_id", "text_hash", "start")
+    first = steps(found.groupBy("key1", "key2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    later = join_counted(found, first, ["key1", "key2"]).where(~place.eqNullSafe(F.col("first")))
+    own = Window.partitionBy("doc_id", "text_hash").orderBy("start", "stop")
+    reached = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.select("doc_id", "text_hash", "start", "stop", "from", "to", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int").alias("new"))
+    later = later.withColumn("stretch", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = later.groupBy("doc_id", "text_hash", "stretch").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    return steps(whole.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("gone")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window_words: int = WINDOW_WORDS) -> DataFrame:
     """All columns of `docs`, the text without later repeated runs of lines, and n_lines and n_removed.
 
-    First is the smallest (id, text hash, position); a null id comes before all. Rows that repeat both id and text are one
-    document and get the same result. A null text stays null (no lines); an empty text has one blank line; blank lines
-    and runs of fewer words than the window stay. A text whose lines all go becomes empty; its row stays. An empty table
-    gives no rows. Input columns named n_lines or n_removed are replaced; no other name can clash."""
-    keyed = docs.withColumn("__text_hash", F.xxhash64(docs[text_col]))
-    own = keyed.where(docs[text_col].isNotNull()).select(docs[id_col].alias("doc_id"), F.col("__text_hash").alias("text_hash"), docs[text_col].alias("text"))
-    gone = repeated_lines(own, window_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("gone").alias("__gone"))
-    both = keyed.join(gone, keyed[id_col].eqNullSafe(F.col("__id")) & (keyed["__text_hash"] == F.col("__h")), "left")
-    lines = F.split(docs[text_col], "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(kept)
-    n_lines = F.when(docs[text_col].isNull(), 0).otherwise(F.size(lines)).cast("long")
+    A line goes if it stands in a run of lines, of `window_words` words or more, that also begins at an earlier place: a
+    smaller (id, text hash, line); a null id comes before all. Blank lines neither match nor part a run, and go where
+    the lines on both sides go. Rows that repeat both id and text are one document and get the same result. A null text
+    stays null (no lines); an empty text has one blank line. A text whose lines all go becomes empty; its row stays. An
+    empty table gives no rows. Input columns named n_lines or n_removed are replaced; no other name can clash."""
+    steps = Steps(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keyed = docs.select(F.struct(*names).alias("row"), docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"))
+    own = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text")).where("text is not null")
+    gone = repeated_lines(own, steps, window_words).select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), "gone")
+    both = keyed.join(gone, keyed["doc_id"].eqNullSafe(F.col("of")) & (keyed["text_hash"] == F.col("hash")), "left")
+    text = F.col("row")[text_col]
+
+    def without(lines: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["to"] + 1))
+        stops = F.concat(F.transform("gone", lambda g: g["from"]), F.array(F.size(lines)))
+        rest = F.filter(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g["a"] < g["b"])
+        return F.array_join(F.flatten(F.transform(rest, lambda g: F.slice(lines, g["a"] + 1, g["b"] - g["a"]))), "\n")
+
+    # the text is split once, as the one item of a list
+    kept = F.get(F.transform(F.array(F.split(text, "\n")), without), F.lit(0))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    removed = F.aggregate("gone", F.lit(0), lambda n, g: n + g["to"] - g["from"] + 1)
     return both.select(
-        *(text.alias(c) if c == text_col else F.col(c) for c in names), n_lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")
+        *(F.when(F.col("gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names),
+        n_lines.alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
+#: All pairs of equal lines, and the diagonals on which they follow each other.
 OP5_SQL = r"""
-WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
-l1 AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, md5(line) AS h FROM l0),
-l2 AS (SELECT *, sum(greatest(words, 1)) OVER w - greatest(words, 1) AS start, sum(words) OVER w AS total,
-  list_reverse(coalesce(list(CASE WHEN words < 10 THEN h ELSE '' END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), [])) AS b,
-  coalesce(list(CASE WHEN words < 10 THEN h ELSE '' END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), []) AS a FROM l1 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-l3 AS (SELECT *, CASE WHEN list_contains(b, '') THEN b[1:list_position(b, '') - 1] ELSE b END AS lft, CASE WHEN list_contains(a, '') THEN a[1:list_position(a, '') - 1] ELSE a END AS rgt,
-  min(CASE WHEN words > 0 THEN h || printf('%08d', 10000000 - pos) END) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS least FROM l2),
-chosen AS (SELECT DISTINCT doc_id, 10000000 - CAST(substr(least, 33) AS BIGINT) AS pos FROM l3 WHERE least IS NOT NULL),
-f AS (SELECT l3.* FROM l3 JOIN chosen USING (doc_id, pos)),
-one AS (SELECT h, doc_id AS d1, pos AS p1, lft AS l1, rgt AS r1 FROM f QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) = 1),
-m AS (SELECT f.doc_id, f.pos,
-  coalesce(list_filter(generate_series(1, greatest(len(lft), len(l1))), lambda i: lft[i] IS DISTINCT FROM l1[i])[1] - 1, len(lft)) AS l,
-  coalesce(list_filter(generate_series(1, greatest(len(rgt), len(r1))), lambda i: rgt[i] IS DISTINCT FROM r1[i])[1] - 1, len(rgt)) AS r
-  FROM f JOIN one USING (h) WHERE NOT (f.doc_id = d1 AND f.pos = p1)),
-k AS (SELECT m.* FROM m JOIN l3 lo ON lo.doc_id = m.doc_id AND lo.pos = m.pos - m.l JOIN l3 hi ON hi.doc_id = m.doc_id AND hi.pos = m.pos + m.r WHERE hi.total - lo.total + lo.words >= 10),
-gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos - l, pos + r)) AS pos FROM k)
-SELECT l1.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l1.pos) FILTER (gone.pos IS NULL), '') AS text, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(gone.pos) AS BIGINT) AS n_removed
-FROM l1 LEFT JOIN gone ON gone.doc_id = l1.doc_id AND gone.pos = l1.pos GROUP BY 1
+WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+l1 AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l0),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS idx FROM l1 WHERE words > 0),
+pairs AS (SELECT b.doc_id, b.pos, b.idx, b.words, a.doc_id AS other, b.idx - a.idx AS diagonal FROM l2 a JOIN l2 b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.idx < b.idx)),
+runs AS (SELECT *, idx - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY idx) AS run FROM pairs),
+long AS (SELECT doc_id, pos, sum(words) OVER (PARTITION BY doc_id, other, diagonal, run) AS n FROM runs),
+gone AS (SELECT DISTINCT doc_id, pos FROM long WHERE n >= 10),
+f AS (SELECT l1.*, CASE WHEN words > 0 THEN gone.pos IS NOT NULL END AS own FROM l1 LEFT JOIN gone ON gone.doc_id = l1.doc_id AND gone.pos = l1.pos),
+g AS (SELECT *, coalesce(own, coalesce(last_value(own IGNORE NULLS) OVER before, false) AND coalesce(first_value(own IGNORE NULLS) OVER after, false)) AS goes FROM f
+  WINDOW before AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '') AS text, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (goes) AS BIGINT) AS n_removed FROM g GROUP BY 1
 UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """
 

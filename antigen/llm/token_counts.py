@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from antigen.llm.common import by_bytes, table
+from antigen.llm.common import by_bytes, held, table
 
-#: Distinct words whose lengths a worker keeps; past it the memo starts anew, which changes speed only.
-MEMO_WORDS = 400_000
+#: Distinct pieces whose lengths a worker keeps, about 15 MB; past it the memo starts anew, which changes speed only.
+MEMO_PIECES = 100_000
+#: In front of ASCII white space that follows what no library takes for white space.
+CUTS = regex.compile(r"(?<=\S)(?=[ \t\r\n])")
 
 
 def split_words(text: str) -> list[str]:
-    """Cuts a text at ASCII white space. The vocabulary's normaliser drops white space and its
-    pre-tokeniser never joins across it, so counts of the words add up to the count of the text."""
+    """Cuts a text at ASCII white space, which goes."""
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+def safe_split(content: bytes) -> Callable[[str], list[str]]:
+    """How texts may be cut so that the counts of the parts add up to the count of the text, by the vocabulary's own
+    settings. Where its words never hold white space, white space itself can go; where a byte-level pattern begins anew
+    at each run of white space, a text is cut in front of them; any other vocabulary gets texts whole."""
+    spec = json.loads(content)
+    steps = lambda x, inner: x[inner] if x and x["type"] == "Sequence" else [x] if x else []
+    before, words = steps(spec["normalizer"], "normalizers"), steps(spec["pre_tokenizer"], "pretokenizers")
+    plain = all(not regex.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"])
+    if not plain or not words or spec["post_processor"]:
+        return lambda text: [text]
+    first, pattern = words[0], words[0].get("pattern", {}).get("Regex", "(?")
+    local = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"].get("Regex") == r"\s+" and n["content"] == " " for n in before)
+    if local and first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and "(?" not in pattern and not regex.search(pattern, " \t\r\n"):
+        return split_words
+    if not before and len(words) == 1 and first["type"] == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"]:
+        return CUTS.split
+    return lambda text: [text]
+
+
 class JsonCounter:
-    """Counts tokens with the tokenizers library; repeated words are encoded once."""
+    """Counts tokens with the tokenizers library; repeated pieces are encoded once."""
 
     def __init__(self, content: bytes):
         from tokenizers import Tokenizer
@@ -29,23 +51,24 @@ class JsonCounter:
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.split = safe_split(content)
         self.memo: dict[str, int] = {"": 0}
 
-    def learn(self, words: list[str], limit: int = 1 << 20) -> None:
-        """Encodes unseen words in calls of about `limit` characters."""
+    def learn(self, pieces: list[str], limit: int = 1 << 20) -> None:
+        """Encodes unseen pieces in calls of about `limit` characters."""
         start = size = 0
-        for i, word in enumerate(words):
-            size += len(word) + 16
-            if size >= limit or i == len(words) - 1:
-                part = words[start : i + 1]
+        for i, piece in enumerate(pieces):
+            size += len(piece) + 16
+            if size >= limit or i == len(pieces) - 1:
+                part = pieces[start : i + 1]
                 found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
                 self.memo.update(zip(part, map(len, found)))
                 start, size = i + 1, 0
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_PIECES:
             self.memo = {"": 0}
-        parts = [split_words(t) if t else [] for t in texts]
+        parts = [self.split(t) if t else [] for t in texts]
         seen: set[str] = set()
         for p in parts:
             seen.update(p)
@@ -65,16 +88,6 @@ class PieceCounter:
         return [len(self.processor.encode(t, num_threads=1)) if t else 0 for t in texts]
 
 
-_COUNTERS: dict[str, JsonCounter | PieceCounter] = {}
-
-
-def counter(kind: str, content: bytes, key: str) -> JsonCounter | PieceCounter:
-    """One counter for each vocabulary and worker process."""
-    if key not in _COUNTERS:
-        _COUNTERS[key] = JsonCounter(content) if kind == "json" else PieceCounter(content)
-    return _COUNTERS[key]
-
-
 def token_counts(
     docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -82,15 +95,15 @@ def token_counts(
 
     A `.json` file is read by the tokenizers library, a `.model` file by sentencepiece. A null text counts as
     empty (0 bytes, 0 tokens); a null id stays null; repeated rows give repeated rows; an empty table gives none.
-    Other columns are not read, so their names cannot clash. Texts of any length are counted whole: they are cut at
-    white space, and only a single word is ever encoded as one piece."""
-    kind = "model" if vocabulary.endswith(".model") else "json"
+    Other columns are not read, so their names cannot clash. Texts of any length are counted whole: they are cut
+    only where the vocabulary's own settings make it safe (`safe_split`)."""
+    kind = PieceCounter if vocabulary.endswith(".model") else JsonCounter
     with open(vocabulary, "rb") as f:
         content = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(content)  # a vocabulary file: a few MB, whatever the input
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(kind, shared.value, vocabulary)
+        own = held(shared.value, lambda: kind(shared.value))
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 n_tokens = pa.array(own.counts(batch.column("text").to_pylist()), pa.int64())

@@ -26,8 +26,6 @@ from antigen.llm.shingles import shingle_sets
 
 #: Labelled documents that the lexicon and the regression are fitted on, at most about so many of each class.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 4000, 8000
-#: Entries of the lexicon at most, the most telling first.
-ENTRIES = 2000
 #: Log likelihood ratio from which a term is telling: chance gives one in a million that much.
 LEAST_GAIN = 13.0
 STEM_LENGTHS = range(3, 9)
@@ -40,7 +38,8 @@ QUOTES = '"“”„«»‹›'
 QUOTED, EDIT = 0.2, 0.8
 #: Log odds from which a hit is strong by itself.
 STRONG = 4.0
-MEMO_WORDS = 500_000
+#: Distinct words that a task keeps, about 10 MB; it changes speed only.
+MEMO_WORDS = 50_000
 
 
 @dataclass
@@ -108,16 +107,6 @@ def scores(features: np.ndarray, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features @ np.array(model.weights) + model.intercept, -50, 50)))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def scorer(key: str, model: Model) -> Scorer:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
-
-
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(toxic, text): a bounded sample of labelled documents off fold 0, one of each group of near copies (texts that share
     their smallest shingle hash), so that a copied text's words don't pass for telling ones."""
@@ -192,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * share))).otherwise(0.0)
     gain = part("toxic", base) + part("clean", 1 - base)
     telling = counts.where(F.col("toxic") >= 5).withColumn("odds", odds).where((odds >= 1.5) & (gain >= LEAST_GAIN))
-    best = telling.orderBy((F.col("odds") * F.col("toxic")).desc(), "term", "is_stem").limit(ENTRIES).collect()  # ENTRIES rows
+    # terms that at least five of the sampled toxic documents hold: the sample bounds them
+    best = telling.orderBy((F.col("odds") * F.col("toxic")).desc(), "term", "is_stem").collect()
     model = Model(without_repeats([(r["term"], r["is_stem"], r["toxic"], float(r["odds"])) for r in best]))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +215,10 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     `held_out` marks ids whose crc32 modulo 5 is 0 (a null id too), which labels are never learnt from. Null, empty
     and wordless texts have no hits and get the score of none. Whole texts are read; ties don't matter, as each row
     stands for itself; repeated rows repeat; an empty table gives no rows; other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # ENTRIES terms and the words near them
-    key = str(id(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms of the sample and the words near them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(key, shared.value)
+        own = Scorer(shared.value)
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 x = np.array([own.features(t) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, 5)
@@ -243,12 +232,12 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that are not predicted toxic. Rows pass through the scoring task, so
-    that no join has to bring scores and texts together."""
+    that no join has to bring scores and texts together. Null, empty and wordless texts stay, each row is judged by its own
+    text, rows that repeat are kept or rejected alike, an empty table gives no rows, and no column name can clash."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = str(id(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(key, shared.value)
+        own = Scorer(shared.value)
         for whole in batches:
             for batch in by_bytes(whole, text_col):
                 x = np.array([own.features(t) for t in batch.column(text_col).to_pylist()], np.float64).reshape(-1, 5)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from antigen.llm import near_dedup
 from antigen.llm.components import connected_components
@@ -76,6 +77,38 @@ def test_hot_groups_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == groups(rows)
 
 
+def test_hot_texts_that_no_star_links(spark, monkeypatch):
+    """Copies of copies, each a few edits from the last: far ones are linked through those between only."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "LIST_SIZE", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rnd = random.Random(8)
+    words, rows = prose(rnd, 200).split(" "), {}
+    for i in range(40):
+        words = list(words)
+        for _ in range(2):
+            words[rnd.randrange(len(words))] = f"edit{rnd.randint(0, 9999)}"
+        rows[i] = " ".join(words)
+    passage = prose(rnd, 150)
+    rows |= {100 + i: passage + " " + prose(rnd, rnd.randint(20, 90)) for i in range(30)}
+    got = near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == groups(rows)
+
+
+def test_rows_without_near_copies(spark):
+    base, other = texts()[1], texts()[5]
+    near = base.replace(" ", "  ", 3)
+    rows = [(1, base, 0), (2, near, 1), (2, other, 2), (2, other, 3), (2, other, 3), (3, base, 4), (4, None, 5), (4, None, 5), (5, "", 6), (None, "a text of no id, more than five words", 7), (None, base, 8), (6, "", 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = sorted(((r.doc_id, r.key) for r in near_dedup.without_near_copies(d).collect()), key=str)
+    assert [k for k in got if k not in ((2, 2), (2, 3))] == sorted([(4, 5), (4, 5), (5, 6), (6, 6), (None, 7), (None, 8)], key=str)
+    assert len([k for k in got if k in ((2, 2), (2, 3))]) == 1
+    one = d.where("key in (0, 4, 1) or doc_id > 3")
+    assert sorted((r.doc_id, r.key) for r in near_dedup.without_near_copies(one).collect()) == [(1, 0), (4, 5), (4, 5), (5, 6), (6, 6)]
+    assert near_dedup.without_near_copies(d.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 70), (7, 7), (100, 50)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -104,6 +137,54 @@ def test_line_dedup_keeps_columns_and_rows(spark):
     assert dedup_lines(empty(spark)).count() == 0
 
 
+def without_repeats(rows: dict[int, str | None]) -> dict[int, str | None]:
+    """By comparing every run of lines with every earlier one."""
+    lines = {i: [(p, x) for p, x in enumerate(t.split("\n")) if WORD.search(x)] for i, t in rows.items() if t is not None}
+    seen: dict[tuple, tuple] = {}
+    gone: set = set()
+    for i in sorted(lines):
+        for a in range(len(lines[i])):
+            for b in range(a + 1, len(lines[i]) + 1):
+                run = tuple(x for _, x in lines[i][a:b])
+                if sum(len(WORD.findall(x)) for x in run) >= 10 and seen.setdefault(run, (i, a)) < (i, a):
+                    gone |= {(i, k) for k in range(a, b)}
+    out = {}
+    for i, t in rows.items():
+        if t is None:
+            out[i] = None
+            continue
+        flags = {p: (i, k) in gone for k, (p, _) in enumerate(lines[i])}
+        n = len(t.split("\n"))
+        goes = [flags[p] if p in flags else any(q < p for q in flags) and any(q > p for q in flags) and flags[max(q for q in flags if q < p)] and flags[min(q for q in flags if q > p)] for p in range(n)]
+        out[i] = "\n".join(x for x, g in zip(t.split("\n"), goes) if not g)
+    return out
+
+
+def test_line_dedup_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(6)
+    few = [" ".join(f"{chr(97 + i)}{j}" for j in range(n)) for i, n in enumerate([1, 2, 3, 5, 6, 6, 9, 10, 12])] + ["", " \t"]
+    rows = {i: "\n".join(rnd.choice(few) for _ in range(rnd.randint(0, 12))) for i in range(60)}
+    rows[60], rows[61] = None, "\n".join(rnd.choice(few) for _ in range(200))
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == without_repeats(rows)
+
+
+def test_line_dedup_of_runs_around_a_known_line(spark):
+    a, x, b = "a1 a2 a3 a4 a5 a6", " ".join(f"x{i}" for i in range(12)), "b1 b2 b3 b4 b5 b6"
+    rows = [(1, f"start\n{x}\nend"), (2, f"{a}\n{x}\n{b}"), (3, f"{a}\n{x}\n\n{b}\nmore"), (4, f"{b}\n{a}")]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"{a}\n{b}", 3: "more", 4: rows[3][1]}
+
+
+def test_line_dedup_takes_any_names(spark):
+    d = docs(spark).where("doc_id < 6").withColumn("gone", F.lit(1)).withColumn("row", F.lit("r")).withColumn("__id", F.lit(2)).withColumn("hash", F.lit(3)).withColumn("n_lines", F.lit(-1))
+    out = dedup_lines(d)
+    assert out.columns == [c for c in d.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    assert {(r.gone, r.row, r.__getitem__("__id"), r.hash) for r in out.collect()} == {(1, "r", 2, 3)}
+
+
 def windows(text: str | None, n: int = 50) -> set:
     words = WORD.findall((text or "").lower())
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
@@ -157,9 +238,9 @@ def test_span_dedup_leaves_no_passage_of_50_words(spark):
 def test_blocks_agree_with_sets():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(30)]
-    ids = np.arange(30) * 10
-    edges = near_dedup.block_links(ids, np.zeros(30, int), sets)
-    lead = {int(i): int(i) for i in ids}
+    groups = np.arange(30) // 2 * 10
+    edges = near_dedup.block_links(groups, sets)
+    lead = {int(i): int(i) for i in groups}
 
     def find(x: int) -> int:
         while lead[x] != x:
@@ -168,9 +249,7 @@ def test_blocks_agree_with_sets():
 
     for a, b in edges:
         lead[find(a)] = find(b)
-    for i in range(30):
-        for j in range(i):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
-                assert find(i * 10) == find(j * 10)
-    assert len(edges) <= 29
+    linked = {(i, j) for i in range(30) for j in range(i) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - both)}
+    for i, j in linked:
+        assert find(int(groups[i])) == find(int(groups[j]))
+    assert len({find(int(g)) for g in groups}) == 15 - len(edges)

@@ -10,9 +10,10 @@ import sentencepiece
 import tiktoken
 import tokenizers
 
-from antigen.llm.byte_bpe import ByteBpe, decode, encode, round_trip
+from antigen.llm import byte_bpe
+from antigen.llm.byte_bpe import ByteBpe, decode, encode, round_trip, vocabulary
 from antigen.llm.common import by_bytes
-from antigen.llm.token_counts import token_counts
+from antigen.llm.token_counts import JsonCounter, safe_split, split_words, token_counts
 from tests.llm.cases import docs, empty, texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -67,10 +68,10 @@ def test_offsets_and_split_characters(spark, reference):
 
 
 def test_random_texts_equal_the_library(reference):
-    own, rnd = ByteBpe(open(RANKS, "rb").read(), public_tokenizers.PATTERN), random.Random(3)
+    own, rnd = ByteBpe(vocabulary(open(RANKS, "rb").read()), public_tokenizers.PATTERN), random.Random(3)
     for _ in range(3000):
         text = "".join(rnd.choice("ab eT  \n\t's é　日🙂12!.-aaaa\r\x1c\x85") for _ in range(rnd.randint(0, 25)))
-        assert [int(i) for p in own.encode([text])[0] for i in p[0].split()] == reference.encode_ordinary(text), repr(text)
+        assert own.encode([text])[0] == reference.encode_ordinary(text), repr(text)
 
 
 def test_empty_tables(spark):
@@ -82,4 +83,33 @@ def test_batches_are_cut_by_bytes():
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 95, "", "c" * 10])], ["text"])
-    assert [b.num_rows for b in by_bytes(batch, "text", 100)] == [2, 2, 1]
+    assert [b.num_rows for b in by_bytes(batch, "text", limit=100)] == [2, 2, 1]
+    assert [b.num_rows for b in by_bytes(batch, "text", limit=100, rows=1)] == [1] * 5
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_counts_by_other_vocabularies(name):
+    path, rnd = public_tokenizers.path(name), random.Random(5)
+    content = open(path, "rb").read()
+    own, library = JsonCounter(content), tokenizers.Tokenizer.from_file(path)
+    assert (safe_split(content) is split_words) == (name == "word_bpe_49k.json")
+    texts = ["a  b   c", " x", "y ", "", *("".join(rnd.choice("ab eT  \n\t's é　日🙂12!.-\r\x1c\x85\u0301") for _ in range(rnd.randint(0, 25))) for _ in range(3000)), "a <|endoftext|> b<|endoftext|>"]
+    for text, n in zip(texts, own.counts(texts)):
+        assert n == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_vocabularies_of_unknown_settings_get_texts_whole():
+    import json
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    assert safe_split(json.dumps(spec).encode())("a b") == ["a b"]
+
+
+def test_a_full_memo_starts_anew(reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_PIECES", 5)
+    own, rnd = ByteBpe(vocabulary(open(RANKS, "rb").read()), public_tokenizers.PATTERN), random.Random(4)
+    for _ in range(20):
+        text = " ".join(str(rnd.randint(0, 999)) for _ in range(9))
+        assert own.encode([text, None]) == [reference.encode_ordinary(text), []]
+    assert len(own.memo) < 40
