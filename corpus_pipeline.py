@@ -12,7 +12,7 @@ from antigen.llm.byte_bpe import encode
 from antigen.llm.common import shared_folder, table
 from antigen.llm.line_dedup import dedup_lines
 from antigen.llm.mixing import mixed_texts
-from antigen.llm.near_dedup import near_duplicates
+from antigen.llm.near_dedup import without_near_copies
 from antigen.llm.toxicity import fit, without_toxic
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,9 +34,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    """Keeps the document with the smallest id of each group of near duplicates. Rows of a null id count as well, an id
+    that occurs with two texts is two documents, and of rows that repeat id and text one stays. Null, empty and wordless
+    texts stay. An empty table gives no rows."""
+    return without_near_copies(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
