@@ -3,8 +3,12 @@
 Vectors are turned by fast Hadamard pseudo-rotations (three rounds of random signs and a Walsh-Hadamard transform); the
 nearest signed axis is a vector's bucket, and more than one rotation is used in a table where one has too few axes. A query
 probes its best buckets of every table. Rows of unlike length are hashed apart, in bands of length, and a query probes all
-bands. A query that finds fewer rows than it asks for meets all. Rows and queries of a bucket meet in one task, in parts of bounded size, which
-scores them exactly and returns each query's best.
+bands. How many buckets it probes is measured, at every size: the true neighbours of a bounded sample of queries among all
+rows, found in one pass, tell how many probes find `RECALL` of them; where even many don't, coarser buckets are taken.
+
+Buckets are dealt to groups of about `PART` rows. A row goes to one group of each table, and a query once to each group that
+holds buckets it probes, with their list; there it is compared with the rows of these buckets alone. A query that finds
+fewer rows than it asks for meets all, in blocks.
 """
 
 from __future__ import annotations
@@ -16,17 +20,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from antigen.llm.common import checkpoint, table
 
-TABLES, PROBES, NEIGHBOURS = 10, 10, 20
+TABLES, NEIGHBOURS = 3, 20
 #: Rows that a bucket should hold on the average.
 BUCKET_ROWS = 200
-#: Rows and queries of one bucket that meet in one task at most, on the average; larger buckets are dealt to parts.
-PART = 4096
+#: Rows and queries that meet in one task, on the average, and groups of buckets of one table at most; a group of more rows
+#: is dealt to parts.
+PART, QUERY_PART, MOST_GROUPS = 16384, 2048, 4096
 #: Rows of one band differ in length by this factor at most.
 BAND = 1.5
+#: Queries whose true neighbours are found to set the probes, the share of them that the probes must find, and probes of a
+#: table at most, beyond which coarser buckets are taken.
+SAMPLE, RECALL, MOST_PROBES = 200, 0.95, 2048
+#: A band or length of vectors with fewer sampled neighbours than this goes by the others' share of buckets.
+LEAST_PAIRS = 100
 
 
 def usable(v: str, zero: bool = False) -> Column:
@@ -60,14 +71,6 @@ def axes_for(rows: int, width: int) -> list[int]:
     return out
 
 
-def probes_for(axes: list[int]) -> int:
-    """Buckets that a query probes: PROBES, times three quarters of the signed axes of each further rotation, 12 at most."""
-    total = PROBES
-    for n in axes[1:]:
-        total *= min(12, -(-3 * n // 2))
-    return total
-
-
 def rotated(x: np.ndarray, width: int, index: int, axes: list[int]) -> list[np.ndarray]:
     """For each rotation of a table the inner products with its signed axes."""
     out = []
@@ -103,59 +106,194 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def hashed(rows: DataFrame, sizes: dict[int, dict[int, int]], queries: bool) -> DataFrame:
-    """(dim, band, tbl, bucket, vec_id, v): a row for each table, and for queries for each band and probe. `sizes` has the
-    rows of each length and band. Only directions are hashed, as lengths within a band are alike. A band of so few rows that
-    all its buckets would be probed is one bucket of one table."""
+def width_of(dim: int) -> int:
+    return 1 << (dim - 1).bit_length()
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a batch, which have one length, as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def by_length(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of a batch whose vectors have one length."""
+    for start in range(0, batch.num_rows, rows):
+        part = batch.slice(start, rows)
+        dims = part.column("v").value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims):
+            yield int(dim), part if (dims == dim).all() else part.take(pa.array(np.flatnonzero(dims == dim)))
+
+
+def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, cells: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) positions of each query's k best rows, by inner product and then by id, without rows of its own
+    id. `cells` lists pairs of positions of queries and rows that meet; all do without it. Products of matrices choose, with
+    room for their rounding; sums in a fixed order decide, so that equal vectors score equally everywhere."""
+    if len(ids) != len(np.unique(ids)):  # an id counts once in the end
+        k *= int(np.unique(ids, return_counts=True)[1].max())
+    cells = [(np.arange(len(q)), np.arange(len(ids)))] if cells is None else cells
+    rough, tops = [], []
+    for asks, rows in cells:
+        y = q[asks] @ x[rows].T
+        y[query_ids[asks][:, None] == ids[rows][None, :]] = -np.inf
+        rough.append(y)
+        best = -np.partition(-y, k - 1, axis=1)[:, :k] if y.shape[1] > k else y
+        tops.append((np.repeat(asks, best.shape[1]), best.ravel()))
+    none = np.zeros(0, np.int64)
+    who = np.concatenate([none, *(t[0] for t in tops)])
+    value = np.concatenate([np.zeros(0), *(t[1] for t in tops)])
+    order = np.lexsort((-value, who))
+    who, value = who[order], value[order]
+    place = np.arange(len(who)) - np.searchsorted(who, who)
+    least = np.full(len(q), -np.inf)
+    least[who[place == k - 1]] = value[place == k - 1]
+    room = 1e-9 * (1 + np.abs(value[np.isfinite(value)]).max(initial=0))
+    pairs = [(none, none)]
+    for (asks, rows), y in zip(cells, rough):
+        i, j = np.nonzero((y >= least[asks][:, None] - room) & (y > -np.inf))
+        pairs.append((asks[i], rows[j]))
+    asks, rows = (np.concatenate(p) for p in zip(*pairs))
+    score = np.concatenate([np.zeros(0), *((x[rows[i : i + 65536]] * q[asks[i : i + 65536]]).sum(axis=1) for i in range(0, len(asks), 65536))])
+    order = np.lexsort((ids[rows], -score, asks))
+    asks, rows, score = asks[order], rows[order], score[order]
+    chosen = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
+    return asks[chosen], rows[chosen], score[chosen]
+
+
+def ranked(pairs: DataFrame, k: int, *more: str) -> DataFrame:
+    """(query_id, rank, vec_id, score, ...): the k best of each query, an id once, ties to the smaller one."""
+    met = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), *(F.first(c).alias(c) for c in more))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *more)
+
+
+def true_neighbours(own: DataFrame, asked: DataFrame, k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors the sampled queries and their k nearest rows, a pair a row, by one pass over all rows."""
+    sample = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE rows
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in {len(r["v"]) for r in sample}:
+        of = [r for r in sample if len(r["v"]) == dim]
+        known[dim] = np.array([r["vec_id"] for r in of]), np.array([r["v"] for r in of], np.float64)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for whole in batches:
+            for dim, batch in by_length(whole, 8192):
+                if dim not in known:
+                    continue
+                query_ids, q = known[dim]
+                ids, x = batch.column("vec_id").to_numpy(), matrix(batch.column("v"))
+                asks, rows, score = best_of(ids, x, query_ids, q, k)
+                new = (asks, ids[rows], x[rows], score)
+                if dim in best:
+                    new = tuple(np.concatenate(p) for p in zip(best[dim], new))
+                    order = np.lexsort((new[1], -new[3], new[0]))
+                    order = order[np.arange(len(order)) - np.searchsorted(new[0][order], new[0][order]) < k]
+                    new = tuple(p[order] for p in new)
+                best[dim] = new
+        for dim, (asks, ids, x, score) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(known[dim][0][asks]), pa.array(ids), pa.array(score), pa.array(list(x), pa.list_(pa.float64()))], ["query_id", "vec_id", "score", "v"])
+
+    found = ranked(own.select("vec_id", "v").mapInArrow(search, "query_id long, vec_id long, score double, v array<double>"), k, "v").collect()  # k * SAMPLE rows
+    out = {}
+    for dim, (query_ids, q) in known.items():
+        of, at = [r for r in found if len(r["v"]) == dim], {n: i for i, n in enumerate(query_ids)}
+        if of:
+            out[dim] = q[[at[r["query_id"]] for r in of]], np.array([r["v"] for r in of])
+    return out
+
+
+def needed_probes(q: np.ndarray, x: np.ndarray, axes: list[int]) -> np.ndarray:
+    """For each pair of a query and a neighbour how many probes of each table find it, MOST_PROBES + 1 if so many don't."""
+    limit = min(MOST_PROBES, math.prod(2 * n for n in axes))
+    out = np.full(len(q), MOST_PROBES + 1)
+    for t in range(TABLES):
+        own = buckets(x, t, axes, 1)
+        for start in range(0, len(q), 64):
+            probed = buckets(q[start : start + 64], t, axes, limit) == own[start : start + 64]
+            found = np.where(probed.any(axis=1), probed.argmax(axis=1) + 1, MOST_PROBES + 1)
+            out[start : start + 64] = np.minimum(out[start : start + 64], found)
+    return out
+
+
+def hashing(sizes: dict[int, dict[int, int]], pairs: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, dict[int, tuple[list[int], int, int]]]:
+    """For each length and band of vectors: the axes of its tables, the probes, and the groups of buckets."""
+    measured: dict[tuple, int] = {}
+
+    def probes(dim: int, axes: list[int]) -> int:
+        key = (dim, *axes)
+        if key not in measured:
+            q, x = pairs[dim]
+            order = np.sort(needed_probes(unit(q), unit(x), axes))
+            measured[key] = int(order[min(len(order) - 1, math.ceil(RECALL * len(order)) - 1)])
+        return measured[key]
+
+    out: dict[int, dict[int, tuple[list[int], int, int]]] = {}
+    for dim, bands in sizes.items():
+        for band, n in bands.items():
+            axes = axes_for(n, width_of(dim))
+            if dim in pairs and len(pairs[dim][0]) >= LEAST_PAIRS:
+                while len(axes) > 1 and probes(dim, axes) > MOST_PROBES:
+                    axes = axes[:-1]
+                found = min(probes(dim, axes), math.prod(2 * a for a in axes))
+            else:  # too few were sampled: a half of the buckets
+                axes = axes[:1]
+                found = axes[0]
+            out.setdefault(dim, {})[band] = axes, found, min(MOST_GROUPS, max(1, round(n / PART)))
+    return out
+
+
+def hashed(rows: DataFrame, settings: dict[int, dict[int, tuple[list[int], int, int]]], queries: bool) -> DataFrame:
+    """(dim, band, tbl, grp, bucket, vec_id, v): a row for each table, and for queries for each band, table and group that
+    holds buckets they probe, with the list of these. Only directions are hashed, as lengths within a band are alike."""
+    kind = rows.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                ids, lists, bands = batch.column("vec_id"), batch.column("v").to_pylist(), batch.column("band").to_numpy(zero_copy_only=False)
-                dims = np.array([len(v) for v in lists])
-                for dim in np.unique(dims):
-                    for band, n in sizes[int(dim)].items():
-                        own = np.flatnonzero((dims == dim) & (queries | (bands == band)))
-                        if not len(own):
-                            continue
-                        axes = axes_for(n, 1 << (int(dim) - 1).bit_length())
-                        if len(axes) == 1 and 2 * axes[0] <= PROBES:
-                            per = [np.zeros((len(own), 1), np.int64)]
-                        else:
-                            x = unit(np.array([lists[i] for i in own], np.float64))
-                            per = [buckets(x, t, axes, probes_for(axes) if queries else 1) for t in range(TABLES)]
-                        codes = np.concatenate(per, axis=1)
-                        tables = np.repeat(np.arange(len(per)), [p.shape[1] for p in per])
-                        at = pa.array(np.repeat(own, codes.shape[1]))
-                        number = lambda k: pa.array(np.full(codes.size, k, np.int32))
+            for dim, batch in by_length(whole, 256 if queries else 2048):
+                x, bands = unit(matrix(batch.column("v"))), batch.column("band").to_numpy(zero_copy_only=False)
+                for band, (axes, probes, groups) in settings.get(dim, {}).items():
+                    own = np.arange(len(x)) if queries else np.flatnonzero(bands == band)
+                    for t in range(TABLES if len(own) else 0):
+                        codes = buckets(x[own], t, axes, probes if queries else 1)
+                        at = np.repeat(own, codes.shape[1])
+                        flat = codes.ravel()
+                        grp = (flat * 40503 >> 4) % groups
+                        order = np.lexsort((flat, grp, at))
+                        at, flat, grp = at[order], flat[order], grp[order]
+                        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (grp[1:] != grp[:-1])]))
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(flat))
+                        where = pa.array(at[first])
+                        number = lambda n: pa.array(np.full(len(first), n, np.int32))
                         yield pa.RecordBatch.from_arrays(
-                            [number(dim), number(band), pa.array(np.tile(tables, len(own)).astype(np.int32)), pa.array(codes.ravel()), ids.take(at), batch.column("v").take(at)],
-                            ["dim", "band", "tbl", "bucket", "vec_id", "v"],
+                            [number(dim), number(band), number(t), pa.array(grp[first].astype(np.int32)), lists, batch.column("vec_id").take(where), batch.column("v").take(where)],
+                            ["dim", "band", "tbl", "grp", "bucket", "vec_id", "v"],
                         )
 
-    return rows.mapInArrow(run, "dim int, band int, tbl int, bucket long, vec_id long, v array<double>")
-
-
-def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
-    """For each query its k best rows, by inner product and then by id. Products of the matrices choose, with room for
-    their rounding; sums in a fixed order decide, so that equal vectors score equally everywhere."""
-    out: tuple[list, list, list] = ([], [], [])
-    for start in range(0, len(q), 512):
-        part = q[start : start + 512]
-        rough = part @ x.T
-        slack = 1e-9 * (1 + np.abs(rough).max(initial=0))
-        for i, own in enumerate(query_ids[start : start + 512]):
-            row = rough[i]
-            row[ids == own] = -np.inf
-            least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-            near = np.flatnonzero((row >= least - slack) & (row > -np.inf))
-            score = (x[near] * part[i]).sum(axis=1)
-            order = np.lexsort((ids[near], -score))[:k]
-            out[0].extend([int(own)] * len(order))
-            out[1].extend(ids[near][order].tolist())
-            out[2].extend(score[order].tolist())
-    return out
+    return rows.mapInArrow(run, f"dim int, band int, tbl int, grp int, bucket array<long>, vec_id long, v {kind}")
+
+
+def meet(k: int):
+    """The function of one task: the queries' best rows among those of the buckets that they probe."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        asks, ids, lists = t.column("asks").to_numpy(), t.column("vec_id").to_numpy(), t.column("bucket").combine_chunks()
+        x = matrix(t.column("v").combine_chunks())
+        owner, bucket = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()
+        out = ([], [], [])
+        if asks.any() and not asks.all():
+            order = np.lexsort((owner, ~asks[owner], bucket))
+            owner, bucket = owner[order], bucket[order]
+            cells = []
+            for part in np.split(owner, np.flatnonzero(np.diff(bucket)) + 1):
+                q = part[asks[part]]
+                if len(q) and len(q) < len(part):
+                    cells.extend((q[i : i + 512], part[len(q) :]) for i in range(0, len(q), 512))
+            asking, found, score = best_of(ids, x, ids, x, k, cells)
+            out = ids[asking], ids[found], score
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    return run
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -164,10 +302,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: st
 
     Vectors that are null, empty, zero or hold a null, NaN or infinite component, and rows with a null id, take no part.
     Rows of another length than a query's are no candidates of it. Rows that repeat an id count once, by their best
-    score. Empty tables give no rows; other columns are not read."""
-    pick = lambda df: df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
+    score; queries that repeat an id are one query. Empty tables give no rows; other columns are not read."""
+    exact = isinstance(rows.schema[vector_col].dataType, T.ArrayType) and isinstance(rows.schema[vector_col].dataType.elementType, T.FloatType)
+    kind = "array<float>" if exact and rows.schema[vector_col].dataType == queries.schema[vector_col].dataType else "array<double>"
+    pick = lambda df: df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast(kind).alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
     own, asked = pick(rows), pick(queries)
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x).cast("double")))
     # the logarithm of the length; the largest component apart, as squares may run over
     length = F.log(largest) + F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))) / 2
     own = own.withColumn("dim", F.size("v")).withColumn("length", length)
@@ -178,42 +318,35 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: st
     for r in own.groupBy("dim", "band").agg(F.count("*").alias("n")).collect():  # a row a length and band
         sizes.setdefault(r["dim"], {})[r["band"]] = r["n"]
     known = (asked.where(F.size("v").isin(*sizes)) if sizes else asked.limit(0)).withColumn("band", F.lit(0))
-    index, probes = checkpoint(hashed(own.drop("dim"), sizes, False)), checkpoint(hashed(known, sizes, True))
-    key = ["dim", "band", "tbl", "bucket"]
-    parts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / PART).alias(name))
-    both = parts(index, "parts").join(parts(probes, "qparts"), key)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = index.join(both, key).select(*key, F.pmod(F.xxhash64("vec_id"), "parts").alias("part"), every("qparts").alias("qpart"), F.lit(False).alias("asks"), "vec_id", "v")
-    right = probes.join(both, key).select(*key, every("parts").alias("part"), F.pmod(F.xxhash64("vec_id"), "qparts").alias("qpart"), F.lit(True).alias("asks"), "vec_id", "v")
-
-    def meet(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy()
-        ids = t.column("vec_id").to_numpy()
-        x = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        found = best_of(ids[~asks], x[~asks], ids[asks], x[asks], k) if asks.any() and not asks.all() else ([], [], [])
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        met = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    settings = hashing(sizes, true_neighbours(own, known, k))
+    index, probes = hashed(own.drop("dim"), settings, False), hashed(known, settings, True)
+    key = ["dim", "band", "tbl", "grp"]
+    count = lambda df: {tuple(r[c] for c in key): r["n"] for r in df.groupBy(*key).agg(F.count("*").alias("n")).collect()}
+    # a row for each table and group of buckets; vectors are hashed again where they are sent, which costs less than keeping them
+    n_rows, n_asks = count(index.select(*key)), count(probes.select(*key))
+    spark = rows.sparkSession
+    deal = [(*g, -(-n_rows[g] // (2 * PART)), -(-n_asks[g] // QUERY_PART)) for g in n_rows if g in n_asks]
+    both = spark.createDataFrame(deal, "dim int, band int, tbl int, grp int, parts int, qparts int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    dealt = F.broadcast(both)  # up to TABLES * MOST_GROUPS rows a length and band
+    left = index.join(dealt, key).select(*key, place("parts").alias("part"), every("qparts").alias("qpart"), F.lit(False).alias("asks"), "bucket", "vec_id", "v")
+    right = probes.join(dealt, key).select(*key, every("parts").alias("part"), place("qparts").alias("qpart"), F.lit(True).alias("asks"), "bucket", "vec_id", "v")
     result = "query_id long, vec_id long, score double"
-    found = checkpoint(ranked(left.union(right).groupBy(*key, "part", "qpart").applyInArrow(meet, result)))
-    count = found.groupBy("query_id").agg(F.count("*").alias("n"))
-    rows_of = {d: sum(n.values()) for d, n in sizes.items()}
-    wanted = F.least(F.lit(k), F.create_map(*(F.lit(c) for pair in rows_of.items() for c in pair))[F.size("v")] - 1) if sizes else F.lit(0)
-    few = checkpoint(known.join(count, F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < wanted).select("vec_id", "v"))
+    found = checkpoint(ranked(left.union(right).groupBy(*key, "part", "qpart").applyInArrow(meet(k), result), k))
+    got = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    few = checkpoint(known.join(got, F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "v"))
     if few.isEmpty():
         return found
     # they meet all rows in blocks
-    blocks, qblocks = max(1, -(-sum(rows_of.values()) // PART)), max(1, -(-few.count() // PART))
+    blocks, qblocks = max(1, -(-sum(n for b in sizes.values() for n in b.values()) // PART)), max(1, -(-few.count() // QUERY_PART))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = own.select("dim", place(blocks).alias("part"), all_of(qblocks).alias("qpart"), F.lit(False).alias("asks"), "vec_id", "v")
-    right = few.select(F.size("v").alias("dim"), all_of(blocks).alias("part"), place(qblocks).alias("qpart"), F.lit(True).alias("asks"), "vec_id", "v")
-    rest = left.union(right).groupBy("dim", "part", "qpart").applyInArrow(meet, result)
-    return ranked(found.select("query_id", "vec_id", "score").union(rest))
+    spot = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    bucket = F.array(F.lit(0).cast("long")).alias("bucket")
+    left = own.select("dim", spot(blocks).alias("part"), all_of(qblocks).alias("qpart"), F.lit(False).alias("asks"), bucket, "vec_id", "v")
+    right = few.select(F.size("v").alias("dim"), all_of(blocks).alias("part"), spot(qblocks).alias("qpart"), F.lit(True).alias("asks"), bucket, "vec_id", "v")
+    rest = left.union(right).groupBy("dim", "part", "qpart").applyInArrow(meet(k), result)
+    return ranked(found.select("query_id", "vec_id", "score").union(rest), k)
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from antigen.llm.common import by_bytes, checkpoint, table
+from antigen.llm.common import Steps, by_bytes, join_counted, table
 from antigen.llm.shingles import mix, word_hashes
 
 #: Consecutive sentences and words that a run has at least.
 RUN, LEAST_WORDS = 3, 12
-#: A longer sentence is cut at the word of the least hash in each CUT words, wherever it begins, so that a passage of it is a
-#: run as well. A passage of 50 words so holds a run, whatever stands around it.
-LONGEST, CUT = 10, 8
+#: A sentence of so many words or more is cut at the word of the least hash in each CUT words, wherever it begins, so that a
+#: passage of it is a run as well. A passage's first CUT words hold a cut or a sentence's start, and units have up to CUT
+#: words: one of RUN + 1 times CUT words, 48, so holds a run, whatever stands around it.
+CUT = 12
 #: A sentence ends after its stop and white space, or with its line.
 SENTENCE = re.compile(rb"[^\n]*?(?:[.!?\xe2\x80\xa6][\"')\]]*(?=[ \t\r\n])|\n|$)[ \t\r]*\n*", re.S)
 _WEIGHTS = mix(np.arange(1, LEAST_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -36,7 +37,7 @@ def units(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = np.diff(new, append=len(words))
     # each window within a long sentence cuts before its least word, the last of equal ones
     inside = np.arange(len(words)) - np.repeat(new, length) + CUT <= np.repeat(length, length)
-    window = np.flatnonzero(inside & np.repeat(length > LONGEST, length))
+    window = np.flatnonzero(inside & np.repeat(length > CUT, length))
     least, cut = words[window + CUT - 1], window + CUT - 1
     for i in range(CUT - 2, -1, -1):
         less = words[window + i] < least
@@ -100,13 +101,15 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = own.where("text is not null").groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"))
     if texts.where("lo <> hi").isEmpty():  # ids tell the texts apart, so that each run is spared eight random bytes
         own = own.withColumn("text_hash", F.when(F.col("text").isNotNull(), F.lit(0).cast("long")))
-    found = checkpoint(spans(own.where("text is not null")))
+    steps = Steps(docs.sparkSession)
+    found = steps(spans(own.where("text is not null")))
     # one partial row for each run and task goes to the shuffle; a run's place as one sortable value keeps this cheap
     place = F.struct("doc_id", "text_hash", "pos")
-    first = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    later = found.join(first, "hash").where(~place.eqNullSafe(F.col("first")))
+    first = steps(found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    later = join_counted(found, first, "hash").where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("id2"), F.col("text_hash").alias("hash2"), "gone")
+    gone = steps(gone.select(F.col("doc_id").alias("id2"), F.col("text_hash").alias("hash2"), "gone"))
+    steps.forget(found)
     both = own.join(gone, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("text_hash") == F.col("hash2")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from antigen.llm import near_dedup
+from antigen.llm import near_dedup, span_dedup
 from antigen.llm.components import connected_components
 from antigen.llm.line_dedup import dedup_lines
 from antigen.llm.near_dedup import near_duplicates
@@ -219,6 +219,37 @@ def test_span_dedup_of_short_sentences_and_prefixes(spark):
     assert not passages(got[4]) & passages(bare) and "e f g" in got[4] and "l m n" in got[4]
 
 
+def spans_by_hand(rows: dict[int, str | None]) -> dict[int, str | None]:
+    """Every run of sentences as its words, in a dictionary of first places."""
+    seen: dict[tuple, tuple] = {}
+    out = {}
+    for i, text in sorted(rows.items()):
+        raw = (text or "").encode()
+        starts, _, _ = span_dedup.units(raw)
+        parts = [raw[a:b].decode() for a, b in zip(starts, [*starts[1:], len(raw)])]
+        words = [tuple(w.lower() if w.isascii() else w for w in WORD.findall(p)) for p in parts]
+        gone = set()
+        enough = lambda a, b: b - a >= 3 and sum(map(len, words[a:b])) >= 12
+        runs = {(a, next((b for b in range(a, len(parts) + 1) if enough(a, b)), None)) for a in range(len(parts))}
+        runs |= {(next((a for a in range(b, -1, -1) if enough(a, b)), None), b) for b in range(1, len(parts) + 1)}
+        for a, b in sorted(r for r in runs if None not in r):
+            if seen.setdefault(tuple(words[a:b]), (i, a, b)) != (i, a, b):
+                gone |= set(range(a, b))
+        out[i] = text if not gone else "".join(p for k, p in enumerate(parts) if k not in gone)
+    return out
+
+
+def test_span_dedup_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    known = [" ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 99)) for _ in range(n)) + rnd.choice([". ", "! ", ".\n", "\n"]) for n in (1, 1, 2, 3, 4, 6, 9, 14, 30, 70)]
+    rows = {i: "".join(rnd.choice(known) for _ in range(rnd.randint(0, 9))) for i in range(60)}
+    rows[60] = None
+    got = {r.doc_id: r.text for r in dedup_spans(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == spans_by_hand(rows)
+
+
 def passages(text: str) -> set:
     words = WORD.findall(text.lower())
     return {tuple(words[i : i + 50]) for i in range(len(words) - 49)}
