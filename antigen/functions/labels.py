@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 #: Attack names by family (fixed values).
 FAMILIES = {
     "Normal": ["normal"],
-    "DoS": ["apache2", "back", "land", "mailbomb", "neptune", "pod", "processtable", "smurf", "teardrop", "udpstorm"],
-    "Probe": ["ipsweep", "mscan", "nmap", "portsweep", "saint", "satan"],
-    "R2L": ["ftp_write", "guess_passwd", "httptunnel", "imap", "multihop", "named", "phf", "sendmail", "snmpgetattack", "snmpguess", "spy", "warezclient", "warezmaster", "xlock", "xsnoop"],
-    "U2R": ["buffer_overflow", "loadmodule", "perl", "ps", "rootkit", "sqlattack", "worm", "xterm"],
     "Attack (Unspecified)": ["attack"],
+    "DoS": ["back", "land", "neptune", "pod", "smurf", "teardrop", "apache2", "udpstorm", "processtable", "mailbomb", "worm"],
+    "Probe": ["ipsweep", "nmap", "portsweep", "satan", "mscan", "saint"],
+    "R2L": ["ftp_write", "guess_passwd", "imap", "multihop", "phf", "spy", "warezclient", "warezmaster", "sendmail", "named", "snmpgetattack", "snmpguess", "xlock", "xsnoop", "httptunnel"],
+    "U2R": ["buffer_overflow", "loadmodule", "perl", "rootkit", "ps", "sqlattack", "xterm"],
 }
-#: Ordered substrings of a label and the family that they stand for; the first that fits decides (fixed values).
-PATTERNS = [("Brute Force", ["patator", "brute force"]), ("DDoS", ["ddos"]), ("DoS", ["dos"]), ("Port Scan", ["portscan", "port scan"]), ("Web Attack", ["web attack"]), ("Botnet", ["bot"]), ("Infiltration", ["infiltration"]), ("Heartbleed", ["heartbleed"])]
+#: Families and the substrings of a label that stand for them; the first family that fits decides (fixed values).
+PATTERNS = [
+    ("DoS/DDoS", ["ddos", "dos hulk", "dos goldeneye", "dos slowloris", "dos slowhttptest"]),
+    ("Brute Force", ["ftp-patator", "ssh-patator", "brute force"]),
+    ("Web Attack", ["web attack", "sql injection", "xss"]),
+    ("PortScan", ["portscan"]),
+    ("Bot", ["bot"]),
+    ("Infiltration", ["infiltration", "infilteration"]),
+    ("Heartbleed", ["heartbleed"]),
+]
 
 
 def normalize_simple(label: str | Column) -> Column:
@@ -34,7 +42,7 @@ def binary_label(label: str | Column, benign: str) -> Column:
 
 def family_by_pattern(label: str | Column, benign: str = "benign") -> Column:
     text = F.lower(normalize_spaced(label))
-    out = F.when(text == benign, "Normal")
+    out = F.when(text == normalize_spaced(F.lit(benign.lower())), "Normal")
     for family, parts in PATTERNS:
         fits = F.lit(False)
         for p in parts:

@@ -45,3 +45,13 @@ def t_quantile(p: float, df: int) -> float:
 def clopper_pearson(x: int, n: int, confidence: float = 0.95) -> tuple[float, float]:
     tail = (1 - confidence) / 2
     return (0.0 if x == 0 else beta_quantile(tail, x, n - x + 1)), (1.0 if x == n else beta_quantile(1 - tail, x + 1, n - x))
+
+
+def wilcoxon_p(w: float, n: int) -> float:
+    """The two-sided exact p of the signed-rank statistic min(W+, W-) of n differences without ties: how many of the 2^n
+    choices of signs give so small a sum of ranks, counted rank by rank."""
+    counts = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for total in range(len(counts) - 1, rank - 1, -1):
+            counts[total] += counts[total - rank]
+    return min(1.0, 2 * sum(counts[: int(w) + 1]) / 2**n)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 from antigen.functions.hashing import uniform_hash
 
 MODELS = {
-    "lr": lambda **k: LogisticRegression(maxIter=100, **k),
-    "dt": lambda **k: DecisionTreeClassifier(maxDepth=10, minInstancesPerNode=2, seed=42, **k),
-    "rf": lambda **k: RandomForestClassifier(numTrees=20, maxDepth=8, seed=42, **k),
+    "lr": lambda **k: LogisticRegression(maxIter=1000, **k),
+    "dt": lambda **k: DecisionTreeClassifier(maxDepth=20, minInstancesPerNode=2, seed=42, **k),
+    "rf": lambda **k: RandomForestClassifier(numTrees=200, maxDepth=20, seed=42, **k),
 }
 #: Rows that a tree of the isolation forest is grown from.
 TREE_ROWS = 256
@@ -42,7 +43,7 @@ def _path_length(n: np.ndarray | float):
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_scores(train: DataFrame, rows: DataFrame, features: list[str], key: str, trees: int = 50, seed: int = 42) -> DataFrame:
+def isolation_scores(train: DataFrame, rows: DataFrame, features: list[str], key: str, trees: int = 200, seed: int = 42) -> DataFrame:
     """(key, score): Liu, Ting and Zhou's isolation score, higher for rows that few cuts isolate. Each tree is grown in a task of
     its own from at most TREE_ROWS rows; all trees are a few thousand nodes."""
     # each tree samples its rows by a hash of its own; rows that no tree can take are left out first
@@ -73,20 +74,28 @@ def isolation_scores(train: DataFrame, rows: DataFrame, features: list[str], key
         return pd.DataFrame([[int(pdf["tree"].iloc[0]), i, *n] for i, n in enumerate(nodes)], columns=["tree", "node", "f", "cut", "lo", "hi", "depth"])
 
     grown = dealt.groupBy("tree").applyInPandas(grow, "tree int, node int, f int, cut double, lo int, hi int, depth double").toPandas()  # trees times 2 * TREE_ROWS nodes
-    forest = [g.sort_values("node")[["f", "cut", "lo", "hi", "depth"]].to_numpy(float) for _, g in grown.groupby("tree")]
     norm = float(_path_length(max(2, min(TREE_ROWS, n))))
-
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            x, total = pdf[features].to_numpy(float), np.zeros(len(pdf))
-            for t in forest:
-                at = np.zeros(len(x), int)
-                while (open_ := t[at, 0] >= 0).any():
-                    i = np.flatnonzero(open_)
-                    node = t[at[i]]
-                    at[i] = np.where(x[i, node[:, 0].astype(int)] <= node[:, 1], node[:, 2], node[:, 3]).astype(int)
-                total += t[at, 4]
-            yield pd.DataFrame({key: pdf[key], "score": 2 ** (-total / max(1, len(forest)) / norm)})
+    # all trees in one set of arrays; a leaf leads to itself, so that rows of all trees step down together
+    grown = grown.sort_values(["tree", "node"]).reset_index(drop=True)
+    first = grown.groupby("tree")["node"].transform("size").index - grown["node"].to_numpy()
+    leaf = grown["f"].to_numpy() < 0
+    here = np.arange(len(grown))
+    f = np.where(leaf, 0, grown["f"]).astype(np.int32)
+    cut = np.where(leaf, np.inf, grown["cut"])
+    lo, hi = (np.where(leaf, here, grown[c].to_numpy() + first).astype(np.int32) for c in ("lo", "hi"))
+    depth, roots = grown["depth"].to_numpy(), here[grown["node"].to_numpy() == 0].astype(np.int32)
+    deepest = int(np.ceil(np.log2(TREE_ROWS)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features], axis=1)
+                rows, at = np.arange(len(x))[:, None], np.tile(roots, (len(x), 1))
+                for _ in range(deepest):
+                    at = np.where(x[rows, f[at]] <= cut[at], lo[at], hi[at])
+                total = depth[at].sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(2 ** (-total / max(1, len(roots)) / norm))], [key, "score"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *features).mapInPandas(score, f"`{key}` {kind}, score double")
+    return rows.select(key, *features).mapInArrow(score, f"`{key}` {kind}, score double")

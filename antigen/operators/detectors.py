@@ -20,9 +20,15 @@ BROADCAST_ROWS = 200_000
 
 
 def candidates(spark: SparkSession, n: int, k: int, seed: int) -> DataFrame:
-    """(detector_id, pattern): n masks of k random bits, the same on any partitioning."""
+    """(detector_id, pattern): n masks of k random bits (62 at most), the same on any partitioning. Bits beyond the 32nd come
+    from a second hash."""
+    if not 0 < k <= 62:
+        raise ValueError("a pattern has 1 to 62 bits")
     ids = spark.range(n).withColumnRenamed("id", "detector_id")
-    return ids.select("detector_id", uniform_hash(seed, "detector_id").bitwiseAND(F.lit((1 << k) - 1).cast("bigint")).alias("pattern"))
+    word = uniform_hash(seed, "detector_id")
+    if k > 32:
+        word = word.bitwiseOR(F.shiftleft(uniform_hash(f"{seed}-high", "detector_id"), 32))
+    return ids.select("detector_id", word.bitwiseAND(F.lit((1 << k) - 1).cast("bigint")).alias("pattern"))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -63,10 +69,41 @@ def nearest(records: DataFrame, detectors: DataFrame, measure: Callable[[str, st
 
 
 def detected(records: DataFrame, detectors: DataFrame, k: int, radius: int, pattern: str = "bits") -> DataFrame:
-    """Records within the radius of a detector."""
-    return records.join(ball(detectors, "pattern", k, radius), F.col(pattern) == F.col("near"), "left_semi")
+    """Adds `pred`: 1 for records within the radius of a detector, else 0; without detectors all are 0."""
+    hit = ball(detectors, "pattern", k, radius)
+    return records.join(hit, F.col(pattern) == F.col("near"), "left").withColumn("pred", F.col("near").isNotNull().cast("int")).drop("near")
 
 
 def pattern_bits(df: DataFrame, features: list[str], medians: dict[str, float]) -> Column:
     """The mask of features over their training medians; a tie is 0."""
     return bits.pack([F.col(f) > medians[f] for f in features])
+
+
+def bit_counts(rows: DataFrame, k: int) -> DataFrame:
+    """(split, y, bit, v, n): patterns are counted first, then their bits."""
+    p = rows.groupBy("split", "y", "bits").agg(F.count("*").alias("n"))
+    return p.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("v", F.expr("(bits >> bit) & 1"))
+
+
+def bit_prevalence(rows: DataFrame, k: int) -> DataFrame:
+    """For each split and bit its share of ones, and the support and share of each class; null where a class is absent."""
+    part = lambda c: F.sum(F.when(c, F.col("v") * F.col("n"))) / F.sum(F.when(c, F.col("n")))
+    support = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)).cast("long")
+    benign, attack = F.col("y") == 0, F.col("y") == 1
+    return bit_counts(rows, k).groupBy("split", "bit").agg(
+        part(F.lit(True)).alias("prevalence"), support(benign).alias("benign_support"), part(benign).alias("benign"), support(attack).alias("attack_support"), part(attack).alias("attack")
+    )
+
+
+def pattern_diagnostics(rows: DataFrame, k: int) -> DataFrame:
+    """For each split: records, distinct patterns, the most frequent one's records, the share of distinct ones, patterns of both
+    classes, records whose pattern training lacks, and bits that are constant or rare (up to 1 % ones or zeros)."""
+    seen = rows.where("split = 'train'").select("bits").distinct().withColumn("known", F.lit(True))
+    p = rows.groupBy("split", "bits").agg(F.count("*").alias("n"), (F.min("y") < F.max("y")).alias("mixed")).join(seen, "bits", "left")
+    unseen = F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0))
+    out = p.groupBy("split").agg(
+        F.sum("n").alias("records"), F.count("*").alias("patterns"), F.max("n").alias("largest"), F.round(F.count("*") / F.sum("n"), 9).alias("unique_share"), F.count_if("mixed").alias("shared"), unseen.alias("unseen_records")
+    )
+    m = F.col("prevalence")
+    bits_of = bit_prevalence(rows, k).groupBy("split").agg(F.count_if((m == 0) | (m == 1)).alias("constant_bits"), F.count_if((m <= 0.01) | (m >= 0.99)).alias("rare_bits"))
+    return out.join(bits_of, "split")

@@ -6,16 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from antigen.operators.evaluation import cumulated
+
 
 def melted(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """(keys, feature, x): a row for each feature."""
     return df.unpivot(keys, features, "feature", "x")
 
 
+def quantiles(long: DataFrame, shares: list[float], by: str = "feature", x: str = "x", accuracy: int = 10000) -> DataFrame:
+    """(by, share, value): exact quantiles, linearly interpolated, of each group's values that are not null.
+
+    Approximate quantiles bracket each one; the values below a bracket are only counted, and those within it, a few in
+    `accuracy`, are counted by value and ordered. So no task holds a group's values."""
+    some = long.where(F.col(x).isNotNull())
+    room = 2.0 / accuracy
+    around = F.array(*(F.lit(min(1.0, max(0.0, s + d))) for s in shares for d in (-room, room)))
+    brackets = some.groupBy(by).agg(F.percentile_approx(x, around, accuracy).alias("_a"), F.min(x).alias("_min"), F.max(x).alias("_max"), F.count("*").alias("_all"))
+    place = lambda s: F.lit(s) * (F.col("_all") - 1)
+    # positions from 0: the two that a quantile lies between
+    each = F.array(*(
+        F.struct(
+            F.lit(s).alias("share"), F.when(F.lit(s - room <= 0), F.col("_min")).otherwise(F.col("_a")[2 * i]).alias("lo"), F.when(F.lit(s + room >= 1), F.col("_max")).otherwise(F.col("_a")[2 * i + 1]).alias("hi"),
+            F.floor(place(s)).alias("at"), (place(s) - F.floor(place(s))).alias("part"),
+        )
+        for i, s in enumerate(shares)
+    ))
+    wanted = brackets.select(F.col(by).alias("_of"), F.explode(each).alias("q"))
+    wanted = F.broadcast(wanted.groupBy("_of").agg(F.collect_list("q").alias("_q")))  # a row a feature
+    marked = some.join(wanted, F.col(by) == F.col("_of")).select(by, x, F.explode("_q").alias("q")).where(F.col(x) <= F.col("q.hi"))
+    # values under the bracket count as one that is null
+    counts = marked.groupBy(by, "q", F.when(F.col(x) >= F.col("q.lo"), F.col(x)).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(by, "q").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    run = counts.withColumn("_upto", upto).where("_v is not null")
+    value = lambda k: F.min(F.when(F.col("_upto") > F.col("q.at") + k, F.col("_v")))
+    found = run.groupBy(by, "q").agg(value(0).alias("_low"), value(1).alias("_high"))
+    mid = F.col("_low") + F.when(F.col("q.part") > 0, (F.col("_high") - F.col("_low")) * F.col("q.part")).otherwise(0.0)
+    return found.select(by, F.col("q.share").alias("share"), mid.alias("value"))
+
+
 def statistics(train: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, lo, hi, median): one pass of aggregates over training rows; one row of results is melted."""
+    """(feature, lo, hi, median) over training rows; all null for a feature without values."""
     long = melted(train, [], features)
-    return long.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile("x", F.lit(0.5)).alias("median"))
+    ends = long.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return ends.join(quantiles(long, [0.5]).select("feature", F.col("value").alias("median")), "feature", "left")
 
 
 def fitted(stats: DataFrame) -> dict[str, dict]:
@@ -33,6 +67,48 @@ def imputed(x: str, p: dict) -> Column:
     return F.coalesce(F.col(x), F.lit(p["median"]), F.lit(0.0)).alias(x)
 
 
+def with_values(parameters: dict[str, dict], features: list[str]) -> list[str]:
+    """The features that have any value in training; the others are dropped before imputation."""
+    return [f for f in features if parameters[f]["hi"] is not None]
+
+
+def imputed_cells(df: DataFrame, by: str, features: list[str]) -> DataFrame:
+    """(by, feature, cells): how many missing values imputation fills."""
+    return df.groupBy(by).agg(*(F.count_if(F.col(f).isNull()).alias(f) for f in features)).unpivot(by, features, "feature", "cells")
+
+
+def reindexed(df: DataFrame, columns: list[str], keys: list[str] = (), fill: float = 0.0) -> DataFrame:
+    """Exactly `columns`, in order, behind the keys: further ones are dropped, missing ones are the constant."""
+    return df.select(*keys, *(F.col(c) if c in df.columns else F.lit(fill).alias(c) for c in columns))
+
+
+def joined_names(names: Column) -> Column:
+    """A list of feature names as one text."""
+    return F.array_join(names, "|")
+
+
+def parted_names(text: str | Column) -> Column:
+    """The list of feature names that a text holds; an empty text holds none."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, r"\|"))
+
+
+def vocabulary(df: DataFrame, column: str, most: int = 10000) -> list[str]:
+    """The distinct values of a training column, sorted; more than `most` are an error, as each becomes a column."""
+    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(found)
+
+
+def top(ranks: DataFrame, k: int) -> DataFrame:
+    """The first k of a ranking; fewer than one or more than there are is an error."""
+    n = ranks.count()
+    if not 0 < k <= n:
+        raise ValueError(f"{k} of {n} features are asked for")
+    return ranks.where(F.col("rank") <= k)
+
+
 def one_hot(df: DataFrame, column: str, vocabulary: list[str]) -> DataFrame:
     """A column for each training value; unseen and missing values are 0 throughout."""
     return df.select("*", *(F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in vocabulary))
@@ -47,8 +123,8 @@ def discrete_mask(df: DataFrame, features: list[str]) -> DataFrame:
 
 def bin_edges(train: DataFrame, features: list[str], bins: int = 10) -> dict[str, list[float]]:
     """Distinct inner quantiles of each feature, on the driver: bins - 1 numbers a feature at most."""
-    share = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    rows = melted(train, [], features).groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("x", share))).alias("e")).collect()
+    found = quantiles(melted(train, [], features), [i / bins for i in range(1, bins)])
+    rows = found.groupBy("feature").agg(F.array_sort(F.collect_set("value")).alias("e")).collect()
     return {r["feature"]: r["e"] for r in rows}
 
 
@@ -63,9 +139,13 @@ def binned(x: str, edges: list[float]) -> Column:
 def mutual_information(long: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """(by, mi): plug-in mutual information in nats of two discrete columns in each group. Counts are aggregated first,
     so the windows run over distinct value pairs."""
-    n = long.groupBy(*by, x, y).agg(F.count("*").alias("n"))
+    return counted_information(long.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n")), by)
+
+
+def counted_information(n: DataFrame, by: list[str]) -> DataFrame:
+    """The same from counts n of value pairs (x, y)."""
     over = lambda *c: F.sum("n").over(Window.partitionBy(*by, *c))
-    terms = n.select(*by, "n", over(x).alias("nx"), over(y).alias("ny"), over().alias("all"))
+    terms = n.select(*by, "n", over("x").alias("nx"), over("y").alias("ny"), over().alias("all"))
     return terms.groupBy(*by).agg(F.sum(F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("nx") * F.col("ny")))).alias("mi"))
 
 
@@ -117,9 +197,15 @@ def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
 
 
 def pair_information(bins: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, mi) for all pairs of discrete features: rows become pairs of values and are counted at once."""
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(sorted(features)) for b in sorted(features)[i + 1 :]))
-    return mutual_information(bins.select(F.explode(pairs).alias("p")).select("p.*"), ["a", "b"])
+    """(a, b, mi) for all pairs of discrete features of values from 0 to 99: a row becomes one number for each pair, which is
+    counted in the task."""
+    names = sorted(features)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    codes = F.array(*((F.col(a) * 100 + F.col(b) + i * 10000).cast("int") for i, (a, b) in enumerate(pairs)))
+    counts = bins.select(F.explode(codes).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    named = F.element_at(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs)), F.floor(F.col("c") / 10000).cast("int") + 1)
+    counts = counts.withColumn("p", named).select("p.a", "p.b", F.floor(F.col("c") % 10000 / 100).alias("x"), (F.col("c") % 100).alias("y"), "n")
+    return counted_information(counts, ["a", "b"])
 
 
 def mrmr(relevance: dict[str, float], redundancy: dict[tuple[str, str], float]) -> list[str]:
@@ -138,6 +224,7 @@ def mrmr(relevance: dict[str, float], redundancy: dict[tuple[str, str], float])
 
 
 def average_rank(df: DataFrame, by: list[str], x: str, out: str) -> DataFrame:
-    """Adds the rank of x in its group, the mean of the ranks for ties."""
-    w = Window.partitionBy(*by)
-    return df.withColumn(out, F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2)
+    """Adds the rank of x in its group, the mean of the ranks for ties. Distinct values are counted and ranked in ranges."""
+    counts = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
+    ranks = cumulated(counts, by, x, ["_n"]).select(*by, x, (F.col("upto__n") - (F.col("_n") - 1) / 2).alias(out))
+    return df.join(ranks, [*by, x])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,27 +20,46 @@ def lowest_of_each(df: DataFrame, by: list[str], n: int, seed: int, key: str = "
     return df.withColumn("priority", uniform_hash(seed, key)).withColumn("at", F.row_number().over(w)).where(F.col("at") <= n).drop("at")
 
 
-def safe_strata(df: DataFrame, label: str = "label", y: str = "y") -> DataFrame:
-    """Adds `stratum` and `strategy`: labels of fewer than two rows are pooled by class; if that leaves one stratum or
-    one of fewer than two rows, the class itself is the stratum."""
-    n = F.count("*").over(Window.partitionBy(label))
-    pooled = df.withColumn("stratum", F.when(n >= 2, F.col(label)).when(F.col(y) == 0, "__RARE_NORMAL__").otherwise("__RARE_ATTACK__")).withColumn("rare", n < 2)
-    sizes = pooled.groupBy("stratum").agg(F.count("*").alias("n"), F.count_if("rare").alias("r"))
-    verdict = sizes.agg(((F.count("*") > 1) & (F.min("n") >= 2)).alias("fits"), F.sum("r").alias("pooled"))
-    out = pooled.drop("rare").crossJoin(F.broadcast(verdict))  # one row
-    name = F.when(F.col("fits") & (F.col("pooled") > 0), "label_with_rare_pooling").when(F.col("fits"), "label").otherwise("binary")
-    return out.withColumn("strategy", name).withColumn("stratum", F.when(F.col("fits"), F.col("stratum")).otherwise(F.col(y).cast("string"))).drop("fits")
+#: Ranges of the hash that the rows of one group are ranked in, so that no task holds a whole group.
+RANGES = 4096
+
+
+def placed(df: DataFrame, by: list[str], priority: Column, key: str = "id") -> DataFrame:
+    """Adds `at`, a row's place (from 1) in its group by priority (a 32-bit hash) and key, and `n`, the group's rows. Rows are
+    ranked within ranges of the hash, and the ranges' counts give where each begins: exact, and no task sorts a group."""
+    ranged = df.withColumn("_p", priority).withColumn("_range", F.shiftright("_p", 32 - RANGES.bit_length() + 1))
+    own = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumn("_before", before).withColumn("n", F.sum("_n").over(own)).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_p", key))
+    return ranged.join(counts, [*by, "_range"]).withColumn("at", F.col("_before") + within).drop("_p", "_range", "_before")
+
+
+def safe_strata(df: DataFrame, label: str = "label", y: str = "y", by_label: bool = True) -> DataFrame:
+    """Adds `stratum`, `strategy` and `pooled`, how many labels were pooled.
+
+    Labels of fewer than two rows are pooled by class; if that leaves one stratum or one of fewer than two rows, the class
+    itself is the stratum (binary_fallback). Without such labels all stay (original_label)."""
+    if not by_label:
+        return df.withColumn("stratum", F.col(y).cast("string")).withColumn("strategy", F.lit("binary")).withColumn("pooled", F.lit(0).cast("long"))
+    pool = F.when(F.col("_n") >= 2, F.col(label)).when(F.col(y) == 0, "__RARE_NORMAL__").otherwise("__RARE_ATTACK__")
+    labels = df.groupBy(label, y).agg(F.count("*").alias("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(label))).withColumn("stratum", pool)  # a row a label and class
+    sizes = labels.groupBy("stratum").agg(F.sum("_c").alias("c"), F.count_distinct(F.when(F.col("_n") < 2, F.col(label))).alias("r"))
+    verdict = sizes.agg(((F.count("*") > 1) & (F.min("c") >= 2)).alias("fits"), F.sum("r").alias("pooled"))
+    out = df.join(F.broadcast(labels.select(label, y, "stratum")), [label, y]).crossJoin(F.broadcast(verdict))  # labels of one table, and one row
+    rare = F.col("pooled") > 0
+    name = F.when(~rare, "original_label").when(F.col("fits"), "original_label_with_rare_pooling").otherwise("binary_fallback")
+    return out.withColumn("strategy", name).withColumn("stratum", F.when(rare & ~F.col("fits"), F.col(y).cast("string")).otherwise(F.col("stratum"))).drop("fits")
 
 
 def stratified_split(df: DataFrame, by: str, test: float, validation: float, seed: int, key: str = "id") -> DataFrame:
     """Adds `split`: in each stratum the first round(test * n) rows by hash are test, the next round(validation * rest)
     validation, the others train. Exact, unlike a random split."""
-    w = Window.partitionBy(by)
-    at = F.row_number().over(w.orderBy("_p", key))
-    n_test = F.floor(F.count("*").over(w) * test + 0.5)
-    out = df.withColumn("_p", uniform_hash(seed, key)).withColumn("_at", at).withColumn("_n", F.count("*").over(w)).withColumn("_t", n_test)
-    n_val = F.floor((F.col("_n") - F.col("_t")) * validation + 0.5)
-    return out.withColumn("split", F.when(F.col("_at") <= F.col("_t"), "test").when(F.col("_at") <= F.col("_t") + n_val, "validation").otherwise("train")).drop("_p", "_at", "_n", "_t")
+    out = placed(df, [by], uniform_hash(seed, key), key)
+    n_test = F.floor(F.col("n") * test + 0.5)
+    n_val = F.floor((F.col("n") - n_test) * validation + 0.5)
+    split = F.when(F.col("at") <= n_test, "test").when(F.col("at") <= n_test + n_val, "validation").otherwise("train")
+    return out.withColumn("split", split).drop("at", "n").select(*df.columns, "split")
 
 
 def class_cap(df: DataFrame, n: int, seed: int, y: str = "y", key: str = "id") -> DataFrame:
@@ -53,8 +72,7 @@ def class_cap(df: DataFrame, n: int, seed: int, y: str = "y", key: str = "id") -
 
 
 def resamples(df: DataFrame, seeds: list[int], share: float, y: str = "y", key: str = "id") -> DataFrame:
-    """(seed, ...) rows: `share` of each class for each seed."""
-    w = Window.partitionBy("seed", y)
-    many = df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    many = many.withColumn("p", uniform_hash(F.col("seed"), key)).withColumn("at", F.row_number().over(w.orderBy("p", key))).withColumn("n", F.count("*").over(w))
-    return many.where(F.col("at") <= F.floor(F.col("n") * share + 0.5)).drop("p", "at", "n")
+    """(seed, ...) rows: `share` of each class for each seed. A class of fewer than two rows is an error."""
+    many = placed(df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))), ["seed", y], uniform_hash(F.col("seed"), key), key)
+    n = F.when(F.col("n") < 2, F.raise_error(F.lit("a class has fewer than two rows")).cast("long")).otherwise(F.col("n"))
+    return many.where(F.col("at") <= F.floor(n * share + 0.5)).select("seed", *df.columns)

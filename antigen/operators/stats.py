@@ -3,30 +3,51 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from antigen.functions.special import clopper_pearson, t_quantile
+from antigen.functions.special import clopper_pearson, t_quantile, wilcoxon_p
 
 
-def t_table(df: DataFrame, most: int, confidence: float = 0.95) -> DataFrame:
-    """(n, t): Student's t for n - 1 degrees of freedom, n up to `most`."""
-    rows = [(n, t_quantile((1 + confidence) / 2, n - 1)) for n in range(2, most + 1)]
-    return df.sparkSession.createDataFrame(rows, "n long, t double")
+#: Distinct counts of runs, of successes in runs or of pairs that a table of quantiles may have: a row each.
+MOST_COUNTS = 100_000
 
 
-def interval(df: DataFrame, by: list[str], metric: str, most: int = 200) -> DataFrame:
+def looked_up(df: DataFrame, keys: list[str], columns: list[str], value: Callable) -> DataFrame:
+    """Adds `columns`, what `value` gives for the keys, which are counts: the distinct ones are computed once on the driver
+    and joined. More than MOST_COUNTS are an error."""
+    known = df.select(*keys).distinct().limit(MOST_COUNTS + 1).collect()
+    if len(known) > MOST_COUNTS:
+        raise ValueError(f"more than {MOST_COUNTS} distinct counts")
+    rows = [(*r, *value(*r)) for r in known if None not in tuple(r)]
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys) + "".join(f", {c} double" for c in columns)
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), keys, "left").select(*df.columns, *columns)  # MOST_COUNTS rows
+
+
+def interval(df: DataFrame, by: list[str], metric: str, confidence: float = 0.95) -> DataFrame:
     """n, mean, std (sample) and Student interval of each group; one value has std 0 and its own interval, none has nulls."""
     x = F.when(F.col(metric).isNotNull() & (F.abs(metric) < float("inf")), F.col(metric))
     g = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.when(F.count(x) == 1, 0.0)).alias("std"))
-    g = g.join(F.broadcast(t_table(df, most)), "n", "left")  # `most` rows
-    half = F.coalesce(F.col("t") * F.col("std") / F.sqrt("n"), F.lit(0.0))
+    g = looked_up(g, ["n"], ["t"], lambda n: (t_quantile((1 + confidence) / 2, n - 1) if n > 1 else 0.0,))
+    half = F.col("t") * F.col("std") / F.sqrt("n")
     return g.select(*by, "n", "mean", "std", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
+def repeated_runs(df: DataFrame, by: list[str], metrics: list[str], seed: str = "seed", confidence: float = 0.95) -> DataFrame:
+    """(by, metric, runs, seeds, n, mean, std, low, high) of each group and metric; seeds are a text, the least first. Null keys
+    are groups of their own."""
+    long = df.unpivot([*by, seed], metrics, "metric", "value")
+    keys = [*by, "metric"]
+    # nulls of the keys have to meet
+    named = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    stat = interval(long.withColumn("_k", named), ["_k"], "value", confidence)
+    runs = long.withColumn("_k", named).groupBy("_k", *keys).agg(F.count("*").alias("runs"), F.array_join(F.array_sort(F.collect_set(seed)), "|").alias("seeds"))
+    return runs.join(stat, "_k").drop("_k")
+
+
 def summary(df: DataFrame, by: list[str], metrics: list[str], population: bool = False) -> DataFrame:
     """Runs, seeds and the mean and deviation of each metric."""
     std = F.stddev_pop if population else F.stddev_samp
@@ -52,9 +73,37 @@ def paired(df: DataFrame, keys: list[str], of: str, a: str, b: str, metrics: lis
     return side(a).join(side(b), keys)
 
 
+def paired_differences(df: DataFrame, by: list[str], directions: dict[str, int], a: str, b: str, tie: float = 1e-12) -> DataFrame:
+    """For each group and metric of `paired` rows: pairs, both means, mean and median difference, and wins, ties and losses of
+    a; a direction of -1 means that less is better."""
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(s).alias("s"), F.col(f"{m}_{a}").alias("x"), F.col(f"{m}_{b}").alias("y")) for m, s in directions.items()))
+    long = df.select(*by, F.explode(each).alias("v")).select(*by, "v.*").withColumn("d", F.col("x") - F.col("y"))
+    gain = F.col("d") * F.col("s")
+    return long.groupBy(*by, "metric").agg(
+        F.when(F.max("s") < 0, "lower").otherwise("higher").alias("better"), F.count("d").alias("pairs"), F.avg("x").alias(f"mean_{a}"), F.avg("y").alias(f"mean_{b}"), F.avg("d").alias("mean_diff"), F.median("d").alias("median_diff"),
+        F.count_if(gain > tie).alias("wins"), F.count_if(F.abs(gain) <= tie).alias("ties"), F.count_if(gain < -tie).alias("losses"),
+    )
+
+
+def first_runs(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n run specs by a full order, with their `place` from 1."""
+    first = df.orderBy(*order).limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # n rows
+
+
+def check(df: DataFrame, name: str, value: Column, ok: Callable[[Column], Column]) -> DataFrame:
+    """(check, passed, evidence): one aggregate of a table and whether it is as it should be."""
+    return df.agg(value.alias("v")).select(F.lit(name).alias("check"), ok(F.col("v")).alias("passed"), F.col("v").cast("string").alias("evidence"))
+
+
+def none_of(df: DataFrame, name: str, bad: Column) -> DataFrame:
+    """A check that no row is bad."""
+    return check(df, name, F.count_if(bad), lambda n: n == 0)
+
+
 def signed_ranks(df: DataFrame, by: list[str], d: str = "diff", zero: float = 1e-8) -> DataFrame:
-    """n, W+, W-, rank-biserial effect and two-sided Wilcoxon p (normal, tie-corrected): differences of about zero are dropped;
-    without any, the statistic is 0 and p is 1."""
+    """n, W+, W-, rank-biserial effect, z (tie-corrected) and the ties' sum of t^3 - t over each tie: differences of about zero
+    are dropped; without any, the statistic is 0 and z is missing."""
     x = df.where(F.abs(d) > zero).select(*by, d, F.round(F.abs(d), 12).alias("_a"))
     w = Window.partitionBy(*by)
     n_tie = F.count("*").over(Window.partitionBy(*by, "_a"))
@@ -68,16 +117,22 @@ def signed_ranks(df: DataFrame, by: list[str], d: str = "diff", zero: float = 1e
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     z = F.when(F.col("n") > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / sd)
     total = F.col("w_plus") + F.col("w_minus")
-    return out.select(*by, "n", "w_plus", "w_minus", F.when(total > 0, (F.col("w_plus") - F.col("w_minus")) / total).otherwise(0.0).alias("effect"), z.alias("z"))
+    return out.select(*by, "n", "w_plus", "w_minus", F.when(total > 0, (F.col("w_plus") - F.col("w_minus")) / total).otherwise(0.0).alias("effect"), z.alias("z"), F.col("ties").cast("double").alias("ties"))
+
 
+#: Up to so many differences without ties the p of the signed ranks is exact.
+EXACT_PAIRS = 50
 
-def with_normal_p(df: DataFrame, z: str = "z") -> DataFrame:
-    """Adds the two-sided normal p of z; 1 where z is missing. A row for each family of tests."""
-    @F.udf(T.DoubleType(), useArrow=True)
-    def p(v: float) -> float:
-        return 1.0 if v is None else min(1.0, math.erfc(abs(v) / math.sqrt(2)))
 
-    return df.withColumn("p", p(z))
+def with_signed_p(df: DataFrame) -> DataFrame:
+    """Adds `p` to the rows of `signed_ranks`: exact for up to EXACT_PAIRS differences without ties, else the two-sided normal
+    one of z; 1 where no difference is left."""
+    least = F.least("w_plus", "w_minus")
+    exact = (F.col("n") > 0) & (F.col("n") <= EXACT_PAIRS) & (F.col("ties") == 0)
+    keyed = df.withColumn("_w", F.when(exact, least)).withColumn("_n", F.when(exact, F.col("n")))
+    keyed = looked_up(keyed, ["_w", "_n"], ["_exact"], lambda w, n: (wilcoxon_p(w, n),))
+    normal = looked_up(keyed.withColumn("_z", F.when(~exact, F.col("z"))), ["_z"], ["_normal"], lambda z: (min(1.0, math.erfc(abs(z) / math.sqrt(2))),))
+    return normal.withColumn("p", F.coalesce("_exact", "_normal", F.lit(1.0))).drop("_w", "_n", "_z", "_exact", "_normal")
 
 
 def holm(df: DataFrame, family: list[str], p: str = "p") -> DataFrame:
@@ -89,6 +144,12 @@ def holm(df: DataFrame, family: list[str], p: str = "p") -> DataFrame:
     return df.withColumn("_s", step).withColumn("p_holm", F.when(some, F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
 
 
+def holm_with_subfamily(df: DataFrame, member: Column, p: str = "p") -> DataFrame:
+    """Adds `p_holm` over all tests, and `p_holm_sub` over those of the sub-family alone, null elsewhere."""
+    sub = holm(df.withColumn("_sub", F.when(member, F.col(p))), [], "_sub").withColumnRenamed("p_holm", "p_holm_sub").drop("_sub")
+    return holm(sub, [], p)
+
+
 def bootstrap(df: DataFrame, by: list[str], d: str, replicates: int, seed: int) -> DataFrame:
     """Percentile interval of the mean of each group's differences: a replicate draws by hash from the group's sorted values,
     which are run rows, few for each group. Groups times replicates are the rows of the job."""
@@ -102,13 +163,27 @@ def bootstrap(df: DataFrame, by: list[str], d: str, replicates: int, seed: int)
     return means.groupBy(*by).agg(F.max("mean").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
-def binomial_interval(df: DataFrame, x: str = "met", n: str = "runs") -> DataFrame:
+def binomial_interval(df: DataFrame, x: str = "met", n: str = "runs", confidence: float = 0.95) -> DataFrame:
     """Adds the exact (Clopper-Pearson) interval of x successes in n. Each distinct pair is computed once."""
-    pairs = df.select(F.col(x).alias("_x"), F.col(n).alias("_n")).distinct()
+    return looked_up(df, [x, n], ["low", "high"], lambda a, b: clopper_pearson(a, b, confidence))
+
+
+def reliability(df: DataFrame, target: str, validation: str, test: str) -> DataFrame:
+    """Adds the absolute errors of both rates to the target, their drift, and whether the test rate keeps it."""
+    error = lambda c: F.abs(F.col(c) - F.col(target))
+    return df.select(
+        "*", error(validation).alias("validation_error"), error(test).alias("test_error"), (F.col(test) - F.col(validation)).alias("drift"),
+        (F.col(test) <= F.col(target) + 1e-12).alias("met"),
+    )
+
+
+def locked(df: DataFrame, by: list[str], order: list[Column], limit: Column) -> DataFrame:
+    """The first configuration of each group among those that keep the limit; a group where none does is an error."""
+    out = first_by(within_limit_or_all(df, by, limit), by, order)
+    checked = F.when(F.col("rule") == "fallback", F.raise_error(F.lit("no configuration keeps the limit"))).otherwise(F.lit(True))
+    return out.where(checked).drop("rule")
 
-    @F.udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
-    def exact(a: int, b: int):
-        return clopper_pearson(a, b)
 
-    known = pairs.withColumn("_ci", exact("_x", "_n"))
-    return df.join(known, (F.col(x) == F.col("_x")) & (F.col(n) == F.col("_n"))).select(*df.columns, F.col("_ci.low").alias("low"), F.col("_ci.high").alias("high"))
+def compatible(df: DataFrame, reference: DataFrame, keys: list[str], hashes: list[str]) -> DataFrame:
+    """Rows whose partition and feature hashes are those of the reference's rows of the same keys."""
+    return df.join(reference.select(*keys, *hashes).distinct(), [*keys, *hashes], "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antigen.functions import labels as L
-from antigen.functions.hashing import uniform_hash
+from antigen.functions.hashing import mixed, uniform_hash, wide_hash
 from antigen.operators import cleaning, sampling
 from antigen.operators import features as X
 from antigen.plans import views as V
@@ -29,13 +29,24 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder where the cluster keeps shared files, else a temporary one (tests)."""
+    """A new folder where the cluster keeps shared files; a local session gets a temporary one."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-files-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-files-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Rows that several steps read, computed once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # --- reading -------------------------------------------------------------------------------------------------------
 
 
@@ -46,17 +57,17 @@ def scan_ragged(spark: SparkSession, d: str) -> DataFrame:
     return files.read_positional(spark, path, ["id", "flag", "label", "difficulty"], "difficulty")
 
 
-@query("scan_files", f"""WITH {V.FLOWS} SELECT 's=' || src AS folder, CAST(count(*) AS BIGINT) AS n, round(sum(quantity), 6) AS quantity FROM flows GROUP BY 1""")
+@query("scan_files", f"""WITH {V.FLOWS} SELECT 's=' || src AS folder, CAST(count(*) AS BIGINT) AS n, round(sum(quantity), 6) AS quantity, CAST(count(*) - 1 AS BIGINT) AS last_row, CAST(count(*) AS BIGINT) AS places FROM flows GROUP BY 1""")
 def scan_files(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark)
-    V.flows(spark, d).select(F.col("src").alias("s"), "id", F.col("quantity").alias(" Flow  Quantity ")).write.partitionBy("s").csv(path, header=True)
-    df = files.read_flow_files(spark, path).withColumn("folder", F.regexp_extract(F.input_file_name(), r"(s=\d+)/[^/]+$", 1))
-    return df.groupBy("folder").agg(F.count("*").alias("n"), F.round(F.sum(F.col("Flow Quantity").cast("double")), 6).alias("quantity"))
+    V.flows(spark, d).select(F.col("src").alias("s"), "id", F.col("quantity").alias(" Flow  Quantity ")).repartition("s").write.partitionBy("s").csv(path, header=True)
+    df = files.read_flow_files(spark, path).withColumn("folder", F.regexp_extract("source_file", r"(s=\d+)/[^/]+$", 1))
+    return df.groupBy("folder").agg(F.count("*").alias("n"), F.round(F.sum(F.col("Flow Quantity").cast("double")), 6).alias("quantity"), F.max("source_row").alias("last_row"), F.count_distinct("source_row").alias("places"))
 
 
-@query("bounded_scan", f"WITH {V.FLOWS} SELECT src, id, y FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY id) AS pos FROM flows) WHERE pos <= 100")
+@query("bounded_scan", f"WITH {V.FLOWS} SELECT src, id, y, n <= 800 AS scan_complete FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY id) AS pos, count(*) OVER (PARTITION BY src) AS n FROM flows) WHERE pos <= 800")
 def bounded_scan(spark: SparkSession, d: str) -> DataFrame:
-    return files.bounded(V.flows(spark, d), "src", ["id"], 100).select("src", "id", "y")
+    return files.bounded(V.flows(spark, d), "src", ["id"], 800).select("src", "id", "y", "scan_complete")
 
 
 @query("journal_read", "SELECT event_id, user_id, event_type FROM events")
@@ -74,10 +85,40 @@ def union_results(spark: SparkSession, d: str) -> DataFrame:
     return files.union_tables(r.where("dataset = 'A'").select("dataset", "method", "k", "seed", "f1"), r.where("dataset = 'N'").select("dataset", "method", "k", "seed", "cost"))
 
 
-@query("schema_provenance")
+@query("result_table", f"WITH {V.RUNS} SELECT dataset, method, k, target, seed, f1, tn FROM runs")
+def result_table(spark: SparkSession, d: str) -> DataFrame:
+    """Written as text and read again: doubles come back digit for digit."""
+    path = scratch(spark)
+    rows = V.runs(spark, d).select(*V.RUN_KEYS, "f1", "tn")
+    for name in ("A", "N", "R"):
+        files.write_table(rows.where(F.col("dataset") == name), f"{path}/{name}")
+    return files.read_tables(spark, [f"{path}/{n}" for n in ("A", "N", "R")], "dataset string, method string, k int, target double, seed long, f1 double, tn long")
+
+
+@query("prepared_reuse", f"WITH {V.FLOWS} SELECT label, CAST(count(*) AS BIGINT) AS n, round(sum(price), 2) AS price, false AS first_known, true AS again_known FROM flows GROUP BY 1")
+def prepared_reuse(spark: SparkSession, d: str) -> DataFrame:
+    path, source = scratch(spark), V.flows(spark, d).select("id", "label", "price")
+    build = lambda df: df.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price"))
+    _, before = files.prepared(path, {"features": ["price"]}, source, build)
+    again, known = files.prepared(path, {"features": ["price"]}, source.repartition(3), build)
+    return again.select("*", F.lit(before).alias("first_known"), F.lit(known).alias("again_known"))
+
+
+SCHEMAS = {
+    "events": "event_id user_id ts event_type props value", "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority o_totalprice o_orderdate",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+}
+LABELS = {"l_returnflag": "label", "event_type": "label"}
+PROVENANCE = " UNION ALL ".join(
+    f"SELECT '{t}' AS source, {i} AS position, '  {c} ' AS raw_name, '{c}' AS name, {c not in LABELS} AS retained, '{LABELS.get(c, 'predictor')}' AS reason, CAST(count(*) AS BIGINT) AS rows, CAST(count(nullif({c}, {c})) + count({c}) AS BIGINT) AS present FROM {t}"
+    for t, names in SCHEMAS.items() for i, c in enumerate(names.split())
+)
+
+
+@query("schema_provenance", PROVENANCE)
 def schema_provenance(spark: SparkSession, d: str) -> DataFrame:
-    names = {t: [f"  {c} " for c in V.table(spark, d, t).columns] for t in ("lineitem", "orders", "events")}
-    return files.schema_provenance(spark, names, {"l_returnflag": "label", "event_type": "label"})
+    sources = {t: V.table(spark, d, t).select(*(F.col(c).alias(f"  {c} ") for c in names.split())) for t, names in SCHEMAS.items()}
+    return files.schema_provenance(sources, LABELS)
 
 
 # --- labels and cleaning ---------------------------------------------------------------------------------------------
@@ -94,24 +135,31 @@ def binary_label(spark: SparkSession, d: str) -> DataFrame:
     return V.flows(spark, d).select("id", L.binary_label("label", "normal").alias("attack"))
 
 
-#: Stand-in attack names for event types, so that the dictionary join has keys to meet (fixed values).
-EVENT_NAMES = {"click": "neptune", "view": "normal", "purchase": "satan", "error": "phf", "login": "rootkit"}
+#: All attack names, in a fixed order, and one that no family has; rows of events take them in turn.
+NAMES = [n for names in L.FAMILIES.values() for n in names] + ["something else"]
+NAME_SQL = f"list_value({', '.join(repr(n) for n in NAMES)})[CAST(event_id % {len(NAMES)} AS INT) + 1]"
+FAMILY_SQL = "CASE name " + " ".join(f"WHEN '{n}' THEN '{f}'" for f, names in L.FAMILIES.items() for n in names) + " ELSE 'Unknown' END"
 
 
-@query("category_map", """SELECT event_id, CASE event_type WHEN 'click' THEN 'DoS' WHEN 'view' THEN 'Normal' WHEN 'purchase' THEN 'Probe' WHEN 'error' THEN 'R2L' WHEN 'login' THEN 'U2R' ELSE 'Unknown' END AS category FROM events""")
+@query("category_map", f"SELECT event_id, name, {FAMILY_SQL} AS category FROM (SELECT event_id, {NAME_SQL} AS name FROM events)")
 def category_map(spark: SparkSession, d: str) -> DataFrame:
-    events = V.table(spark, d, "events")
-    name = F.col("event_type")
-    for a, b in EVENT_NAMES.items():
-        name = F.when(F.col("event_type") == a, b).otherwise(name)
+    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("event_id") % len(NAMES)).cast("int"))
     known = spark.createDataFrame([(n, f) for f, names in L.FAMILIES.items() for n in names], "name string, category string")  # a fixed dictionary
-    return events.withColumn("name", L.normalize_simple(name)).join(F.broadcast(known), "name", "left").select("event_id", F.coalesce("category", F.lit("Unknown")).alias("category"))
+    events = V.table(spark, d, "events").select("event_id", L.normalize_simple(F.concat(F.lit(" "), F.upper(name), F.lit(". "))).alias("name"))
+    return events.join(F.broadcast(known), "name", "left").select("event_id", "name", F.coalesce("category", F.lit("Unknown")).alias("category"))
 
 
-@query("category_pattern", """SELECT event_id, CASE event_type WHEN 'click' THEN 'Brute Force' WHEN 'view' THEN 'Normal' WHEN 'purchase' THEN 'DDoS' WHEN 'error' THEN 'Web Attack' ELSE 'Unknown' END AS category FROM events""")
+#: Labels as they are written, and the family of each.
+WRITTEN = {
+    "BENIGN": "Normal", " Benign ": "Normal", "DDoS": "DoS/DDoS", "DoS Hulk": "DoS/DDoS", "DoS GoldenEye": "DoS/DDoS", "DoS slowloris": "DoS/DDoS", "DoS Slowhttptest": "DoS/DDoS", "DoS": "Unknown",
+    "FTP-Patator": "Brute Force", "SSH-Patator": "Brute Force", "Web Attack \ufffd  Brute Force": "Brute Force", "Web Attack \u0096 XSS": "Web Attack", "XSS": "Web Attack", "Sql Injection": "Web Attack",
+    "Web Attack": "Web Attack", "PortScan": "PortScan", "Port Scan": "Unknown", "Bot": "Bot", "Infiltration": "Infiltration", "Infilteration": "Infiltration", "Heartbleed": "Heartbleed", "odd": "Unknown",
+}
+
+
+@query("category_pattern", f"SELECT event_id, list_value({', '.join(repr(f) for f in WRITTEN.values())})[CAST(event_id % {len(WRITTEN)} AS INT) + 1] AS category FROM events")
 def category_pattern(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("event_type")
-    name = F.when(t == "click", "Web Attack �  Brute Force").when(t == "view", " Benign").when(t == "purchase", "DDoS").when(t == "error", "Web Attack - XSS").otherwise(F.lit("odd"))
+    name = F.get(F.array(*map(F.lit, WRITTEN)), (F.col("event_id") % len(WRITTEN)).cast("int"))
     return V.table(spark, d, "events").select("event_id", L.family_by_pattern(name).alias("category"))
 
 
@@ -126,13 +174,15 @@ def clean_flows(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.clean(V.dirty_flows(spark, d), ["quantity", "tax"], "label").select("id", "copy", "src", "quantity", "tax", "label")
 
 
-@query("quality_report", f"""WITH {DIRTY} SELECT src, CAST(count(*) AS BIGINT) AS rows_read, CAST(count(*) FILTER (nl) AS BIGINT) AS no_label,
+@query("quality_report", f"""WITH {CLEAN}, q AS (SELECT coalesce(CAST(src AS VARCHAR), 'ALL_SOURCES') AS src, CAST(count(*) AS BIGINT) AS rows_read, CAST(count(*) FILTER (nl) AS BIGINT) AS no_label,
   CAST(sum(CASE WHEN nl THEN 0 ELSE b END) AS BIGINT) AS not_numbers, CAST(sum(CASE WHEN nl THEN 0 ELSE i END) AS BIGINT) AS not_finite,
   CAST(count(*) FILTER (NOT nl AND v IS NULL) AS BIGINT) AS no_feature, CAST(count(*) FILTER (NOT nl AND v IS NOT NULL) AS BIGINT) AS kept
   FROM (SELECT src, (label IS NULL OR trim(label) = '') AS nl, CASE WHEN quantity = 'bad' THEN 1 ELSE 0 END AS b,
-  (CASE WHEN quantity = 'Infinity' THEN 1 ELSE 0 END) + (CASE WHEN tax = '-Infinity' THEN 1 ELSE 0 END) AS i, coalesce({NUM.format('quantity')}, {NUM.format('tax')}) AS v FROM dirty) GROUP BY ROLLUP (src)""")
+  (CASE WHEN quantity = 'Infinity' THEN 1 ELSE 0 END) + (CASE WHEN tax = '-Infinity' THEN 1 ELSE 0 END) AS i, coalesce({NUM.format('quantity')}, {NUM.format('tax')}) AS v FROM dirty) GROUP BY ROLLUP (src)),
+  f AS (SELECT coalesce(CAST(src AS VARCHAR), 'ALL_SOURCES') AS src, CAST(count(*) AS BIGINT) AS remaining FROM (SELECT *, row_number() OVER (PARTITION BY quantity, tax, label ORDER BY src, id, copy) AS pos FROM clean) WHERE pos = 1 GROUP BY ROLLUP (src))
+  SELECT q.*, coalesce(remaining, 0) AS remaining, kept - coalesce(remaining, 0) AS copies FROM q LEFT JOIN f USING (src)""")
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.quality_report(V.dirty_flows(spark, d), ["quantity", "tax"], "label", "src")
+    return cleaning.quality_report(V.dirty_flows(spark, d), ["quantity", "tax"], "label", "src", ["src", "id", "copy"])
 
 
 @query("dedup_first", f"WITH {CLEAN} SELECT id, copy, quantity, tax, label FROM (SELECT *, row_number() OVER (PARTITION BY quantity, tax, label ORDER BY src, id, copy) AS pos FROM clean) WHERE pos = 1")
@@ -141,23 +191,27 @@ def dedup_first(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.first_of_copies(rows, ["quantity", "tax", "label"], ["src", "id", "copy"]).select("id", "copy", "quantity", "tax", "label")
 
 
-@query("row_hash", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + V.sql_hash("'row'", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag") + " AS hash FROM lineitem")
+@query("row_hash", f"WITH {V.FLOWS} SELECT CAST(row_number() OVER (PARTITION BY src ORDER BY id) - 1 AS BIGINT) AS position, src AS source, label, CASE WHEN y = 0 THEN 'Normal' ELSE 'Attack' END AS category, " + V.sql_wide_hash("'row'", "id", "label") + " AS hash FROM flows")
 def row_hash(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
-    return V.table(spark, d, "lineitem").select(*keys, "l_suppkey", uniform_hash("row", *keys, "l_returnflag").alias("hash"))
+    """The signature table: each row's place in its source, its hash, label, category and source."""
+    f = V.flows(spark, d)
+    rows = files.numbered(f, "src", ["id"], "position")
+    return rows.select("position", F.col("src").alias("source"), "label", F.when(F.col("y") == 0, "Normal").otherwise("Attack").alias("category"), wide_hash("row", "id", "label").alias("hash"))
+
+
+MIX = 42 * 0x9E3779B1 % (1 << 64)
 
 
-@query("priority_sample", f"WITH {V.FLOWS} SELECT id, xor({V.sql_hash(chr(39) + 'row' + chr(39), 'id')}, 2654435769) AS priority FROM flows ORDER BY 2, 1 LIMIT 500")
+@query("priority_sample", f"WITH {V.FLOWS} SELECT id, format('{{:016x}}', xor(CAST('0x' || {V.sql_wide_hash(chr(39) + 'row' + chr(39), 'id')} AS UBIGINT), CAST({MIX} AS UBIGINT))) AS priority FROM flows ORDER BY 2, 1 LIMIT 500")
 def priority_sample(spark: SparkSession, d: str) -> DataFrame:
-    p = uniform_hash("row", "id").bitwiseXOR(F.lit(0x9E3779B9))
-    return V.flows(spark, d).select("id", p.alias("priority")).orderBy("priority", "id").limit(500)
+    return V.flows(spark, d).select("id", mixed(wide_hash("row", "id"), 42).alias("priority")).orderBy("priority", "id").limit(500)
 
 
 @query("drop_feature_variant", f"WITH {V.FLOWS} SELECT id, y, round(quantity + price + tax, 6) AS total FROM flows")
 def drop_feature_variant(spark: SparkSession, d: str) -> DataFrame:
-    kept = [c for c in ("quantity", "price", "discount", "tax") if c != "discount"]
-    f = V.flows(spark, d).drop("discount", "label")
-    return f.select("id", "y", F.round(sum((F.col(c) for c in kept[1:]), F.col(kept[0])), 6).alias("total"))
+    f = V.flows(spark, d).select("id", "y", "quantity", "price", "discount", "tax", "label", F.col("src").alias("__source"))
+    own = cleaning.predictors(f, leaky=["discount"])
+    return own.select("id", "y", F.round(sum((F.col(c) for c in own.columns[3:]), F.col(own.columns[2])), 6).alias("total"))
 
 
 # --- samples and splits -----------------------------------------------------------------------------------------------
@@ -193,7 +247,7 @@ RARE = "CASE WHEN id = (SELECT min(id) FROM flows WHERE y = 1) THEN 'lone-1' WHE
 
 @query("safe_strata", f"""WITH {V.FLOWS}, f AS (SELECT id, y, {RARE} AS label FROM flows), n AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM f),
   p AS (SELECT id, y, n < 2 AS rare, CASE WHEN n >= 2 THEN label WHEN y = 0 THEN '__RARE_NORMAL__' ELSE '__RARE_ATTACK__' END AS stratum FROM n)
-  SELECT stratum, 'label_with_rare_pooling' AS strategy, CAST(count(*) AS BIGINT) AS n, CAST(2 AS BIGINT) AS pooled FROM p GROUP BY 1""")
+  SELECT stratum, 'original_label_with_rare_pooling' AS strategy, CAST(count(*) AS BIGINT) AS n, CAST(2 AS BIGINT) AS pooled FROM p GROUP BY 1""")
 def safe_strata(spark: SparkSession, d: str) -> DataFrame:
     f = V.flows(spark, d).select("id", "y", "label")
     ends = f.where("y = 1").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -206,8 +260,10 @@ s1 AS (SELECT *, floor(n * 0.3 + 0.5) AS nt FROM s0),
 split AS (SELECT *, CASE WHEN pos <= nt THEN 'test' WHEN pos <= nt + floor((n - nt) * 0.2 + 0.5) THEN 'validation' ELSE 'train' END AS split FROM s1)"""
 
 
-def split_flows(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.stratified_split(V.flows(spark, d), "label", 0.3, 0.2, 42)
+def split_flows(spark: SparkSession, d: str, once: bool = False) -> DataFrame:
+    """Flows with their split; `once` for what several steps read."""
+    s = sampling.stratified_split(V.flows(spark, d), "label", 0.3, 0.2, 42)
+    return materialized(s) if once else s
 
 
 @query("stratified_split", f"WITH {SPLIT} SELECT id, label, split FROM split")
@@ -241,11 +297,12 @@ def label_distribution(spark: SparkSession, d: str) -> DataFrame:
     return split_flows(spark, d).groupBy("label").pivot("split", ["train", "validation", "test"]).count().na.fill(0)
 
 
-@query("composition", f"WITH {SPLIT} SELECT split, label, src, CAST(count(*) AS BIGINT) AS n FROM split GROUP BY GROUPING SETS ((label), (split, label), (src, label))")
+@query("composition", f"WITH {SPLIT} SELECT CASE WHEN grouping(split) = 0 THEN 'split_label' WHEN grouping(src) = 0 THEN 'source_label' ELSE 'label' END AS grouping, split, label, src, CAST(count(*) AS BIGINT) AS n FROM split GROUP BY GROUPING SETS ((label), (split, label), (src, label))")
 def composition(spark: SparkSession, d: str) -> DataFrame:
     s = split_flows(spark, d)
     c = F.col
-    return s.groupingSets([[c("label")], [c("split"), c("label")], [c("src"), c("label")]], c("split"), c("label"), c("src")).agg(F.count("*").alias("n"))
+    tag = F.when(F.grouping("split") == 0, "split_label").when(F.grouping("src") == 0, "source_label").otherwise("label")
+    return s.groupingSets([[c("label")], [c("split"), c("label")], [c("src"), c("label")]], c("split"), c("label"), c("src")).agg(F.count("*").alias("n"), tag.alias("grouping"))
 
 
 # --- features ----------------------------------------------------------------------------------------------------------
@@ -257,20 +314,39 @@ UNPIVOT = ", ".join(V.FEATURES)
 @query("one_hot", "WITH v AS (SELECT DISTINCT lang FROM documents WHERE doc_id % 5 <> 0 AND lang <> 'es') SELECT doc_id, CAST(lang = 'de' AS INT) AS lang_de, CAST(lang = 'en' AS INT) AS lang_en, CAST(lang = 'fr' AS INT) AS lang_fr FROM documents")
 def one_hot(spark: SparkSession, d: str) -> DataFrame:
     docs = V.table(spark, d, "documents").select("doc_id", "lang")
-    words = sorted(r[0] for r in docs.where("doc_id % 5 <> 0 AND lang <> 'es'").select("lang").distinct().limit(1000).collect())  # the vocabulary of one column
-    return X.one_hot(docs, "lang", words).drop("lang")
+    return X.one_hot(docs, "lang", X.vocabulary(docs.where("doc_id % 5 <> 0 AND lang <> 'es'"), "lang")).drop("lang")
+
+
+GAPS = f"{SPLIT}, t AS (SELECT id, split, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE price END AS price, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE tax END AS tax, CASE WHEN split <> 'train' THEN quantity END AS late FROM split)"
+
+
+def with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Missing values, and a feature that has none but missing ones in training."""
+    s = split_flows(spark, d, once=True)
+    k = F.col("l_orderkey")
+    return s.select("id", "split", F.when(k % 7 != 0, F.col("price")).alias("price"), F.when(k % 11 != 0, F.col("tax")).alias("tax"), F.when(F.col("split") != "train", F.col("quantity")).alias("late"))
 
 
-@query("impute_median", f"WITH {SPLIT}, t AS (SELECT *, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE price END AS p FROM split) SELECT id, coalesce(p, (SELECT quantile_cont(p, 0.5) FROM t WHERE split = 'train')) AS price FROM t")
+@query("impute_median", f"WITH {GAPS} SELECT id, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM t WHERE split = 'train')) AS price, coalesce(tax, (SELECT quantile_cont(tax, 0.5) FROM t WHERE split = 'train')) AS tax FROM t")
 def impute_median(spark: SparkSession, d: str) -> DataFrame:
-    s = split_flows(spark, d).withColumn("price", F.when(F.col("l_orderkey") % 7 != 0, F.col("price")))
-    p = X.fitted(X.statistics(s.where("split = 'train'"), ["price"]))
-    return s.select("id", X.imputed("price", p["price"]))
+    s, features = with_gaps(spark, d), ["price", "tax", "late"]
+    p = X.fitted(X.statistics(s.where("split = 'train'"), features))
+    return s.select("id", *(X.imputed(f, p[f]) for f in X.with_values(p, features)))  # `late` goes
+
+
+@query("imputed_cells", f"WITH {GAPS} SELECT split, 'price' AS feature, CAST(count(*) - count(price) AS BIGINT) AS cells FROM t GROUP BY 1 UNION ALL SELECT split, 'tax', CAST(count(*) - count(tax) AS BIGINT) FROM t GROUP BY 1")
+def imputed_cells(spark: SparkSession, d: str) -> DataFrame:
+    return X.imputed_cells(with_gaps(spark, d), "split", ["price", "tax"])
+
+
+@query("reindex_features", f"WITH {V.FLOWS} SELECT id, tax, 0.0::DOUBLE AS absent, price, 0.0::DOUBLE AS other FROM flows")
+def reindex_features(spark: SparkSession, d: str) -> DataFrame:
+    return X.reindexed(V.flows(spark, d), ["tax", "absent", "price", "other"], ["id"])
 
 
 @query("minmax_scale", f"WITH {SPLIT}, t AS (SELECT min(price) AS a, max(price) AS b, min(tax) AS c, max(tax) AS e FROM split WHERE split = 'train') SELECT id, round((price - a) / (b - a), 9) AS price, round((tax - c) / (e - c), 9) AS tax FROM split, t")
 def minmax_scale(spark: SparkSession, d: str) -> DataFrame:
-    s = split_flows(spark, d)
+    s = split_flows(spark, d, once=True)
     p = X.fitted(X.statistics(s.where("split = 'train'"), ["price", "tax"]))
     return s.select("id", *(F.round(X.scaled(f, p[f]), 9).alias(f) for f in ("price", "tax")))
 
@@ -287,11 +363,15 @@ bins AS (SELECT id, split, y, feature, CAST(len(list_filter(e, lambda v: v <= x)
 
 
 def binned_flows(spark: SparkSession, d: str) -> DataFrame:
-    s = split_flows(spark, d)
+    s = split_flows(spark, d, once=True)
     edges = X.bin_edges(s.where("split = 'train'"), V.FEATURES)
     return s.select("id", "split", "y", *(X.binned(f, edges[f]) for f in V.FEATURES))
 
 
+def binned_train(spark: SparkSession, d: str) -> DataFrame:
+    return binned_flows(spark, d).where("split = 'train'").drop("id", "split")
+
+
 @query("quantile_bins", f"WITH {EDGES} SELECT feature, x, CAST(count(*) AS BIGINT) AS n FROM bins GROUP BY 1, 2")
 def quantile_bins(spark: SparkSession, d: str) -> DataFrame:
     return X.melted(binned_flows(spark, d), ["id"], V.FEATURES).groupBy("feature", "x").agg(F.count("*").alias("n"))
@@ -303,9 +383,9 @@ mi AS (SELECT feature, round(sum(n / a * ln(n * a / (nx * ny))), 9) AS mi FROM t
 ranked AS (SELECT feature, mi, CAST(row_number() OVER (ORDER BY mi DESC, feature) AS INT) AS rank, round(CASE WHEN sum(greatest(mi, 0)) OVER () > 0 THEN greatest(mi, 0) / sum(greatest(mi, 0)) OVER () ELSE 1.0 / count(*) OVER () END, 9) AS weight FROM mi)"""
 
 
-def information(spark: SparkSession, d: str) -> DataFrame:
-    train = binned_flows(spark, d).where("split = 'train'")
-    mi = X.mutual_information(X.melted(train, ["id", "y"], V.FEATURES), ["feature"])
+def information(spark: SparkSession, d: str, train: DataFrame | None = None) -> DataFrame:
+    train = binned_train(spark, d) if train is None else train
+    mi = X.mutual_information(X.melted(train, ["y"], V.FEATURES), ["feature"])
     return mi.withColumn("mi", F.round("mi", 9))
 
 
@@ -330,37 +410,44 @@ def feature_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("top_features", f"WITH {MI} SELECT feature, mi FROM ranked WHERE rank <= 5")
 def top_features(spark: SparkSession, d: str) -> DataFrame:
-    return information(spark, d).orderBy(F.desc("mi"), "feature").limit(5)
+    return X.top(ranking(spark, d), 5).select("feature", "mi")
 
 
-@query("nested_feature_sets", f"WITH {MI} SELECT k, feature, rank FROM ranked CROSS JOIN (SELECT unnest([3, 5, 10]) AS k) WHERE rank <= k")
+@query("nested_feature_sets", f"WITH {MI} SELECT k, feature, rank, mi, weight FROM ranked CROSS JOIN (SELECT unnest([3, 5, 10]) AS k) WHERE rank <= k")
 def nested_feature_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The selected features of each set, with rank, score and weight."""
     sizes = F.explode(F.array(F.lit(3), F.lit(5), F.lit(10)))
-    return ranking(spark, d).withColumn("k", sizes).where("rank <= k").select("k", "feature", "rank")
+    return ranking(spark, d).withColumn("k", sizes).where("rank <= k").select("k", "feature", "rank", "mi", "weight")
 
 
-@query("feature_signature", f"WITH {MI} SELECT sha256(string_agg(feature || ':' || rank, '|' ORDER BY rank)) AS signature FROM ranked")
-def feature_signature(spark: SparkSession, d: str) -> DataFrame:
-    items = F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(":", "feature", "rank").alias("t"))))  # a row for each feature
-    return ranking(spark, d).agg(F.sha2(F.array_join(F.transform(items, lambda s: s["t"]), "|"), 256).alias("signature"))
+@query("feature_text", f"WITH {MI} SELECT string_agg(feature, '|' ORDER BY rank) AS features, CAST(count(*) AS INT) AS n, min(feature) FILTER (rank = 1) AS first FROM ranked WHERE rank <= 5")
+def feature_text(spark: SparkSession, d: str) -> DataFrame:
+    names = F.transform(F.sort_array(F.collect_list(F.struct("rank", "feature"))), lambda s: s["feature"])  # five rows
+    text = X.top(ranking(spark, d), 5).agg(X.joined_names(names).alias("features"))
+    back = X.parted_names("features")
+    return text.select("features", F.size(back).alias("n"), F.get(back, F.lit(0)).alias("first"))
 
 
-def pair_mi(spark: SparkSession, d: str, features: list[str]) -> DataFrame:
-    return X.pair_information(binned_flows(spark, d).where("split = 'train'"), features)
+@query("feature_signature", f"WITH {MI} SELECT sha256(string_agg(feature || ':' || CAST(round(mi * 1e6) AS BIGINT) || ':' || CAST(round(weight * 1e6) AS BIGINT), '|' ORDER BY rank)) AS signature FROM ranked")
+def feature_signature(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
+    items = F.sort_array(F.collect_list(F.struct("rank", F.concat_ws(":", "feature", part("mi"), part("weight")).alias("t"))))  # a row for each feature
+    return ranking(spark, d).agg(F.sha2(F.array_join(F.transform(items, lambda s: s["t"]), "|"), 256).alias("signature"))
 
 
-@query("pairwise_mi", f"""WITH {EDGES}, six AS (SELECT id, feature, x FROM bins WHERE split = 'train' AND feature IN ({', '.join(repr(f) for f in V.FEATURES[:6])})),
+@query("pairwise_mi", f"""WITH {EDGES}, six AS (SELECT id, feature, x FROM bins WHERE split = 'train'),
   n AS (SELECT p.feature AS a, q.feature AS b, p.x AS x, q.x AS y, count(*) AS n FROM six p JOIN six q ON p.id = q.id AND p.feature < q.feature GROUP BY 1, 2, 3, 4),
   t AS (SELECT *, sum(n) OVER (PARTITION BY a, b, x) AS nx, sum(n) OVER (PARTITION BY a, b, y) AS ny, sum(n) OVER (PARTITION BY a, b) AS s FROM n)
   SELECT a, b, round(sum(n / s * ln(n * s / (nx * ny))), 9) AS mi FROM t GROUP BY 1, 2""")
 def pairwise_mi(spark: SparkSession, d: str) -> DataFrame:
-    return pair_mi(spark, d, V.FEATURES[:6]).withColumn("mi", F.round("mi", 9))
+    return X.pair_information(binned_train(spark, d), V.FEATURES).withColumn("mi", F.round("mi", 9))
 
 
 @query("mrmr")
 def mrmr(spark: SparkSession, d: str) -> DataFrame:
-    relevance = {r["feature"]: r["mi"] for r in information(spark, d).collect()}  # features
-    redundancy = {(r["a"], r["b"]): r["mi"] for r in pair_mi(spark, d, V.FEATURES).collect()}  # features squared
+    train = materialized(binned_train(spark, d))
+    relevance = {r["feature"]: r["mi"] for r in information(spark, d, train).collect()}  # features
+    redundancy = {(r["a"], r["b"]): r["mi"] for r in X.pair_information(train, V.FEATURES).collect()}  # features squared
     order = X.mrmr(relevance, redundancy)
     return spark.createDataFrame([(i + 1, f, relevance[f]) for i, f in enumerate(order)], "rank int, feature string, mi double")
 
@@ -370,11 +457,19 @@ def mi_knn(spark: SparkSession, d: str) -> DataFrame:
     return X.knn_information(X.melted(V.flows(spark, d), ["y"], V.FEATURES)).withColumn("mi", F.round("mi", 9))
 
 
-@query("spearman", f"""WITH {V.EMB}, r AS (SELECT vec_id, rank() OVER (ORDER BY e00) + (count(*) OVER (PARTITION BY e00) - 1) / 2.0 AS a, rank() OVER (ORDER BY e01) + (count(*) OVER (PARTITION BY e01) - 1) / 2.0 AS b FROM emb) SELECT round(corr(a, b), 9) AS rho FROM r""")
+FOUR = [f"e{i:02d}" for i in range(4)]
+FOUR_LONG = ", ".join(f"('{f}', {f})" for f in FOUR)
+
+
+@query("spearman", f"""WITH {V.EMB}, l AS (SELECT vec_id, u.feature, u.x FROM emb, LATERAL (SELECT * FROM (VALUES {FOUR_LONG}) v(feature, x)) u), r AS (SELECT vec_id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS r FROM l)
+  SELECT p.feature AS a, q.feature AS b, round(corr(p.r, q.r), 9) AS rho FROM r p JOIN r q ON p.vec_id = q.vec_id AND p.feature < q.feature GROUP BY 1, 2""")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    long = X.average_rank(X.melted(V.emb(spark, d), ["vec_id"], ["e00", "e01"]), ["feature"], "x", "r")
-    both = long.groupBy("vec_id").pivot("feature", ["e00", "e01"]).agg(F.first("r"))
-    return both.agg(F.round(F.corr("e00", "e01"), 9).alias("rho"))
+    """All pairs of selected features."""
+    long = X.average_rank(X.melted(V.emb(spark, d).select("vec_id", *FOUR), ["vec_id"], FOUR), ["feature"], "x", "r")
+    wide = long.groupBy("vec_id").pivot("feature", FOUR).agg(F.first("r"))
+    pairs = [(a, b) for i, a in enumerate(FOUR) for b in FOUR[i + 1 :]]
+    one = wide.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(a, b), 9).alias("rho")) for a, b in pairs)).alias("p"))
+    return one.select(F.explode("p").alias("p")).select("p.*")
 
 
 ELONG = ", ".join(f"('{f}', {f})" for f in E)
@@ -387,14 +482,15 @@ srank AS (SELECT seed, feature, mi, row_number() OVER (PARTITION BY seed ORDER B
 
 def stable_ranks(spark: SparkSession, d: str) -> DataFrame:
     long = X.melted(sampling.resamples(V.emb(spark, d), SEEDS, 0.8, key="vec_id"), ["seed", "y"], E)
-    median = long.groupBy("seed", "feature").agg(F.median("x").alias("m"))
-    bits = long.join(median, ["seed", "feature"]).select("seed", "feature", "y", (F.col("x") > F.col("m")).cast("int").alias("x"))
+    long = materialized(long.withColumn("of", F.concat_ws("|", "seed", "feature")))
+    median = X.quantiles(long, [0.5], "of").select("of", F.col("value").alias("m"))
+    bits = long.join(F.broadcast(median), "of").select("seed", "feature", "y", (F.col("x") > F.col("m")).cast("int").alias("x"))  # a row a seed and feature
     return X.ranked(X.mutual_information(bits, ["seed", "feature"]).withColumn("mi", F.round("mi", 9)), ["seed"])
 
 
-@query("feature_stability", f"WITH {STABLE} SELECT feature, CAST(count(*) FILTER (rank <= 5) AS BIGINT) AS selected, round(avg(mi), 9) AS mean_mi, round(min(mi), 9) AS least_mi, round(max(mi), 9) AS most_mi FROM srank GROUP BY 1")
+@query("feature_stability", f"WITH {STABLE} SELECT feature, CAST(count(*) FILTER (rank <= 5) AS BIGINT) AS selected, round(avg(mi), 9) AS mean_mi, round(min(mi), 9) AS least_mi, round(max(mi), 9) AS most_mi, round(stddev_samp(mi), 9) AS std_mi FROM srank GROUP BY 1")
 def feature_stability(spark: SparkSession, d: str) -> DataFrame:
-    return stable_ranks(spark, d).groupBy("feature").agg(F.count_if(F.col("rank") <= 5).alias("selected"), *(F.round(f("mi"), 9).alias(n) for f, n in ((F.avg, "mean_mi"), (F.min, "least_mi"), (F.max, "most_mi"))))
+    return stable_ranks(spark, d).groupBy("feature").agg(F.count_if(F.col("rank") <= 5).alias("selected"), *(F.round(f("mi"), 9).alias(n) for f, n in ((F.avg, "mean_mi"), (F.min, "least_mi"), (F.max, "most_mi"), (F.stddev_samp, "std_mi"))))
 
 
 PAIRS = f"""{STABLE}, sp AS (SELECT p.seed AS s1, q.seed AS s2, count(*) FILTER (p.rank <= 5 AND q.rank <= 5) AS shared, corr(p.rank, q.rank) AS rho FROM srank p JOIN srank q ON p.feature = q.feature AND p.seed < q.seed GROUP BY 1, 2)"""
@@ -417,18 +513,27 @@ def stability_summary(spark: SparkSession, d: str) -> DataFrame:
     return stable_pairs(spark, d).agg(F.round(F.avg("jaccard"), 8).alias("mean_jaccard"), F.round(F.stddev_samp("jaccard"), 8).alias("std_jaccard"), F.min("jaccard").alias("least"), F.max("jaccard").alias("most"), F.round(F.avg("rho"), 8).alias("mean_rho"))
 
 
-@query("partition_overlap", f"""WITH {SPLIT}, k AS (SELECT DISTINCT split, quantity, discount, tax FROM split), p AS (SELECT a.split AS s1, b.split AS s2, count(*) AS n FROM k a JOIN k b ON a.quantity = b.quantity AND a.discount = b.discount AND a.tax = b.tax AND a.split < b.split GROUP BY 1, 2) SELECT s1, s2, CAST(n AS BIGINT) AS shared FROM p""")
+@query("partition_overlap", f"""WITH {SPLIT}, f AS (SELECT split, CASE WHEN split = 'test' THEN -quantity ELSE quantity END AS quantity, discount, tax FROM split), k AS (SELECT DISTINCT * FROM f), p AS (SELECT a.split AS s1, b.split AS s2, count(*) AS n FROM k a JOIN k b ON a.quantity = b.quantity AND a.discount = b.discount AND a.tax = b.tax AND a.split < b.split GROUP BY 1, 2)
+  SELECT x.split AS s1, y.split AS s2, CAST(coalesce(n, 0) AS BIGINT) AS shared FROM (SELECT DISTINCT split FROM split) x JOIN (SELECT DISTINCT split FROM split) y ON x.split < y.split LEFT JOIN p ON s1 = x.split AND s2 = y.split""")
 def partition_overlap(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["quantity", "discount", "tax"]
-    sets = split_flows(spark, d).groupBy(*keys).agg(F.array_sort(F.collect_set("split")).alias("s"))  # three splits at most
-    pairs = sets.select(F.explode("s").alias("s1"), "s").select("s1", F.explode("s").alias("s2")).where("s1 < s2")
-    return pairs.groupBy("s1", "s2").agg(F.count("*").alias("shared"))
+    """Keys that pairs of partitions share; pairs that share none have 0."""
+    f = split_flows(spark, d, once=True).withColumn("quantity", F.when(F.col("split") == "test", -F.col("quantity")).otherwise(F.col("quantity")))
+    sets = f.groupBy("quantity", "discount", "tax").agg(F.array_sort(F.collect_set("split")).alias("s"))  # three splits at most
+    pairs = sets.select(F.explode("s").alias("s1"), "s").select("s1", F.explode("s").alias("s2")).where("s1 < s2").groupBy("s1", "s2").agg(F.count("*").alias("shared"))
+    names = f.select(F.col("split").alias("s1")).distinct()
+    every = names.join(names.withColumnRenamed("s1", "s2"), F.col("s1") < F.col("s2"))  # pairs of three splits
+    return every.join(pairs, ["s1", "s2"], "left").na.fill(0)
+
+
+SIGN = [f"CAST('0x' || substr({V.sql_wide_hash(chr(39) + 'sig' + chr(39), 'id', 'y')}, {i}, 8) AS BIGINT)" for i in (1, 9)]
 
 
-@query("partition_signature", f"WITH {SPLIT} SELECT split, CAST(count(*) AS BIGINT) AS n, CAST(sum({V.sql_hash(chr(39) + 'sig' + chr(39), 'id', 'y')}) AS BIGINT) AS total, CAST(bit_xor({V.sql_hash(chr(39) + 'sig' + chr(39), 'id', 'y')}) AS BIGINT) AS mixed FROM split GROUP BY 1")
+@query("partition_signature", f"WITH {SPLIT} SELECT split, CAST(count(*) AS BIGINT) AS n, CAST(sum({SIGN[0]}) AS BIGINT) AS total_high, CAST(sum({SIGN[1]}) AS BIGINT) AS total_low, CAST(bit_xor({SIGN[0]}) AS BIGINT) AS mixed_high, CAST(bit_xor({SIGN[1]}) AS BIGINT) AS mixed_low FROM split GROUP BY 1")
 def partition_signature(spark: SparkSession, d: str) -> DataFrame:
-    h = uniform_hash("sig", "id", "y")
-    return split_flows(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.sum(h).alias("total"), F.bit_xor(h).alias("mixed"))
+    """Counts, sums and exclusive-ors of both halves of 64-bit hashes."""
+    h = wide_hash("sig", "id", "y")
+    high, low = (F.conv(F.substring(h, i, 8), 16, 10).cast("bigint") for i in (1, 9))
+    return split_flows(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.sum(high).alias("total_high"), F.sum(low).alias("total_low"), F.bit_xor(high).alias("mixed_high"), F.bit_xor(low).alias("mixed_low"))
 
 
 @query("cohort_overlap", f"WITH {SPLIT}, o AS (SELECT id FROM flows ORDER BY {P42}, id LIMIT 600) SELECT split, CAST(count(*) AS BIGINT) AS shared, round(count(*) / 600.0, 9) AS share FROM split JOIN o USING (id) GROUP BY 1")
@@ -437,10 +542,10 @@ def cohort_overlap(spark: SparkSession, d: str) -> DataFrame:
     return split_flows(spark, d).join(old, "id").groupBy("split").agg(F.count("*").alias("shared"), F.round(F.count("*") / 600, 9).alias("share"))
 
 
-@query("align_diff", "WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_returnflag AS f, l_linestatus AS t FROM lineitem) SELECT 'flag' AS field, f AS a, CASE WHEN k % 50 = 0 THEN 'X' ELSE f END AS b, CAST(count(*) AS BIGINT) AS n FROM a WHERE k % 50 = 0 GROUP BY 2, 3")
+@query("align_diff", f"WITH {V.FLOWS}, a AS (SELECT id, label, CAST(y AS VARCHAR) AS y, src, row_number() OVER (ORDER BY id) AS pos FROM flows) SELECT 'label' AS field, label AS a, CASE WHEN pos % 50 = 0 THEN 'X' ELSE label END AS b, CAST(count(*) AS BIGINT) AS n FROM a WHERE pos % 50 = 0 GROUP BY 2, 3")
 def align_diff(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    left = V.table(spark, d, "lineitem").select(*keys, F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).distinct()
-    right = left.withColumn("flag", F.when(F.col("l_orderkey") % 50 == 0, "X").otherwise(F.col("flag")))
-    a, b = (X_ .unpivot(keys, ["flag", "status"], "field", v) for X_, v in ((left, "a"), (right, "b")))
-    return a.join(b, [*keys, "field"]).where(~F.col("a").eqNullSafe(F.col("b"))).groupBy("field", "a", "b").agg(F.count("*").alias("n"))
+    """Two tables row by row, by position."""
+    f = V.flows(spark, d).select("id", "label", "y", F.lit(0).alias("all"))
+    left = materialized(files.numbered(f, "all", ["id"], "position").select("position", "label", "y"))
+    right = left.withColumn("label", F.when((F.col("position") + 1) % 50 == 0, "X").otherwise(F.col("label")))
+    return cleaning.table_diff(left, right, ["position"], ["label", "y"])

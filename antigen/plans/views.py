@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from antigen.functions.metrics import confusion, with_metrics
 
 FEATURES = ["quantity", "price", "discount", "tax", "linenumber", "unit_price", "net_price", "qty_discount", "ship_month", "suppkey", "partkey", "qty_tax"]
-DIMS = 12
+DIMS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,7 @@ dirty AS (SELECT * FROM dirty0 UNION ALL SELECT id, src, l_orderkey, 1, quantity
 
 
 def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors: id, class and the first twelve components."""
+    """Vectors: id, class and all components."""
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", (F.col("label") != 0).cast("int").alias("y"), F.col("label").alias("category"),
         *(F.element_at("embedding", i + 1).cast("double").alias(f"e{i:02d}") for i in range(DIMS)),
@@ -104,6 +104,11 @@ RUNS = f"""{SCORED}, runs0 AS (SELECT dataset, method, k, target, seed, {COUNTS}
 runs AS (SELECT *, {METRICS} FROM runs0)"""
 
 
+def sql_wide_hash(seed: str, *ids: str) -> str:
+    """The SQL twin of wide_hash."""
+    return f"substr(md5(concat_ws('|', {seed}, {', '.join(ids)})), 1, 16)"
+
+
 def sql_hash(seed: str, *ids: str) -> str:
     """The SQL twin of uniform_hash; the seed is an SQL expression of a text."""
     return f"CAST('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(ids)})), 1, 8) AS BIGINT)"

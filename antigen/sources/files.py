@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,26 +46,47 @@ def read_positional(spark: SparkSession, path: str, names: list[str], optional:
 
 
 def read_flow_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All CSV files under a folder, text columns with clean names, and the file name as `source_file`. Files of
-    one folder share their header; a row's number within its file comes from a supplied id column, as text files are split."""
+    """All CSV files under a folder, text columns with clean names, the file's path as `source_file` and the row's place in it,
+    from 0 and without the header, as `source_row`. Files of one folder share their header.
+
+    A long file is read in blocks: rows are numbered within each, and the blocks' counts give where each begins."""
     raw = spark.read.csv(folder, header=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
-    named = raw.toDF(*clean_header(raw.columns))
-    return named.withColumn("source_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    named = raw.toDF(*clean_header(raw.columns)).columns
+    rows = raw.select(*(F.col(f"`{a}`").alias(b) for a, b in zip(raw.columns, named)), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = rows.groupBy("source_file", "_block").agg(F.count("*").alias("_n")).withColumn("_before", before).drop("_n")
+    within = F.row_number().over(Window.partitionBy("source_file", "_block").orderBy("_id")) - 1
+    return rows.join(blocks, ["source_file", "_block"]).withColumn("source_row", (F.col("_before") + within).cast("long")).select(*named, "source_file", "source_row")
+
+
+def numbered(df: DataFrame, by: str, order: list[str], name: str, parts: int = 64) -> DataFrame:
+    """Adds a row's place in its source, from 0. Rows fall into ranges between approximate quantiles of a sample of the order's
+    first column, and the ranges' counts give where each begins, so that no task orders a whole source."""
+    edges = [r[0] for r in df.select(F.col(order[0]).alias("e")).where(F.pmod(F.xxhash64("e"), F.lit(max(1, df.count() // 4096))) == 0).orderBy("e").limit(65536).collect()]
+    edges = edges[:: max(1, len(edges) // parts)]  # about 4096 values are sampled
+    ranged = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order[0]))) if edges else F.lit(0))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy(by, "_range").agg(F.count("*").alias("_n")).withColumn("_before", before).drop("_n")
+    within = F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order)) - 1
+    return ranged.join(counts, [by, "_range"]).withColumn(name, (F.col("_before") + within).cast("long")).select(*df.columns, name)
 
 
 def bounded(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
-    """The first n rows of each source."""
-    return df.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_at") <= n).drop("_at")
+    """The first n rows of each source, and `scan_complete`: whether that is all of it."""
+    first = df.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_at") <= n + 1)
+    more = F.max("_at").over(Window.partitionBy(by)) > n
+    return first.withColumn("scan_complete", ~more).where(F.col("_at") <= n).drop("_at")
 
 
 def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A journal of JSON lines. Blank lines are skipped and one torn line, the last of its file, is dropped; any other line
-    that is no object is an error."""
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
+    """A journal of JSON lines. Blank lines are skipped, and a torn line that is the last of its file is dropped; any other
+    line that is no object is an error."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at")).where(F.trim("value") != "")
     fits = F.col("value").rlike(r"^\s*\{.*\}\s*$") & F.try_parse_json("value").isNotNull()
-    bad = lines.withColumn("fits", fits).agg(F.count_if(~F.col("fits")).alias("n"), F.max(F.when(~F.col("fits"), F.col("at"))).alias("worst"), F.max("at").alias("last")).first()
-    if bad["n"] > 1 or (bad["n"] == 1 and bad["worst"] != bad["last"]):
-        raise ValueError(f"{path}: {bad['n']} lines are damaged, not the last one alone")
+    of_file = lines.withColumn("fits", fits).groupBy("file").agg(F.count_if(~F.col("fits")).alias("n"), F.max(F.when(~F.col("fits"), F.col("at"))).alias("worst"), F.max("at").alias("last"))
+    bad = of_file.where((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("worst") != F.col("last")))).first()
+    if bad:
+        raise ValueError(f"{bad['file']}: {bad['n']} lines are damaged, not the last one alone")
     return lines.where(fits).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
@@ -75,6 +99,38 @@ def write_table(df: DataFrame, path: str, form: str = "csv") -> None:
     df.write.mode("overwrite").options(header=True).format(form).save(path)
 
 
+def read_table(spark: SparkSession, path: str, schema: str, form: str = "csv") -> DataFrame:
+    """A result table as it was written, by its schema."""
+    return spark.read.schema(schema).options(header=True).format(form).load(path)
+
+
+def read_tables(spark: SparkSession, paths: list[str], schema: str, form: str = "csv") -> DataFrame:
+    """The rows of several result tables; one that is missing is an error, whichever it is."""
+    if not paths:
+        raise ValueError("no tables are named")
+    return union_tables(*(read_table(spark, p, schema, form) for p in paths))
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Tells contents apart, in any order of rows: count, sum and exclusive-or of 64-bit hashes, and the schema."""
+    h = F.xxhash64(*df.columns)
+    r = df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x")).first()
+    return hashlib.sha256(json.dumps([df.schema.simpleString(), r["n"], str(r["s"]), r["x"]]).encode()).hexdigest()
+
+
+def prepared(folder: str, config: dict, source: DataFrame, build: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, bool]:
+    """What `build` makes of the source, kept under the configuration and the source's fingerprint and read again where both
+    are as before, and whether it was. A table that was not written whole is written anew."""
+    spark = source.sparkSession
+    key = hashlib.sha256(json.dumps([config, fingerprint(source)], sort_keys=True).encode()).hexdigest()[:16]
+    path = f"{folder}/{key}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    known = done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    if not known:
+        build(source).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), known
+
+
 def union_tables(*frames: DataFrame) -> DataFrame:
     """All rows by column name; a column that a table lacks is null."""
     out = frames[0]
@@ -83,7 +139,18 @@ def union_tables(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def schema_provenance(spark: SparkSession, names: dict[str, list[str]], dropped: dict[str, str]) -> DataFrame:
-    """(source, position, raw_name, name, retained, reason) for each column of each source."""
-    rows = [(s, i, raw, new, new not in dropped, dropped.get(new, "predictor")) for s, raws in sorted(names.items()) for i, (raw, new) in enumerate(zip(raws, clean_header(raws)))]
-    return spark.createDataFrame(rows, "source string, position int, raw_name string, name string, retained boolean, reason string")
+def schema_provenance(sources: dict[str, DataFrame], dropped: dict[str, str]) -> DataFrame:
+    """(source, position, raw_name, name, retained, reason, rows, present) for each column of each source; `present` counts its
+    values. One aggregate a source."""
+    frames = []
+    for source, df in sorted(sources.items()):
+        columns = list(zip(df.columns, clean_header(df.columns)))
+        each = F.array(*(
+            F.struct(
+                F.lit(i).alias("position"), F.lit(raw).alias("raw_name"), F.lit(new).alias("name"), F.lit(new not in dropped).alias("retained"), F.lit(dropped.get(new, "predictor")).alias("reason"),
+                F.count("*").alias("rows"), F.count(F.col(f"`{raw}`")).alias("present"),
+            )
+            for i, (raw, new) in enumerate(columns)
+        ))
+        frames.append(df.agg(each.alias("c")).select(F.explode("c").alias("c")).select(F.lit(source).alias("source"), "c.*"))
+    return union_tables(*frames)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from antigen.functions import bits, labels, special
 from antigen.functions.metrics import confusion, with_metrics
-from antigen.operators import baselines, cleaning, detectors, evaluation, features, sampling, stats
+from antigen.operators import baselines, cleaning, deploy, detectors, evaluation, features, sampling, stats
 from antigen.sources import files
 
 
@@ -42,8 +42,43 @@ def test_flow_files(spark, tmp_path):
     for n in ("a", "b"):
         (tmp_path / "day" / f"{n}.csv").write_text(" Flow Duration , Label\n1,BENIGN\nbad,DDoS\n")
     df = files.read_flow_files(spark, str(tmp_path))
-    assert df.columns == ["Flow Duration", "Label", "source_file"] and df.count() == 4
-    assert sorted(r[0] for r in df.select("source_file").distinct().collect()) == ["a.csv", "b.csv"]
+    assert df.columns == ["Flow Duration", "Label", "source_file", "source_row"]
+    assert sorted((r.source_file[-5:], r.source_row, r.Label) for r in df.collect()) == [(n, i, t) for n in ("a.csv", "b.csv") for i, t in enumerate(("BENIGN", "DDoS"))]
+
+
+def test_rows_of_a_split_file_are_numbered_through(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n" + "".join(f"{i},{'z' * 50}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = files.read_flow_files(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() >= 1 and sorted((r.source_row, int(r.x)) for r in rows.collect()) == [(i, i) for i in range(5000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_bounded_scan_tells_whether_it_is_whole(spark):
+    df = frame(spark, [("a", i) for i in range(3)] + [("b", i) for i in range(2)], "s string, i int")
+    assert sorted(map(tuple, files.bounded(df, "s", ["i"], 2).collect())) == [("a", 0, False), ("a", 1, False), ("b", 0, True), ("b", 1, True)]
+
+
+def test_result_tables_and_prepared_data(spark, tmp_path):
+    df = frame(spark, [(1, 0.1), (2, 1 / 3)], "a int, b double")
+    files.write_table(df, str(tmp_path / "t"))
+    files.write_table(df, str(tmp_path / "t"))
+    assert sorted(map(tuple, files.read_tables(spark, [str(tmp_path / "t")], "a int, b double").collect())) == [(1, 0.1), (2, 1 / 3)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        files.read_tables(spark, [str(tmp_path / "t"), str(tmp_path / "absent")], "a int, b double").collect()
+    build = lambda x: x.where("a > 1")
+    seen = [files.prepared(str(tmp_path / "p"), c, x, build)[1] for c, x in (({"k": 1}, df), ({"k": 1}, df.repartition(2)), ({"k": 2}, df), ({"k": 1}, df.where("a = 2")), ({"k": 1}, df))]
+    assert seen == [False, True, False, False, True]
+
+
+def test_journals_of_many_files(spark, tmp_path):
+    for n in ("a", "b"):
+        (tmp_path / "j").mkdir(exist_ok=True)
+        (tmp_path / "j" / n).write_text('{"a": 1}\n{"a": 2')
+    assert column(files.read_journal(spark, str(tmp_path / "j"), "a int"), "a", "a") == [1, 1]
 
 
 def test_journal(spark, tmp_path):
@@ -58,7 +93,7 @@ def test_journal(spark, tmp_path):
 def test_labels(spark):
     df = frame(spark, [(" Normal. ",), ("Web Attack � Brute Force",), ("DDoS",), ("BENIGN",)], "l string")
     out = df.select(labels.normalize_simple("l").alias("a"), labels.family_by_pattern("l").alias("f")).collect()
-    assert out[0].a == "normal" and [r.f for r in out] == ["Unknown", "Brute Force", "DDoS", "Normal"]
+    assert out[0].a == "normal" and [r.f for r in out] == ["Unknown", "Brute Force", "DoS/DDoS", "Normal"]
 
 
 def test_cleaning(spark):
@@ -66,15 +101,22 @@ def test_cleaning(spark):
     df = frame(spark, rows, "a string, b string, label string").withColumn("src", F.lit("s"))
     out = cleaning.clean(df, ["a", "b"], "label")
     assert sorted((r.a, r.b, r.label) for r in out.na.fill(-1).collect()) == [(-1, 2, "portscan"), (1, 1, "benign"), (1, 1, "benign")]
-    report = [r for r in cleaning.quality_report(df, ["a", "b"], "label", "src").collect() if r.src is None][0]
+    report = [r for r in cleaning.quality_report(df, ["a", "b"], "label", "src").collect() if r.src == "ALL_SOURCES"][0]
     assert (report.rows_read, report.no_label, report.not_numbers, report.not_finite, report.no_feature, report.kept) == (5, 1, 1, 1, 1, 3)
+    more = {r.src: r for r in cleaning.quality_report(df.withColumn("at", F.monotonically_increasing_id()), ["a", "b"], "label", "src", ["src", "at"]).collect()}
+    assert (more["ALL_SOURCES"].copies, more["s"].remaining) == (1, 2)
 
 
 def test_rare_labels_are_pooled(spark):
     rows = [(str(i), "normal", 0) for i in range(6)] + [(str(i), "ddos", 1) for i in range(6, 12)] + [("12", "x", 1), ("13", "y", 1)]
     out = sampling.safe_strata(frame(spark, rows, "id string, label string, y int"))
     assert {r.stratum: r["count"] for r in out.groupBy("stratum").count().collect()} == {"normal": 6, "ddos": 6, "__RARE_ATTACK__": 2}
-    assert out.select("strategy", "pooled").distinct().collect() == [("label_with_rare_pooling", 2)]
+    assert out.select("strategy", "pooled").distinct().collect() == [("original_label_with_rare_pooling", 2)]
+    one = sampling.safe_strata(frame(spark, [(str(i), "normal", 0) for i in range(4)], "id string, label string, y int"))
+    assert {(r.stratum, r.strategy, r.pooled) for r in one.collect()} == {("normal", "original_label", 0)}
+    odd = sampling.safe_strata(frame(spark, rows[:13], "id string, label string, y int"))
+    assert {(r.stratum, r.strategy) for r in odd.collect()} == {("0", "binary_fallback"), ("1", "binary_fallback")}
+    assert {r.strategy for r in sampling.safe_strata(frame(spark, rows, "id string, label string, y int"), by_label=False).collect()} == {"binary"}
 
 
 def test_splits_are_exact_and_stable(spark):
@@ -113,7 +155,8 @@ def test_selection_keeps_what_self_does_not_match(spark):
     assert sorted(r.detector_id for r in kept.collect()) == [1, 2]
     direct = detectors.select_by(pool, own, lambda a, b: bits.hamming(a, b) <= 0)
     assert sorted(r.detector_id for r in direct.collect()) == [1, 2]
-    assert sorted(r.bits for r in detectors.detected(frame(spark, [(0b111,), (0b000,)], "bits long"), kept, 3, 0).collect()) == [0b111]
+    assert sorted((r.bits, r.pred) for r in detectors.detected(frame(spark, [(0b111,), (0b000,)], "bits long"), kept, 3, 0).collect()) == [(0b000, 0), (0b111, 1)]
+    assert {r.pred for r in detectors.detected(own, kept.limit(0), 3, 1).collect()} == {0}
     assert detectors.select_detectors(pool, own.limit(0), 3, 1).count() == 3
 
 
@@ -151,6 +194,104 @@ def test_calibration(spark):
     assert (got.threshold, got.achieved) == (1.0, 0.25)
     got = calibrated(spark, [(2.0, 0), (2.0, 0)], 0.1, True)
     assert got.strict and got.degenerate and got.flagged == 0
+    for distance, infinite, threshold in ((True, math.inf, 0.0), (False, -math.inf, 1.0)):
+        got = calibrated(spark, [(infinite, 0), (infinite, 0), (0.0, 1)], 0.25, distance)
+        assert (got.threshold, got.strict, got.flagged, got.benign, got.degenerate) == (threshold, False, 0, 2, True)
+
+
+def test_cumulated_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = {(g, rnd.choice([-math.inf, math.inf, *(rnd.gauss(0, 1) for _ in range(9))])): rnd.randint(0, 5) for g in "ab" for _ in range(400)}
+    df = frame(spark, [(g, x, n) for (g, x), n in rows.items()], "g string, x double, n long")
+    for rising in (True, False):
+        got = {(r.g, r.x): r.upto_n for r in evaluation.cumulated(df, ["g"], "x", ["n"], rising).collect()}
+        assert got == {(g, x): sum(n for (h, y), n in rows.items() if g == h and (y <= x if rising else y >= x)) for g, x in rows}
+
+
+def test_places_and_quantiles_by_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    df = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 == 0, "few").otherwise("many").alias("g"))
+    rows = sampling.placed(df.withColumn("h", sampling.uniform_hash(5, "id")), ["g"], F.col("h")).collect()
+    for g in ("few", "many"):
+        own = sorted((r.h, r.id, r["at"], r.n) for r in rows if r.g == g)
+        assert [o[2] for o in own] == list(range(1, len(own) + 1)) and {o[3] for o in own} == {len(own)}
+    data = {"even": np.round(rng.normal(size=20000), 2), "odd": rng.lognormal(size=3001), "one": np.array([4.0]), "ties": np.array([1.0] * 50 + [2.0])}
+    long = frame(spark, [(f, float(v)) for f, x in data.items() for v in x] + [("even", None)], "feature string, x double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.feature, r.share): r.value for r in features.quantiles(long, shares, accuracy=100).collect()}
+    assert got == {(f, s): pytest.approx(float(np.quantile(x, s)), abs=1e-12) for f, x in data.items() for s in shares}
+
+
+def test_errors_instead_of_cuts(spark):
+    words = frame(spark, [(str(i),) for i in range(20)], "w string")
+    with pytest.raises(ValueError):
+        features.vocabulary(words, "w", 19)
+    assert len(features.vocabulary(words, "w", 20)) == 20
+    ranks = features.ranked(frame(spark, [("a", 0.3), ("b", 0.2)], "feature string, mi double"))
+    assert [r.feature for r in features.top(ranks, 1).collect()] == ["a"]
+    for k in (0, 3):
+        with pytest.raises(ValueError):
+            features.top(ranks, k)
+    with pytest.raises(Exception, match="fewer than two"):
+        sampling.resamples(frame(spark, [("1", 0), ("2", 0), ("3", 1)], "id string, y int"), [1], 0.8).collect()
+    runs = frame(spark, [("a", 0.5, 0.2), ("b", 0.5, 0.9)], "g string, f1 double, fpr double")
+    with pytest.raises(Exception, match="keeps the limit"):
+        stats.locked(runs, ["g"], [F.desc("f1")], F.col("fpr") <= 0.5).collect()
+    assert stats.locked(runs, [], [F.desc("f1")], F.col("fpr") <= 0.5).first().g == "a"
+
+
+def test_wide_masks(spark):
+    got = [r.pattern for r in detectors.candidates(spark, 400, 60, 7).collect()]
+    assert len(set(got)) == 400 and all(100 < sum(p >> b & 1 for p in got) < 300 for b in range(60))
+    assert [r.pattern for r in detectors.candidates(spark, 400, 20, 7).collect()] == [p & 0xFFFFF for p in got]
+    with pytest.raises(ValueError):
+        detectors.candidates(spark, 4, 63, 7)
+
+
+def test_feature_tables(spark):
+    df = frame(spark, [(1, 2.0, 3.0)], "id int, b double, a double")
+    out = features.reindexed(df, ["a", "absent", "b"], ["id"], 7.0)
+    assert out.columns == ["id", "a", "absent", "b"] and tuple(out.first()) == (1, 3.0, 7.0, 2.0)
+    names = frame(spark, [(["x", "y"],), ([],)], "n array<string>").select(features.joined_names(F.col("n")).alias("t")).select("t", features.parted_names("t").alias("n"))
+    assert [tuple(r) for r in names.collect()] == [("x|y", ["x", "y"]), ("", [])]
+    p = features.fitted(features.statistics(frame(spark, [(1.0, None), (2.0, None)], "a double, gone double"), ["a", "gone"]))
+    assert features.with_values(p, ["a", "gone"]) == ["a"]
+    helpers = frame(spark, [(1, 2, 3, 4, 5)], "__source int, label int, port int, x int, difficulty int")
+    assert cleaning.predictors(helpers, leaky=["port"]).columns == ["x"] and cleaning.predictors(helpers, keep=["label"]).columns == ["label", "port", "x"]
+
+
+def test_deployed_pipeline(spark):
+    rows = [(i, str(i % 7) if i % 5 else "bad", "ab"[i % 2], None) for i in range(40)]
+    train = frame(spark, rows, "id int, n string, kind string, gone string")
+    p = deploy.fit(train, ["n", "gone"], ["kind"])
+    assert p.columns == ["n", "kind_a", "kind_b"] == p.selected
+    p.detectors, p.threshold = [0b011, 0b110], 0.0
+    new = frame(spark, [(1, "6", "a"), (2, "x", "unseen"), (3, None, "b"), (4, "0", "a")], "id int, n string, kind string")
+    n = sorted(float(r[1]) for r in rows if r[1] != "bad")
+    median = (n[15] + n[16]) / 2
+    got = {r.id: (r.bits, r.score, r.pred) for r in p.transform(new, ["id"]).collect()}
+    high = lambda x: int((median if x is None else x) > sorted(float(r[1]) if r[1] != "bad" else median for r in rows)[20])
+    want = {1: high(6) | 2, 2: high(None), 3: high(None) | 4, 4: 2}
+    for i, b in want.items():
+        d = min(bin(b ^ x).count("1") for x in p.detectors)
+        assert got[i] == (b, float(d), int(d <= 0)), i
+    p.detectors = []
+    assert {(r.score, r.pred) for r in p.transform(new, ["id"]).collect()} == {(math.inf, 0)}
+
+
+def test_table_diff_and_numbers(spark):
+    a = frame(spark, [(0, "x", 1), (1, "y", 2), (2, None, 3)], "p int, f string, g int")
+    b = frame(spark, [(0, "x", 1), (1, "z", 2), (3, "w", 4)], "p int, f string, g int")
+    got = {(r.field, r.a, r.b, r.n) for r in cleaning.table_diff(a, b, ["p"], ["f", "g"]).collect()}
+    assert got == {("f", "y", "z", 1), ("f", None, "w", 1), ("g", "3", None, 1), ("g", None, "4", 1)}
+    rows = spark.range(9000).select((F.col("id") % 3).alias("s"), F.col("id").cast("string").alias("k"))
+    out = files.numbered(rows, "s", ["k"], "at").collect()
+    for s in range(3):
+        assert [r["at"] for r in sorted((r for r in out if r.s == s), key=lambda r: r.k)] == list(range(3000))
 
 
 def test_metrics(spark):
@@ -227,8 +368,43 @@ def test_signed_ranks(spark):
     df = frame(spark, [(1, d) for d in (1.0, 2.0, -1.0, 3.0, 0.0)] + [(2, 0.0)], "g int, diff double")
     got = {r.g: r for r in stats.signed_ranks(df, ["g"]).collect()}
     assert (got[1].n, got[1].w_plus, got[1].w_minus, got[1].effect) == (4, 8.5, 1.5, 0.7)
-    p = {r.g: r.p for r in stats.with_normal_p(stats.signed_ranks(df, ["g"])).collect()}
+    p = {r.g: r.p for r in stats.with_signed_p(stats.signed_ranks(df, ["g"])).collect()}
     assert p[2] == 1.0 and 0 < p[1] < 1
+    exact = frame(spark, [(1, 1.0), (1, -2.0), (1, 3.0), (1, 4.0), (1, 5.5)], "g int, diff double")
+    assert stats.with_signed_p(stats.signed_ranks(exact, ["g"])).first().p == 0.1875  # 3 of 32 choices of signs, twice
+
+
+def test_signed_rank_distribution_by_brute_force():
+    from itertools import product
+
+    for n in (1, 4, 9):
+        totals = [sum(r for r, s in zip(range(1, n + 1), signs) if s) for signs in product((0, 1), repeat=n)]
+        for w in range(n * (n + 1) // 4 + 1):
+            assert special.wilcoxon_p(w, n) == min(1.0, 2 * sum(t <= w for t in totals) / 2**n)
+
+
+def test_binomial_interval_by_tails():
+    for x, n in ((0, 7), (3, 20), (20, 20), (41, 250)):
+        low, high = special.clopper_pearson(x, n)
+        tail = lambda p, ks: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in ks)
+        assert x == 0 or abs(tail(low, range(x, n + 1)) - 0.025) < 1e-9
+        assert x == n or abs(tail(high, range(x + 1)) - 0.025) < 1e-9
+
+
+def test_intervals_of_many_runs(spark):
+    df = spark.range(250).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("x"), F.col("id").cast("string").alias("seed"))
+    r = stats.interval(df, ["g"], "x").first()
+    assert abs(r.high - r.low - 2 * 1.969537 * 72.3129 / 250**0.5) < 1e-3 and r.n == 250
+    one, none = stats.interval(df.limit(1), ["g"], "x").first(), stats.interval(df.limit(2).withColumn("x", F.lit(None).cast("double")), ["g"], "x").first()
+    assert (one.std, one.low, one.high) == (0.0, one.mean, one.mean) and (none.n, none.mean, none.low) == (0, None, None)
+    both = stats.repeated_runs(df.limit(3).withColumn("g", F.lit(None).cast("int")), ["g"], ["x"]).first()
+    assert (both.g, both.runs, both.seeds, both.metric) == (None, 3, "0|1|2", "x")
+
+
+def test_sub_family_correction(spark):
+    df = frame(spark, [(1, 0.01), (2, 0.04), (1, 0.03), (2, None)], "k int, p double")
+    got = {(r.k, r.p): (r.p_holm, r.p_holm_sub) for r in stats.holm_with_subfamily(df, F.col("k") == 1).collect()}
+    assert got[1, 0.01] == pytest.approx((0.03, 0.02)) and got[1, 0.03] == pytest.approx((0.06, 0.03)) and got[2, 0.04][1] is None
 
 
 def test_pairs_reject_repeated_keys(spark):
