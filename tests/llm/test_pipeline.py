@@ -24,6 +24,21 @@ def test_stages_work_on_each_other(spark):
     assert set(docs.columns) == {"doc_id", "lang", "source", "n_tokens", "ids"}
 
 
+def test_the_near_copy_stage_goes_by_rows(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, base, "en", "s", 0), (2, base + " more", "en", "s", 0), (2, other, "de", "s", 0), (3, None, None, None, None), (4, "", "", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.lang) for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, SF).where("doc_id < 3").collect())
+    assert got == [(1, "en"), (2, "de")]
+
+
+def test_stages_take_nulls(spark):
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", None, 3), (1, "", None, "s", None), (2, "some few words here", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == {"mixing": 1}.get(name, 4), name
+
+
 def test_stages_take_empty_tables(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
