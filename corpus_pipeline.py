@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antigen.llm.byte_bpe import encode
-from antigen.llm.common import shared_folder, table
+from antigen.llm.common import Steps, table
 from antigen.llm.line_dedup import dedup_lines
 from antigen.llm.mixing import mixed_texts
 from antigen.llm.near_dedup import without_near_copies
@@ -23,13 +21,15 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents scored 0.5 or more by a model of the labelled ones among `docs`."""
+    """Rejects documents scored 0.5 or more by a model of the labelled ones among `docs`. Null, empty and wordless texts have no
+    hits and stay; rows that repeat are judged alike; where nothing is labelled, or the table is empty, all rows stay."""
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return without_toxic(docs.select(*COLUMNS), model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes later repeated runs of lines out of the texts; every document stays."""
+    """Takes later repeated runs of lines out of the texts; every document stays, also one whose lines all go. Null texts stay
+    null; rows that repeat id and text are one document; an empty table gives no rows."""
     return with_length(dedup_lines(docs.select(*COLUMNS)))
 
 
@@ -41,12 +41,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source weights: what each pass takes of a document is a row."""
+    """The mix by source weights: what each pass takes of a document is a row. Null, empty and blank texts give no words and
+    so no rows; a null source is a source of its own; rows that repeat are taken apart; an empty table gives no rows."""
     return with_length(mixed_texts(docs.select(*COLUMNS)))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row that the mix returned."""
+    """Token ids of every row that the mix returned. A null text has none; ids may repeat; an empty table gives no rows."""
     keyed = docs.select(F.struct("doc_id", "lang", "source").alias("of"), "text")
     found = encode(keyed, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, id_col="of")
     return found.select("of.*", F.size("ids").cast("long").alias("n_tokens"), "ids")
@@ -63,15 +64,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each one's rows are written and read again, so that no stage is computed twice."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
-    return docs
+    steps, docs, before = Steps(spark), table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, before = steps(stage(spark, docs, sf_dir)), docs
+        steps.forget(before)  # nothing reads an earlier stage's rows any more
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The toxicity model and the token ids are beyond SQL; tests hold the stages against brute force.
