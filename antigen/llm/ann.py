@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from antigen.llm.common import checkpoint, table
+from antigen.llm.common import Steps, checkpoint, table
 
 TABLES, NEIGHBOURS = 3, 20
 #: Rows that a bucket should hold on the average.
@@ -306,14 +306,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: st
     exact = isinstance(rows.schema[vector_col].dataType, T.ArrayType) and isinstance(rows.schema[vector_col].dataType.elementType, T.FloatType)
     kind = "array<float>" if exact and rows.schema[vector_col].dataType == queries.schema[vector_col].dataType else "array<double>"
     pick = lambda df: df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast(kind).alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
-    own, asked = pick(rows), pick(queries)
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x).cast("double")))
+    steps = Steps(rows.sparkSession)
+    asked = steps(pick(queries))
+    picked = steps(pick(rows).select("vec_id", "v", F.size("v").alias("dim"), F.array_max(F.transform("v", lambda x: F.abs(x).cast("double"))).alias("largest")))
     # the logarithm of the length; the largest component apart, as squares may run over
-    length = F.log(largest) + F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))) / 2
-    own = own.withColumn("dim", F.size("v")).withColumn("length", length)
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("largest")) * (x / F.col("largest")))
+    own = picked.withColumn("length", F.log("largest") + F.log(squares) / 2)
     longest = {r["dim"]: r["hi"] for r in own.groupBy("dim").agg(F.max("length").alias("hi")).collect()}  # a row a length
     top = F.create_map(*(F.lit(c) for pair in longest.items() for c in pair))[F.col("dim")] if longest else F.lit(0.0)
-    own = own.select("vec_id", "v", "dim", F.floor((top - F.col("length")) / math.log(BAND)).cast("int").alias("band"))
+    own = steps(own.select("vec_id", "v", "dim", F.floor((top - F.col("length")) / math.log(BAND)).cast("int").alias("band")))
+    steps.forget(picked)
     sizes: dict[int, dict[int, int]] = {}
     for r in own.groupBy("dim", "band").agg(F.count("*").alias("n")).collect():  # a row a length and band
         sizes.setdefault(r["dim"], {})[r["band"]] = r["n"]
