@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from antigen.functions import bits
 from antigen.functions.hashing import uniform_hash
 from antigen.functions.metrics import confusion, with_metrics
+from antigen.functions.special import t_quantile
 from antigen.operators import baselines, deploy, detectors, evaluation, features, sampling, stats
 from antigen.plans import views as V
 from antigen.plans.data_queries import ELONG, STABLE, E, materialized, scratch, stable_ranks
@@ -400,7 +401,7 @@ def dev_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 T20 = "2.093024054408263"
-T60, T240 = "2.0009953780882688", "1.9699393675168886"
+T120 = repr(t_quantile(0.975, 119))
 
 
 @query("metric_long", f"WITH {V.RUNS}, u AS (UNPIVOT (SELECT dataset, method, f1, recall, fpr, accuracy FROM runs) ON f1, recall, fpr, accuracy INTO NAME metric VALUE v), g AS (SELECT dataset, method, metric, count(v) AS n, avg(v) AS m, stddev_samp(v) AS s FROM u GROUP BY 1, 2, 3) SELECT dataset, method, metric, CAST(n AS BIGINT) AS n, round(m, 7) AS mean, round(s, 7) AS std FROM g")
@@ -549,7 +550,7 @@ def performance_summary(spark: SparkSession, d: str) -> DataFrame:
     return part("detector", "method", 20).unionByName(part("baseline", "dataset", 10))
 
 
-@query("efficiency_summary", f"WITH {V.RUNS}, e AS (SELECT method, k, (tn + fp + fn + tp) / cost AS rate, cost, CAST((tn + fp + fn + tp) * k / 8.0 AS DOUBLE) AS memory, tp / CAST(tp + fn AS DOUBLE) AS retention FROM runs), u AS (UNPIVOT e ON rate, cost, memory, retention INTO NAME metric VALUE v) SELECT method, k, metric, CAST(count(v) AS BIGINT) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(avg(v) - {T240} * stddev_samp(v) / sqrt(count(v)) , 4) AS low, round(avg(v) + {T240} * stddev_samp(v) / sqrt(count(v)), 4) AS high FROM u GROUP BY 1, 2, 3")
+@query("efficiency_summary", f"WITH {V.RUNS}, e AS (SELECT method, k, (tn + fp + fn + tp) / cost AS rate, cost, CAST((tn + fp + fn + tp) * k / 8.0 AS DOUBLE) AS memory, tp / CAST(tp + fn AS DOUBLE) AS retention FROM runs), u AS (UNPIVOT e ON rate, cost, memory, retention INTO NAME metric VALUE v) SELECT method, k, metric, CAST(count(v) AS BIGINT) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(avg(v) - {T120} * stddev_samp(v) / sqrt(count(v)) , 4) AS low, round(avg(v) + {T120} * stddev_samp(v) / sqrt(count(v)), 4) AS high FROM u GROUP BY 1, 2, 3")
 def efficiency_summary(spark: SparkSession, d: str) -> DataFrame:
     """Throughput, time, memory of the masks and retention, each with its interval."""
     records = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
