@@ -98,6 +98,9 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], n: s
     """rows joined by `key` with `counted`, which has one row a key and in column `n` how many of `rows` have it.
 
     A hot key would be one task's work. As each has over one in HOT_KEYS of the counted rows, there are fewer than HOT_KEYS
-    of them, and these few are broadcast; all others meet in a shuffle."""
-    hot = F.col(n) > counted.agg(F.sum(n)).scalar() / HOT_KEYS
-    return rows.join(counted.where(~hot), key).unionByName(rows.join(F.broadcast(counted.where(hot)), key))
+    of them, and these few are broadcast; all others meet in a shuffle. `counted` is a table, which is read more than once."""
+    hot = F.col(n) > (counted.agg(F.sum(n)).first()[0] or 0) / HOT_KEYS
+    few = counted.where(hot)
+    if few.isEmpty():
+        return rows.join(counted, key)
+    return rows.join(counted.where(~hot), key).unionByName(rows.join(F.broadcast(few), key))

@@ -277,7 +277,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = steps(near_duplicates(asked).where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct())
     member = rows.join(found, "key")
     least = F.min(F.struct(F.col("doc_id"), F.col("text_hash"))).alias("first")  # a null id comes first
-    first = member.groupBy("component_id").agg(least, F.count("*").alias("n")).where("n > 1")
+    first = steps(member.groupBy("component_id").agg(least, F.count("*").alias("n")).where("n > 1"))
     gone = steps(join_counted(member.drop("n"), first, "component_id").where("not (doc_id <=> first.doc_id and text_hash = first.text_hash)"))
     kept = keyed.join(names(gone), same, "left_anti")
     again = steps(names(rows.where("n > 1").join(found, "key", "left_semi")))

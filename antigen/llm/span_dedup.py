@@ -25,12 +25,14 @@ SENTENCE = re.compile(rb"[^\n]*?(?:[.!?\xe2\x80\xa6][\"')\]]*(?=[ \t\r\n])|\n|$)
 _WEIGHTS = mix(np.arange(1, LEAST_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def units(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts, hashes and word counts of a text's sentences (pieces of long ones); hashes ignore case of A-Z and
-    white space. What has no word belongs to the unit before it."""
+def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sentences of texts (pieces of long ones): how many units each text has, and all units' byte starts in their texts,
+    hashes and word counts; hashes ignore case of A-Z and white space. What has no word belongs to the unit before it."""
+    raw = b"\n".join(texts)  # which ends a text's last sentence
+    ends_of_text = np.cumsum([len(t) + 1 for t in texts])
     words, at = word_hashes(raw)
     if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(len(texts), np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ends = np.array([m.end() for m in SENTENCE.finditer(raw) if m.end() > m.start()], np.int64)
     sentence = np.searchsorted(ends, at, side="right")
     new = np.flatnonzero(np.diff(sentence, prepend=-1))
@@ -42,31 +44,40 @@ def units(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i in range(CUT - 2, -1, -1):
         less = words[window + i] < least
         least, cut = np.where(less, words[window + i], least), np.where(less, window + i, cut)
-    first = np.union1d(new, cut)
+    marked = np.zeros(len(words), bool)
+    marked[new] = marked[cut] = True
+    first = np.flatnonzero(marked)
     counts = np.diff(first, append=len(words))
     place = (np.arange(len(words)) - np.repeat(first, counts)).astype(np.uint64)
     hashes = mix(np.add.reduceat(mix(words + place * np.uint64(0xD6E8FEB86659FD93)), first))
-    starts = at[first].copy()
-    starts[0] = 0
-    return starts, hashes, counts
+    text = np.searchsorted(ends_of_text, at[first], side="right")
+    per_text = np.bincount(text, minlength=len(texts))
+    starts = at[first] - np.concatenate([[0], ends_of_text])[text]
+    starts[(np.cumsum(per_text) - per_text)[per_text > 0]] = 0
+    return per_text, starts, hashes, counts
 
 
-def runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the runs, and their hashes: from each unit the shortest run of enough units and words, and the
-    shortest that ends with each unit, so that a passage's end is in a run. A place is 16 times the position plus the
-    number of units, which is LEAST_WORDS at most as each has a word."""
+def runs(per_text: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text, place and hash of each run: from each unit the shortest run of enough units and words, and the shortest that
+    ends with each unit, so that a passage's end is in a run. A place is 16 times the position in the text plus the number
+    of units, which is LEAST_WORDS at most as each has a word."""
     n, total = len(hashes), np.concatenate([[0], np.cumsum(counts)])
+    text = np.repeat(np.arange(len(per_text)), per_text)
+    begins = (np.cumsum(per_text) - per_text)[text]
+    stops = begins + per_text[text]
     start = np.arange(n)
     end = np.maximum(start + RUN, np.searchsorted(total, total[:-1] + LEAST_WORDS))
     stop = start + 1
     back = np.minimum(stop - RUN, np.searchsorted(total, total[1:] - LEAST_WORDS, side="right") - 1)
-    place = np.unique(np.concatenate([(start * 16 + end - start)[end <= n], (back * 16 + stop - back)[back >= 0]]))
+    place = np.unique(np.concatenate([(start * 16 + end - start)[end <= stops], (back * 16 + stop - back)[back >= begins]]))
     start, size = place >> 4, place & 15
     out = np.zeros(len(place), np.uint64)
     for i in range(LEAST_WORDS):
         of = np.flatnonzero(size > i)
+        if not len(of):
+            break
         out[of] += hashes[start[of] + i] * _WEIGHTS[i]
-    return place, mix(out).view(np.int64)
+    return text[start], place - (begins[start] << 4), mix(out).view(np.int64)
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -75,16 +86,11 @@ def spans(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "text"):
-                owner, pos, found = [], [], []
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    _, hashes, counts = units((text or "").encode())
-                    at, h = runs(hashes, counts)
-                    owner.append(np.full(len(at), i))
-                    pos.append(at)
-                    found.append(h)
-                own = pa.array(np.concatenate(owner).astype(np.int64)) if owner else pa.array([], pa.int64())
+                per_text, _, hashes, counts = units([(t or "").encode() for t in batch.column("text").to_pylist()])
+                owner, pos, found = runs(per_text, hashes, counts)
+                own = pa.array(owner.astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found)), batch.column("doc_id").take(own), batch.column("text_hash").take(own), pa.array(np.concatenate(pos).astype(np.int32))],
+                    [pa.array(found), batch.column("doc_id").take(own), batch.column("text_hash").take(own), pa.array(pos.astype(np.int32))],
                     ["hash", "doc_id", "text_hash", "pos"],
                 )
 
@@ -115,21 +121,22 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "text"):
-                texts, n, removed = [], [], []
-                for text, at in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
-                    raw = (text or "").encode()
-                    starts, _, _ = units(raw)
+                texts, removed = batch.column("text").to_pylist(), np.zeros(batch.num_rows, np.int64)
+                raws = [(t or "").encode() for t in texts]
+                per_text, every, _, _ = units(raws)
+                begins = np.cumsum(per_text) - per_text
+                for i, at in enumerate(batch.column("gone").to_pylist()):
+                    if not at:
+                        continue
+                    raw, starts = raws[i], every[begins[i] : begins[i] + per_text[i]]
                     covered = np.zeros(len(starts), bool)
-                    for p in at or ():
+                    for p in at:
                         covered[p >> 4 : (p >> 4) + (p & 15)] = True
-                    if covered.any():
-                        ends = np.append(starts[1:], len(raw))
-                        text = b"".join(raw[a:b] for a, b, c in zip(starts, ends, covered) if not c).decode()
-                    texts.append(text)
-                    n.append(len(starts))
-                    removed.append(int(covered.sum()))
+                    ends = np.append(starts[1:], len(raw))
+                    texts[i] = b"".join(raw[a:b] for a, b, c in zip(starts, ends, covered) if not c).decode()
+                    removed[i] = covered.sum()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"]
+                    [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(per_text.astype(np.int64)), pa.array(removed)], ["doc_id", "text", "n_sentences", "n_removed"]
                 )
 
     kind = own.schema["doc_id"].dataType.simpleString()

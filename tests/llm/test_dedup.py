@@ -225,7 +225,7 @@ def spans_by_hand(rows: dict[int, str | None]) -> dict[int, str | None]:
     out = {}
     for i, text in sorted(rows.items()):
         raw = (text or "").encode()
-        starts, _, _ = span_dedup.units(raw)
+        _, starts, _, _ = span_dedup.units([raw])
         parts = [raw[a:b].decode() for a, b in zip(starts, [*starts[1:], len(raw)])]
         words = [tuple(w.lower() if w.isascii() else w for w in WORD.findall(p)) for p in parts]
         gone = set()
