@@ -173,14 +173,6 @@ def test_language_with_nothing_or_one_to_learn(spark):
     assert {r.lang_pred for r in language_id.language_id(docs(spark).where("doc_id = 1"), one).collect()} == {"en"}
 
 
-def test_no_cap_on_languages(spark):
-    """Every language that occurs is learnt, each a family of its own."""
-    names = [f"l{i:02d}" for i in range(4)]
-    rows = [(100 * i + k, chr(0x4E00 + 40 * i) * 3 + f" {k}", n) for i, n in enumerate(names) for k in range(4)]
-    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.languages == names and len(model.between) == 6
-
-
 def test_gram_vectors_by_brute_force(monkeypatch):
     monkeypatch.setattr(language_id, "CHUNK", 7)
     rnd = random.Random(1)
