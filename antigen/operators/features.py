@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,35 +18,94 @@ def melted(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     return df.unpivot(keys, features, "feature", "x")
 
 
-def quantiles(long: DataFrame, shares: list[float], by: str = "feature", x: str = "x", accuracy: int = 10000) -> DataFrame:
+#: Cells that an interval is parted into at a time, and rows that are ordered in one task.
+CELLS, ORDERED = 32, 1 << 16
+
+
+@dataclass
+class Interval:
+    """An open range of a group's values (None: without end) that holds wanted places, and the values below it."""
+
+    of: Any
+    low: Any = None
+    high: Any = None
+    before: int = 0
+    rows: int = 0
+    edges: list = field(default_factory=list)
+    places: list[int] = field(default_factory=list)
+
+
+def quantiles(long: DataFrame, shares: list[float], by: str = "feature", x: str = "x") -> DataFrame:
     """(by, share, value): exact quantiles, linearly interpolated, of each group's values that are not null.
 
-    Approximate quantiles bracket each one; the values below a bracket are only counted, and those within it, a few in
-    `accuracy`, are counted by value and ordered. So no task holds a group's values."""
-    some = long.where(F.col(x).isNotNull())
-    room = 2.0 / accuracy
-    around = F.array(*(F.lit(min(1.0, max(0.0, s + d))) for s in shares for d in (-room, room)))
-    brackets = some.groupBy(by).agg(F.percentile_approx(x, around, accuracy).alias("_a"), F.min(x).alias("_min"), F.max(x).alias("_max"), F.count("*").alias("_all"))
-    place = lambda s: F.lit(s) * (F.col("_all") - 1)
-    # positions from 0: the two that a quantile lies between
-    each = F.array(*(
-        F.struct(
-            F.lit(s).alias("share"), F.when(F.lit(s - room <= 0), F.col("_min")).otherwise(F.col("_a")[2 * i]).alias("lo"), F.when(F.lit(s + room >= 1), F.col("_max")).otherwise(F.col("_a")[2 * i + 1]).alias("hi"),
-            F.floor(place(s)).alias("at"), (place(s) - F.floor(place(s))).alias("part"),
-        )
-        for i, s in enumerate(shares)
-    ))
-    wanted = brackets.select(F.col(by).alias("_of"), F.explode(each).alias("q"))
-    wanted = F.broadcast(wanted.groupBy("_of").agg(F.collect_list("q").alias("_q")))  # a row a feature
-    marked = some.join(wanted, F.col(by) == F.col("_of")).select(by, x, F.explode("_q").alias("q")).where(F.col(x) <= F.col("q.hi"))
-    # values under the bracket count as one that is null
-    counts = marked.groupBy(by, "q", F.when(F.col(x) >= F.col("q.lo"), F.col(x)).alias("_v")).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(by, "q").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    run = counts.withColumn("_upto", upto).where("_v is not null")
-    value = lambda k: F.min(F.when(F.col("_upto") > F.col("q.at") + k, F.col("_v")))
-    found = run.groupBy(by, "q").agg(value(0).alias("_low"), value(1).alias("_high"))
-    mid = F.col("_low") + F.when(F.col("q.part") > 0, (F.col("_high") - F.col("_low")) * F.col("q.part")).otherwise(0.0)
-    return found.select(by, F.col("q.share").alias("share"), mid.alias("value"))
+    Selection by rank: a group's values are counted in cells between approximate quantiles, which need not be right, as the
+    places wanted are found by these counts; a cell that holds one is parted again until it has ORDERED rows at most, and
+    only such cells are ordered. The driver keeps a few numbers for each group (a feature) and share. Values at an edge are
+    a cell of their own, so each parting takes values away, and many equal ones are never ordered."""
+    some = long.where(F.col(x).isNotNull()).select(by, x)
+    kinds = {c: some.schema[c].dataType.simpleString() for c in (by, x)}
+    at_edges = F.array_distinct(F.percentile_approx(x, F.array(*(F.lit(i / CELLS) for i in range(1, CELLS))), 1000))
+    sized = [F.count("*").alias("rows"), at_edges.alias("edges")]
+    groups = some.groupBy(by).agg(*sized).collect()
+    wanted = lambda n: {p for s in shares for p in (math.floor(s * (n - 1)), min(n - 1, math.floor(s * (n - 1)) + 1))}
+    sizes = {r[by]: r["rows"] for r in groups}
+    todo = [Interval(r[by], rows=r["rows"], edges=r["edges"], places=sorted(wanted(r["rows"]))) for r in groups]
+    found: dict[tuple[Any, int], Any] = {}
+
+    def inside(intervals: list[Interval]) -> DataFrame:
+        rows = [(v.of, i, v.low, v.high, v.edges) for i, v in enumerate(intervals)]
+        ranges = some.sparkSession.createDataFrame(rows, f"_of {kinds[by]}, _i int, _low {kinds[x]}, _high {kinds[x]}, _edges array<{kinds[x]}>")
+        within = F.col(by).eqNullSafe(F.col("_of")) & (F.col("_low").isNull() | (F.col(x) > F.col("_low"))) & (F.col("_high").isNull() | (F.col(x) < F.col("_high")))
+        return some.join(F.broadcast(ranges), within)  # a row a group and wanted place
+
+    while todo:
+        small, large = [v for v in todo if v.rows <= ORDERED], [v for v in todo if v.rows > ORDERED]
+        for r in ordered_places(inside(small), small, x) if small else []:
+            found[small[r["_i"]].of, r["place"]] = r["value"]
+        todo = parted(inside(large), large, x, found) if large else []
+        if todo:
+            for r in inside(todo).groupBy("_i").agg(*sized).collect():
+                todo[r["_i"]].edges = r["edges"]
+    rows = []
+    for of, n in sizes.items():
+        for s in shares:
+            place = s * (n - 1)
+            at = math.floor(place)
+            low, high = float(found[of, at]), float(found[of, min(n - 1, at + 1)])
+            rows.append((of, float(s), low + ((high - low) * (place - at) if place > at else 0.0)))
+    return some.sparkSession.createDataFrame(rows, f"{by} {kinds[by]}, share double, value double")
+
+
+def ordered_places(rows: DataFrame, intervals: list[Interval], x: str) -> list:
+    """The values at the wanted places of small intervals."""
+    upto = F.sum("_n").over(Window.partitionBy("_i").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    run = rows.groupBy("_i", x).agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+    places = [(i, p, p - v.before) for i, v in enumerate(intervals) for p in v.places]
+    asked = F.broadcast(rows.sparkSession.createDataFrame(places, "_j int, place long, _at long"))  # a row a wanted place
+    met = run.join(asked, (F.col("_i") == F.col("_j")) & (F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
+    return met.select("_i", "place", F.col(x).alias("value")).collect()
+
+
+def parted(rows: DataFrame, intervals: list[Interval], x: str, found: dict) -> list[Interval]:
+    """The cells of large intervals that hold wanted places; what is at an edge or alone in its cell is found."""
+    cell = F.size(F.filter("_edges", lambda e: e < F.col(x))) + F.size(F.filter("_edges", lambda e: e <= F.col(x)))
+    counts = rows.groupBy("_i", cell.alias("cell")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).collect()  # 2 * CELLS rows an interval
+    out: dict[tuple[int, int], Interval] = {}
+    before = {i: v.before for i, v in enumerate(intervals)}
+    for r in sorted(counts, key=lambda r: (r["_i"], r["cell"])):
+        i, k = r["_i"], r["cell"] // 2
+        v, first = intervals[i], before[i]
+        before[i] += r["n"]
+        for p in v.places:
+            if not first <= p < before[i]:
+                continue
+            if r["low"] == r["high"] or r["cell"] % 2:
+                found[v.of, p] = r["low"]
+            else:
+                low = v.edges[k - 1] if k else v.low
+                high = v.edges[k] if k < len(v.edges) else v.high
+                out.setdefault((i, k), Interval(v.of, low, high, first, r["n"])).places.append(p)
+    return list(out.values())
 
 
 def statistics(train: DataFrame, features: list[str]) -> DataFrame:

@@ -222,10 +222,36 @@ def test_places_and_quantiles_by_brute_force(spark):
     data = {"even": np.round(rng.normal(size=20000), 2), "odd": rng.lognormal(size=3001), "one": np.array([4.0]), "ties": np.array([1.0] * 50 + [2.0])}
     long = frame(spark, [(f, float(v)) for f, x in data.items() for v in x] + [("even", None)], "feature string, x double")
     shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.feature, r.share): r.value for r in features.quantiles(long, shares, accuracy=100).collect()}
+    got = {(r.feature, r.share): r.value for r in features.quantiles(long, shares).collect()}
     assert got == {(f, s): pytest.approx(float(np.quantile(x, s)), abs=1e-12) for f, x in data.items() for s in shares}
 
 
+@pytest.mark.parametrize("ordered", [1 << 16, 100, 1])
+def test_quantiles_of_every_size(spark, monkeypatch, ordered):
+    """Groups of 1 to 200 values and of many more sizes, all deciles; with cells that are parted again and again."""
+    import numpy as np
+
+    monkeypatch.setattr(features, "ORDERED", ordered)
+    rng = np.random.default_rng(7)
+    sizes = [*range(1, 201), 500, 1005, 1694, 1887, 2273, 2347, 2466, 2852, 3000, 5000, 20000] if ordered > 1 else [1, 2, 3, 7, 12, 1005, 2347]
+    data = {f"n{n}": np.round(rng.normal(size=n), rng.integers(0, 6)) for n in sizes} | {"hot": np.append(np.zeros(900), [1.0, -np.inf, np.inf]), "whole": np.arange(50.0)}
+    data["hot"] = np.append(data["hot"], [2.0] * 40)
+    long = frame(spark, [(f, float(v)) for f, x in data.items() for v in x] + [("none", None)], "feature string, x double")
+    shares = [0.0, *(i / 10 for i in range(1, 10)), 1.0]
+    rows = features.quantiles(long, shares).collect()
+    got = {(r.feature, r.share): r.value for r in rows}
+    assert len(rows) == len(got) == len(data) * len(shares)
+    for f, x in data.items():
+        order = np.sort(x)
+        for s in shares:
+            place = s * (len(x) - 1)
+            low, high = order[math.floor(place)], order[min(len(x) - 1, math.floor(place) + 1)]
+            want = low if place == math.floor(place) else low + (high - low) * (place - math.floor(place))
+            assert got[f, s] == pytest.approx(want, abs=1e-12), (f, s)
+            if np.isfinite(x).all():
+                assert got[f, s] == pytest.approx(float(np.quantile(x, s)), abs=1e-9), (f, s)
+
+
 def test_errors_instead_of_cuts(spark):
     words = frame(spark, [(str(i),) for i in range(20)], "w string")
     with pytest.raises(ValueError):
