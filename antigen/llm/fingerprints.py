@@ -27,7 +27,7 @@ from antigen.llm.common import Steps, join_counted, table
 from antigen.llm.shingles import mix
 
 #: Code points of a shingle.
-WIDTH = 12
+WIDTH = 8
 #: One hash in so many is kept, and the least number that a text of so many shingles keeps.
 SCALE, LEAST = 128, 64
 DIGITS = 12
@@ -53,8 +53,7 @@ def shingle_hashes(points: np.ndarray) -> np.ndarray:
         return mix(np.array([(powers * np.append(np.uint64(len(c)), c)).sum()])) >> np.uint64(16)
     two = c[:-1] * _power(1) + c[1:]
     four = two[:-2] * _power(2) + two[2:]
-    eight = four[:-4] * _power(4) + four[4:]
-    return mix(eight[: len(c) - WIDTH + 1] * _power(4) + four[8:]) >> np.uint64(16)
+    return mix(four[:-4] * _power(4) + four[4:]) >> np.uint64(16)
 
 
 def sketch(text: str) -> tuple[int, np.ndarray]:
@@ -122,7 +121,7 @@ def containment(a: str, b: str) -> Column:
     def run(batch: pa.Array, other: pa.Array) -> pa.Array:
         return pa.array([of(x, y) for x, y in zip(batch.to_pylist(), other.to_pylist())], pa.float64())
 
-    return F.arrow_udf(run, "double", "scalar")(F.col(a), F.col(b))
+    return F.arrow_udf(run, "double")(F.col(a), F.col(b))
 
 
 def merged(prints: DataFrame, by: list[str], fingerprint: str = "fingerprint") -> DataFrame:

@@ -24,7 +24,7 @@ def by_hand(text: str) -> tuple[int, list[int]]:
 
 def test_sketch_by_hand(monkeypatch):
     rnd = random.Random(5)
-    texts = ["", "a", "short", "x" * 12, "y" * 5000, "ab" * 900, "日本語のテキスト🙂" * 30, *(prose(rnd, n) for n in (3, 12, 40, 300, 9000))]
+    texts = ["", "a", "short", "x" * 8, "y" * 5000, "ab" * 900, "日本語のテキスト🙂" * 30, *(prose(rnd, n) for n in (3, 12, 40, 300, 9000))]
     for chunk in (1 << 20, 100):
         monkeypatch.setattr(fp, "CHUNK", chunk)
         for t in texts:
@@ -38,20 +38,22 @@ def test_fraction_kept():
     text = prose(random.Random(1), 60_000)
     limit, kept = sketch(text)
     n = len({text[i : i + fp.WIDTH] for i in range(len(text) - fp.WIDTH + 1)})
-    assert limit == ((1 << 48) - 1) // fp.SCALE and abs(len(kept) * fp.SCALE / n - 1) < 0.1
+    assert limit == ((1 << 48) - 1) // fp.SCALE and abs(len(kept) * fp.SCALE / n - 1) < 0.15
 
 
 def test_likeness_and_containment(spark):
     rnd = random.Random(3)
     part, rest = prose(rnd, 2000), prose(rnd, 30_000)
     whole = part + rest
-    a, b, c = sketch(part), sketch(whole), sketch(prose(rnd, 30_000))
+    other = prose(rnd, 30_000)
+    a, b, c = sketch(part), sketch(whole), sketch(other)
     shingles = lambda t: {t[i : i + fp.WIDTH] for i in range(len(t) - fp.WIDTH + 1)}
     true = len(shingles(part) & shingles(whole)) / len(shingles(part) | shingles(whole))
     assert abs(likeness(a, b) - true) < 0.03 and likeness(a, a) == 1.0 and likeness(sketch(""), sketch("")) == 1.0 and likeness(sketch(""), a) == 0.0
     rows = [(text_of(a), text_of(b)), (text_of(a), text_of(c)), (text_of(sketch("")), text_of(a)), (None, text_of(a)), (text_of(b), text_of(a))]
     got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(containment("a", "b")).collect()]
-    assert got[0] == 1.0 and got[1] < 0.2 and got[2] == 1.0 and got[3] is None and abs(got[4] - len(shingles(part) & shingles(whole)) / len(shingles(whole))) < 0.05
+    held = lambda x, y: len(shingles(x) & shingles(y)) / len(shingles(x))
+    assert got[0] == 1.0 and abs(got[1] - held(part, other)) < 0.1 and got[2] == 1.0 and got[3] is None and abs(got[4] - held(whole, part)) < 0.05
 
 
 def test_merged_is_the_sketch_of_all(spark):
