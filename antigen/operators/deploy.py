@@ -26,6 +26,7 @@ class Deployed:
     detectors: list[int] = field(default_factory=list)
     threshold: float = 0.0
     strict: bool = False
+    weights: list[float] | None = None
 
     def encoded(self, raw: DataFrame, keys: list[str]) -> DataFrame:
         """Numbers from texts, a column for each category seen in training; columns that raw rows lack are missing."""
@@ -46,12 +47,17 @@ class Deployed:
         return ready.select(*keys, bits.pack([F.col(c) > self.medians[c] for c in self.selected]).alias("bits"))
 
     def transform(self, raw: DataFrame, keys: list[str]) -> DataFrame:
-        """(keys, bits, score, pred): the distance to the nearest detector, infinite without any, and whether it is within the
-        threshold."""
+        """(keys, bits, score, pred): the Hamming distance to the nearest detector, infinite without any, and whether it is within
+        the threshold; with weights the largest weighted similarity, 0 without any, and whether it reaches the threshold."""
         known = F.array(*(F.lit(d).cast("bigint") for d in self.detectors)).cast("array<bigint>")
-        near = F.array_min(F.transform(known, lambda d: F.bit_count(d.bitwiseXOR(F.col("bits")))))
-        scored = self.with_bits(raw, keys).withColumn("score", F.coalesce(near.cast("double"), F.lit(float("inf"))))
-        hit = F.col("score") < self.threshold if self.strict else F.col("score") <= self.threshold
+        measure = (lambda m: bits.weight_of(m, self.weights)) if self.weights else F.bit_count
+        near = F.array_min(F.transform(known, lambda d: measure(d.bitwiseXOR(F.col("bits"))))).cast("double")
+        score = F.coalesce(1 - near, F.lit(0.0)) if self.weights else F.coalesce(near, F.lit(float("inf")))
+        scored = self.with_bits(raw, keys).withColumn("score", score)
+        if self.weights:
+            hit = F.col("score") > self.threshold if self.strict else F.col("score") >= self.threshold
+        else:
+            hit = F.col("score") < self.threshold if self.strict else F.col("score") <= self.threshold
         return scored.withColumn("pred", hit.cast("int"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from antigen.operators import cleaning, sampling
 from antigen.operators import features as X
 from antigen.plans import views as V
 from antigen.sources import files
+from antigen.sources.steps import materialized, scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,25 +27,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder where the cluster keeps shared files; a local session gets a temporary one."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-files-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
-def materialized(df: DataFrame) -> DataFrame:
-    """Rows that several steps read, computed once."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # --- reading -------------------------------------------------------------------------------------------------------
 
 

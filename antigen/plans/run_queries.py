@@ -9,7 +9,7 @@ from antigen.functions import bits
 from antigen.functions.hashing import uniform_hash
 from antigen.functions.metrics import confusion, with_metrics
 from antigen.functions.special import t_quantile
-from antigen.operators import baselines, deploy, detectors, evaluation, features, sampling, stats
+from antigen.operators import baselines, deploy, detectors, evaluation, features, matching, sampling, stats
 from antigen.plans import views as V
 from antigen.plans.data_queries import ELONG, STABLE, E, materialized, scratch, stable_ranks
 from antigen.sources import files
@@ -37,13 +37,18 @@ def rounded(df: DataFrame, n: int = 8) -> DataFrame:
 
 K, RADIUS, BUDGET, SEED = 12, 2, 400, 100
 WEIGHTS = bits.normalized([float(i + 1) for i in range(K)])
-ESPLIT = f"""{V.EMB}, e0 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {V.sql_hash("'42'", 'vec_id')}, vec_id) AS pos, count(*) OVER (PARTITION BY y) AS n FROM emb),
+def split_sql(k: int) -> str:
+    """The SQL twin of chosen_bits."""
+    return f"""{V.EMB}, e0 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {V.sql_hash("'42'", 'vec_id')}, vec_id) AS pos, count(*) OVER (PARTITION BY y) AS n FROM emb),
 esplit AS (SELECT *, CASE WHEN pos <= floor(n * 0.3 + 0.5) THEN 'test' WHEN pos <= floor(n * 0.3 + 0.5) + floor((n - floor(n * 0.3 + 0.5)) * 0.2 + 0.5) THEN 'validation' ELSE 'train' END AS split FROM e0),
 elong AS (SELECT vec_id, y, category, split, u.feature, u.x FROM esplit, LATERAL (SELECT * FROM (VALUES {ELONG}) v(feature, x)) u), emed AS (SELECT feature, quantile_cont(x, 0.5) AS m FROM elong WHERE split = 'train' GROUP BY 1),
 eb AS (SELECT vec_id, y, category, split, feature, CAST(x > m AS INT) AS b FROM elong JOIN emed USING (feature)), en AS (SELECT feature, b, y, count(*) AS n FROM eb WHERE split = 'train' GROUP BY 1, 2, 3),
 et AS (SELECT *, sum(n) OVER (PARTITION BY feature, b) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS a FROM en),
-erank AS (SELECT feature, row_number() OVER (ORDER BY mi DESC, feature) AS rank FROM (SELECT feature, round(sum(n / a * ln(n * a / (nx * ny))), 9) AS mi FROM et GROUP BY 1)),
-bits AS (SELECT vec_id, y, category, split, CAST(sum(CASE WHEN b = 1 THEN 1 << CAST(rank - 1 AS INT) ELSE 0 END) AS BIGINT) AS bits FROM eb JOIN erank USING (feature) WHERE rank <= {K} GROUP BY 1, 2, 3, 4)"""
+erank AS (SELECT feature, mi, row_number() OVER (ORDER BY mi DESC, feature) AS rank FROM (SELECT feature, round(sum(n / a * ln(n * a / (nx * ny))), 9) AS mi FROM et GROUP BY 1)),
+bits AS (SELECT vec_id, y, category, split, CAST(sum(CASE WHEN b = 1 THEN 1 << CAST(rank - 1 AS INT) ELSE 0 END) AS BIGINT) AS bits FROM eb JOIN erank USING (feature) WHERE rank <= {k} GROUP BY 1, 2, 3, 4)"""
+
+
+ESPLIT = split_sql(K)
 CAND = f"cand AS (SELECT range AS detector_id, {V.sql_hash(repr(str(SEED)), 'range')} & {(1 << K) - 1} AS pattern FROM range({BUDGET}))"
 POOL = f"""{ESPLIT}, {CAND}, self AS (SELECT DISTINCT bits FROM bits WHERE split = 'train' AND y = 0),
 det AS (SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM self WHERE bit_count(xor(pattern, self.bits)) <= {RADIUS}))"""
@@ -54,15 +59,21 @@ def split_vectors(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified_split(V.emb(spark, d), "y", 0.3, 0.2, 42, "vec_id")
 
 
-def bit_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors with their split and the mask of the K components that tell most about the class, over training medians."""
+def chosen_bits(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, list[float]]:
+    """Vectors with their split and the mask of the k components that tell most about the class, over training medians; and
+    what each of these tells."""
     s = materialized(split_vectors(spark, d))
     train = s.where("split = 'train'")
     med = {r["feature"]: r["value"] for r in features.quantiles(features.melted(train, [], E), [0.5]).collect()}  # a row a component
     above = train.select("y", *((F.col(f) > med[f]).cast("int").alias(f) for f in E))
     mi = features.mutual_information(features.melted(above, ["y"], E), ["feature"]).withColumn("mi", F.round("mi", 9))
-    chosen = [r["feature"] for r in features.top(features.ranked(mi), K).orderBy("rank").collect()]
-    return materialized(s.select("vec_id", "y", "category", "split", detectors.pattern_bits(s, chosen, med).alias("bits")))
+    chosen = features.top(features.ranked(mi), k).orderBy("rank").collect()  # k rows
+    rows = s.select("vec_id", "y", "category", "split", detectors.pattern_bits(s, [r["feature"] for r in chosen], med).alias("bits"))
+    return materialized(rows), [r["mi"] for r in chosen]
+
+
+def bit_rows(spark: SparkSession, d: str) -> DataFrame:
+    return chosen_bits(spark, d, K)[0]
 
 
 def self_rows(rows: DataFrame) -> DataFrame:
@@ -75,7 +86,7 @@ def pool(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def near_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = bit_rows(spark, d)
-    return detectors.nearest(rows, pool(spark, rows), bits.hamming, True)
+    return detectors.nearest(rows, pool(spark, rows), matching.hamming(K), True)
 
 
 @query("binarize", f"WITH {ESPLIT} SELECT vec_id, split, bits FROM bits")
@@ -234,55 +245,6 @@ def deploy_batch(spark: SparkSession, d: str) -> DataFrame:
     return deployed(spark, d, 0.25).transform(raw_vectors(spark, d), ["vec_id"]).drop("bits")
 
 
-#: The grid: every seed and radius, as one plan keyed by run.
-TUNE_SEEDS, TUNE_RADII, TUNE_TARGETS = 5, (1, 2), (0.05, 0.25)
-TUNED = f"""{ESPLIT}, tspec AS (SELECT s.range AS seed, r.range AS radius FROM range({TUNE_SEEDS}) s, range({TUNE_RADII[0]}, {TUNE_RADII[-1] + 1}) r),
-tcand AS (SELECT DISTINCT seed, radius, {V.sql_hash('seed', 'c.range')} & {(1 << K) - 1} AS pattern FROM tspec, range({BUDGET}) c), tself AS (SELECT DISTINCT bits FROM bits WHERE split = 'train' AND y = 0),
-tdet AS (SELECT * FROM tcand WHERE NOT EXISTS (SELECT 1 FROM tself WHERE bit_count(xor(pattern, tself.bits)) <= radius)),
-tnear AS (SELECT s.seed, s.radius, b.vec_id, b.y, b.split, coalesce(min(bit_count(xor(b.bits, pattern))), CAST('inf' AS DOUBLE)) AS score FROM tspec s CROSS JOIN bits b LEFT JOIN tdet t ON t.seed = s.seed AND t.radius = s.radius WHERE b.split <> 'train' GROUP BY ALL),
-tg AS (SELECT seed, radius, score, count(*) AS neg FROM tnear WHERE split = 'validation' AND y = 0 AND isfinite(score) GROUP BY 1, 2, 3), tc AS (SELECT *, sum(neg) OVER (PARTITION BY seed, radius ORDER BY score) AS flagged FROM tg),
-tb AS (SELECT count(*) AS benign FROM bits WHERE split = 'validation' AND y = 0),
-tth AS (SELECT s.seed, s.radius, target, max(score) FILTER (flagged <= floor(target * benign + 1e-12)) AS best, coalesce(min(score), 0) AS extreme, count(score) AS k FROM tspec s CROSS JOIN tb CROSS JOIN (SELECT unnest([0.05::DOUBLE, 0.25::DOUBLE]) AS target) LEFT JOIN tc ON tc.seed = s.seed AND tc.radius = s.radius GROUP BY 1, 2, 3),
-tpr AS (SELECT n.seed, n.radius, target, split, y, CAST(CASE WHEN best IS NULL AND k > 0 THEN score < extreme ELSE score <= coalesce(best, 0) END AS INT) AS pred FROM tnear n JOIN tth USING (seed, radius)),
-tm AS (SELECT seed, radius, target, split, {V.COUNTS} FROM tpr GROUP BY 1, 2, 3, 4), tmm AS (SELECT *, {V.METRICS} FROM tm)"""
-
-
-def stage(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of each seed, radius and target on validation and test rows: pools, scores and thresholds of all runs at once."""
-    rows = bit_rows(spark, d)
-    specs = spark.range(TUNE_SEEDS).withColumnRenamed("id", "seed").crossJoin(spark.range(TUNE_RADII[0], TUNE_RADII[-1] + 1).withColumnRenamed("id", "radius"))
-    cands = spark.range(BUDGET).withColumnRenamed("id", "detector_id").crossJoin(spark.range(TUNE_SEEDS).withColumnRenamed("id", "seed"))
-    cands = cands.select("seed", uniform_hash(F.col("seed"), "detector_id").bitwiseAND(F.lit((1 << K) - 1).cast("bigint")).alias("pattern")).distinct().join(specs, "seed")
-    own = self_rows(rows).distinct().withColumnRenamed("bits", "own")
-    kept = cands.join(detectors.small(own), F.bit_count(F.col("pattern").bitwiseXOR(F.col("own"))) <= F.col("radius"), "left_anti")
-    later = rows.where("split <> 'train'")
-    best = later.select("bits").distinct().crossJoin(detectors.small(kept)).groupBy("seed", "radius", "bits").agg(F.min(bits.hamming("bits", "pattern")).cast("double").alias("score"))
-    scored = later.crossJoin(F.broadcast(specs)).join(best, ["seed", "radius", "bits"], "left").withColumn("score", F.coalesce("score", F.lit(float("inf"))))  # a row a spec
-    scored = materialized(scored.select("seed", "radius", "split", "y", "score"))
-    t = evaluation.calibrate(scored.where("split = 'validation'"), ["seed", "radius"], list(TUNE_TARGETS), True)
-    hit = F.when(F.col("strict"), F.col("score") < F.col("threshold")).otherwise(F.col("score") <= F.col("threshold"))
-    m = scored.join(F.broadcast(t), ["seed", "radius"]).withColumn("pred", hit.cast("int")).groupBy("seed", "radius", "target", "split").agg(*confusion())  # a row a spec and target
-    return with_metrics(m)
-
-
-@query("tuning_run", f"WITH {TUNED} SELECT seed, radius, target, tn, fp, fn, tp, round(f1, 8) AS f1, round(recall, 8) AS recall, round(fpr, 8) AS fpr FROM tmm WHERE split = 'validation'")
-def tuning_run(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stage(spark, d).where("split = 'validation'").select("seed", "radius", "target", "tn", "fp", "fn", "tp", "f1", "recall", "fpr"))
-
-
-LOCKED = f"""{TUNED}, tsum AS (SELECT radius, target, round(avg(f1), 9) AS f1, round(avg(recall), 9) AS recall, round(avg(fpr), 9) AS fpr FROM tmm WHERE split = 'validation' GROUP BY 1, 2 HAVING count(*) = {TUNE_SEEDS}),
-tlock AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY f1 DESC, recall DESC, fpr, radius) AS pos FROM tsum WHERE fpr <= target + 1e-12) WHERE pos = 1)"""
-
-
-@query("final_run", f"WITH {LOCKED} SELECT m.target, m.radius, m.seed, tn, fp, fn, tp, round(m.f1, 8) AS f1, round(m.fpr, 8) AS fpr FROM tmm m JOIN tlock l ON l.target = m.target AND l.radius = m.radius WHERE split = 'test'")
-def final_run(spark: SparkSession, d: str) -> DataFrame:
-    """The configurations that validation rows lock, on test rows, for every seed."""
-    m = materialized(stage(spark, d))
-    means = m.where("split = 'validation'").groupBy("radius", "target").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 9).alias(c) for c in ("f1", "recall", "fpr"))).where(F.col("n") == TUNE_SEEDS)
-    lock = stats.locked(means, ["target"], [F.desc("f1"), F.desc("recall"), F.col("fpr"), F.col("radius")], F.col("fpr") <= F.col("target") + 1e-12)
-    return rounded(m.where("split = 'test'").join(F.broadcast(lock.select("radius", "target")), ["radius", "target"]).select("target", "radius", "seed", "tn", "fp", "fn", "tp", "f1", "fpr"))  # a row a target
-
-
 # --- evaluation ------------------------------------------------------------------------------------------------------------
 
 BY = ["dataset", "method"]
