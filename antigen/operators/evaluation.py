@@ -13,15 +13,19 @@ def score_groups(df: DataFrame, by: list[str], score: str = "score", y: str = "y
     return df.groupBy(*by, score).agg(F.sum(1 - F.col(y)).cast("long").alias("neg"), F.sum(y).cast("long").alias("pos"))
 
 
+def in_ranges(groups: DataFrame, by: list[str], x: str, parts: int = 64) -> DataFrame:
+    """Adds `_range`: values fall into ranges between approximate quantiles of their group; equal ones into the same."""
+    cuts = F.percentile_approx(x, F.array(*(F.lit(i / parts) for i in range(1, parts))), 1000).alias("_cuts")
+    edges = groups.groupBy(*by).agg(cuts)
+    return (groups.join(edges, by) if by else groups.crossJoin(edges)).withColumn("_range", F.size(F.filter("_cuts", lambda e: e < F.col(x)))).drop("_cuts")
+
+
 def cumulated(groups: DataFrame, by: list[str], x: str, sums: list[str], rising: bool = True, parts: int = 64) -> DataFrame:
     """Adds `upto_<c>` for each c of `sums`: its sum over the rows of the group with no larger x (no smaller, if falling).
-    Values fall into ranges between approximate quantiles, whose totals give where each range begins, so that no task
-    orders a whole group; x is distinct in a group."""
+    The totals of ranges give where each begins, so that no task orders a whole group; x is distinct in a group."""
     own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     way = lambda c: F.col(c).asc() if rising else F.col(c).desc()
-    cuts = F.percentile_approx(x, F.array(*(F.lit(i / parts) for i in range(1, parts))), 1000).alias("_cuts")
-    edges = groups.groupBy(*by).agg(cuts)
-    ranged = (groups.join(edges, by) if by else groups.crossJoin(edges)).withColumn("_range", F.size(F.filter("_cuts", lambda e: e < F.col(x)))).drop("_cuts")
+    ranged = in_ranges(groups, by, x, parts)
     totals = ranged.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
     earlier = own.orderBy(way("_range")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_range", *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
@@ -30,6 +34,16 @@ def cumulated(groups: DataFrame, by: list[str], x: str, sums: list[str], rising:
     return joined.select(*groups.columns, *((F.col(f"_{c}") + F.sum(c).over(within)).alias(f"upto_{c}") for c in sums))
 
 
+def least_step(groups: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(by, least_step): the smallest difference of adjacent values of x, which is distinct in a group; null for one value.
+    Steps are taken within ranges, and from the last value of the range before to a range's first."""
+    ranged = in_ranges(groups.select(*by, x), by, x)
+    within = F.col(x) - F.lag(x).over(Window.partitionBy(*by, "_range").orderBy(x))
+    inner = ranged.select(*by, "_range", x, within.alias("_step")).groupBy(*by, "_range").agg(F.min("_step").alias("_step"), F.min(x).alias("_first"), F.max(x).alias("_last"))
+    carried = F.col("_first") - F.lag("_last").over(Window.partitionBy(*by).orderBy("_range"))  # a row a range
+    return inner.select(*by, F.least("_step", carried).alias("_step")).groupBy(*by).agg(F.min("_step").alias("least_step"))
+
+
 def calibrate(df: DataFrame, by: list[str], targets: list[float], distance: bool, score: str = "score", y: str = "y") -> DataFrame:
     """For each group and target the most permissive score at which the benign rows flagged (inclusive, ties whole) are at
     most floor(target * benign + 1e-12); `strict` marks that no score will do and the threshold lies just beyond the extreme.
@@ -92,9 +106,9 @@ def score_diagnostics(df: DataFrame, by: list[str], threshold: float, score: str
     score is the threshold."""
     groups = df.groupBy(*by, score).agg(F.count("*").alias("n"), F.count_if(F.col(y) == 0).alias("benign"))
     finite = F.col(score).isNotNull() & (F.abs(score) < float("inf"))
-    steps = groups.withColumn("step", F.when(finite, F.col(score) - F.lag(F.when(finite, F.col(score))).over(Window.partitionBy(*by).orderBy(F.when(finite, F.col(score)).asc_nulls_first()))))
     at = lambda c: F.sum(F.when(F.col(score) == threshold, F.col(c)).otherwise(0)).cast("long")
-    return steps.groupBy(*by).agg(
+    out = groups.groupBy(*by).agg(
         F.count_if(finite).cast("long").alias("distinct_scores"), F.sum(F.when(finite, 0).otherwise(F.col("n"))).cast("long").alias("not_finite"), F.max("n").cast("long").alias("largest_tie"),
-        F.min("step").alias("least_step"), at("n").alias("at_threshold"), at("benign").alias("benign_at_threshold"),
+        at("n").alias("at_threshold"), at("benign").alias("benign_at_threshold"),
     )
+    return out.join(least_step(groups.where(finite), by, score), by, "left")

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from antigen.operators.evaluation import cumulated
+from antigen.operators.evaluation import cumulated, in_ranges
+from antigen.sources.steps import materialized
 
 
 def melted(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -224,33 +228,44 @@ def ranked(mi: DataFrame, by: list[str] | None = None) -> DataFrame:
 def knn_information(long: DataFrame, k: int = 3) -> DataFrame:
     """(feature, mi) of continuous features with a discrete class by nearest neighbours (Ross, PLoS ONE 9(2), 2014).
 
-    In each feature and class, sorted by value, the radius is the distance to the k-th nearest neighbour of the class; then
-    all points strictly within the radius are counted by sorting the points with the interval ends. Classes of one row are
-    left out. A window sorts one feature's rows in one task."""
-    sized = long.withColumn("ny", F.count("*").over(Window.partitionBy("feature", "y"))).where("ny > 1")
-    sized = sized.withColumn("k", F.least(F.lit(k), F.col("ny") - 1))
-    own = Window.partitionBy("feature", "y").orderBy("x")
+    The radius of a value is the distance to the k-th nearest neighbour of its class; then all points strictly within it are
+    counted. Classes of one row are left out. Distinct values are counted first. Each class falls into ranges, and a range
+    also gets the k values next to it on both sides, so that radii need no order of a whole class; of a value's copies k + 1
+    suffice. Counts within radii are differences of sums cumulated in ranges, at each interval's ends."""
+    values = materialized(long.where(F.col("x").isNotNull()).groupBy("feature", "y", "x").agg(F.count("*").alias("w")))
+    sizes = values.groupBy("feature", "y").agg(F.sum("w").alias("ny")).where("ny > 1").withColumn("k", F.least(F.lit(k), F.col("ny") - 1))
+    own = materialized(in_ranges(values.join(sizes, ["feature", "y"]), ["feature", "y"], "x"))
+    some = own.select("feature", "y", "_range", "x", "k", F.explode(F.array_repeat(F.lit(False), F.least(F.col("w"), F.lit(k + 1)).cast("int"))).alias("halo"))
+    at_ends = Window.partitionBy("feature", "y", "_range")
+    first = F.row_number().over(at_ends.orderBy("x")) <= k
+    last = F.row_number().over(at_ends.orderBy(F.desc("x"))) <= k
+    marked = own.withColumn("_low", first).withColumn("_high", last).where("_low or _high")  # 2 * k values a range
+    copies = lambda c: F.flatten(F.collect_list(F.when(F.col(c), F.array_repeat("x", F.least(F.col("w"), F.lit(k)).cast("int")))))
+    ends = marked.groupBy("feature", "y", "_range", "k").agg(F.slice(F.sort_array(copies("_low")), 1, k).alias("_smallest"), F.slice(F.sort_array(copies("_high"), asc=False), 1, k).alias("_largest"))
+    before = F.slice(F.reverse(F.flatten(F.collect_list(F.reverse("_largest")).over(Window.partitionBy("feature", "y").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))), 1, k)
+    after = F.slice(F.flatten(F.collect_list("_smallest").over(Window.partitionBy("feature", "y").orderBy("_range").rowsBetween(1, Window.unboundedFollowing))), 1, k)
+    halos = ends.withColumn("_beside", F.concat(before, after)).select("feature", "y", "_range", "k", F.explode("_beside").alias("x"))  # 2 * k values a range
+    rows = some.unionByName(halos.withColumn("halo", F.lit(True)))
+    order = at_ends.orderBy("x")
     far = None
     for kk in range(1, k + 1):
-        reach = F.lit(None).cast("double")
-        spans = [F.greatest(F.col("x") - F.lag("x", j).over(own) if j else F.lit(0.0), F.lead("x", kk - j).over(own) - F.col("x") if kk - j else F.lit(0.0)) for j in range(kk + 1)]
-        full = [F.when((F.lag("x", j).over(own).isNotNull() if j else F.lit(True)) & (F.lead("x", kk - j).over(own).isNotNull() if kk - j else F.lit(True)), s) for j, s in enumerate(spans)]
-        reach = F.least(*full) if len(full) > 1 else full[0]
-        far = F.when(F.col("k") == kk, reach) if far is None else far.when(F.col("k") == kk, reach)
-    # rows of one value and class share the radius, and are counted; no row needs a number, which could change when recomputed
-    same = ["feature", "x", "ny", "k", "r"]
-    radius = sized.withColumn("r", far).groupBy(*same).agg(F.count("*").alias("w"))
-    # just under the radius, so that the neighbour at it stays out in spite of rounding; kind orders events of one place:
-    # an interval begins before the points there and ends behind them
-    radius = radius.withColumn("r", F.col("r") * (1 - 1e-9))
-    points = radius.select(*same, "w", F.col("x").alias("at"), F.lit(1).alias("kind"), F.col("w").alias("one"))
-    none = F.lit(0).cast("long").alias("one")
-    starts = radius.select(*same, "w", (F.col("x") - F.col("r")).alias("at"), F.lit(0).alias("kind"), none)
-    ends = radius.select(*same, "w", (F.col("x") + F.col("r")).alias("at"), F.lit(2).alias("kind"), none)
-    mark = lambda df, s: df.withColumn("sign", F.lit(s))
-    events = mark(points, 0).union(mark(starts, -1)).union(mark(ends, 1))
-    run = events.withColumn("c", F.sum("one").over(Window.partitionBy("feature").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)))
-    m = run.where("sign <> 0").groupBy(*same).agg(F.sum(F.col("sign") * F.col("c")).alias("m"), F.min("w").alias("w"))
+        back = lambda j: F.lag("x", j).over(order) if j else F.col("x")
+        ahead = lambda j: F.lead("x", j).over(order) if j else F.col("x")
+        # j neighbours below and the others above: the farther of the two ends; greatest() passes over nulls, so both are asked for
+        spans = [F.when(back(j).isNotNull() & ahead(kk - j).isNotNull(), F.greatest(F.col("x") - back(j), ahead(kk - j) - F.col("x"))) for j in range(kk + 1)]
+        far = F.when(F.col("k") == kk, F.least(*spans)) if far is None else far.when(F.col("k") == kk, F.least(*spans))
+    # copies of a value have the radius of its innermost copy: the least
+    radius = rows.withColumn("r", far).where("not halo").groupBy("feature", "y", "x").agg(F.min("r").alias("r"))
+    # just under the radius, so that the neighbour at it stays out in spite of rounding
+    radius = materialized(radius.join(own.drop("_range"), ["feature", "y", "x"]).withColumn("r", F.col("r") * (1 - 1e-9)))
+    low, high = (F.col("x") - F.col("r")), (F.col("x") + F.col("r"))
+    points = radius.select("feature", F.col("x").alias("at"), F.col("w").alias("one"))
+    marks = radius.select("feature", F.explode(F.array(low, high)).alias("at"), F.lit(0).cast("long").alias("one"))
+    places = points.union(marks).groupBy("feature", "at").agg(F.sum("one").alias("one"))
+    upto = materialized(cumulated(places, ["feature"], "at", ["one"]))
+    begin = upto.select("feature", F.col("at").alias("_from"), (F.col("upto_one") - F.col("one")).alias("_before"))
+    end = upto.select("feature", F.col("at").alias("_to"), F.col("upto_one").alias("_upto"))
+    m = radius.withColumns({"_from": low, "_to": high}).join(begin, ["feature", "_from"]).join(end, ["feature", "_to"]).withColumn("m", F.col("_upto") - F.col("_before"))
     psi = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i) * F.when(n > 1, 1.0).otherwise(0.0) - 0.5772156649015329
     # digamma of each distinct count once
     n_all = m.groupBy("feature").agg(F.sum("w").alias("N"))
@@ -291,3 +306,31 @@ def average_rank(df: DataFrame, by: list[str], x: str, out: str) -> DataFrame:
     counts = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
     ranks = cumulated(counts, by, x, ["_n"]).select(*by, x, (F.col("upto__n") - (F.col("_n") - 1) / 2).alias(out))
     return df.join(ranks, [*by, x])
+
+
+def rank_correlation(df: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """(a, b, rho): Spearman's correlation of all pairs of features, ties by mean ranks; null where a feature is constant.
+    Rows that miss any of the features are left out.
+
+    A row's ranks are one vector, less the mean rank, which all features share; tasks add up the products of their rows'
+    vectors, and a sum over tasks gives all pairs."""
+    names = sorted(features)
+    whole = df.where(F.forall(F.array(*(F.col(f).isNotNull() for f in names)), lambda b: b)).select(key, *names)
+    long = whole.select(key, F.posexplode(F.array(*names)).alias("f", "x"))
+    ranks = average_rank(materialized(long), ["f"], "x", "r")
+    mean = (whole.count() + 1) / 2
+    vectors = ranks.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "r"))), lambda s: s["r"] - F.lit(mean)).alias("v"))
+    d = len(names)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d))
+        for batch in batches:
+            v = batch.column(0).flatten().to_numpy().reshape(-1, d)
+            total += v.T @ v
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["p"])
+
+    sums = vectors.select("v").mapInArrow(products, "p array<double>").select(F.posexplode("p").alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s"))
+    s = {r["at"]: r["s"] for r in sums.collect()}  # features squared
+    spread = [math.sqrt(s.get(i * d + i, 0.0)) for i in range(d)]
+    rows = [(names[i], names[j], s[i * d + j] / (spread[i] * spread[j]) if spread[i] * spread[j] > 0 else None) for i in range(d) for j in range(i + 1, d)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, rho double")

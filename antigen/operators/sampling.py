@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from antigen.functions.hashing import uniform_hash
+from antigen.sources.steps import materialized
 
 
 def lowest(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
@@ -43,10 +44,11 @@ def safe_strata(df: DataFrame, label: str = "label", y: str = "y", by_label: boo
     if not by_label:
         return df.withColumn("stratum", F.col(y).cast("string")).withColumn("strategy", F.lit("binary")).withColumn("pooled", F.lit(0).cast("long"))
     pool = F.when(F.col("_n") >= 2, F.col(label)).when(F.col(y) == 0, "__RARE_NORMAL__").otherwise("__RARE_ATTACK__")
-    labels = df.groupBy(label, y).agg(F.count("*").alias("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(label))).withColumn("stratum", pool)  # a row a label and class
+    # a row a label and class, as a table, so that Spark sees its size and sends it to all tasks only if that is small
+    labels = materialized(df.groupBy(label, y).agg(F.count("*").alias("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy(label))).withColumn("stratum", pool))
     sizes = labels.groupBy("stratum").agg(F.sum("_c").alias("c"), F.count_distinct(F.when(F.col("_n") < 2, F.col(label))).alias("r"))
     verdict = sizes.agg(((F.count("*") > 1) & (F.min("c") >= 2)).alias("fits"), F.sum("r").alias("pooled"))
-    out = df.join(F.broadcast(labels.select(label, y, "stratum")), [label, y]).crossJoin(F.broadcast(verdict))  # labels of one table, and one row
+    out = df.join(labels.select(label, y, "stratum"), [label, y]).crossJoin(F.broadcast(verdict))  # one row
     rare = F.col("pooled") > 0
     name = F.when(~rare, "original_label").when(F.col("fits"), "original_label_with_rare_pooling").otherwise("binary_fallback")
     return out.withColumn("strategy", name).withColumn("stratum", F.when(rare & ~F.col("fits"), F.col(y).cast("string")).otherwise(F.col("stratum"))).drop("fits")
@@ -63,12 +65,23 @@ def stratified_split(df: DataFrame, by: str, test: float, validation: float, see
 
 
 def class_cap(df: DataFrame, n: int, seed: int, y: str = "y", key: str = "id") -> DataFrame:
-    """About n rows in the proportions of the classes, one of each at least, n in all at most."""
-    sizes = df.groupBy(y).agg(F.count("*").alias("of"))
-    sizes = sizes.withColumn("quota", F.greatest(F.lit(1), F.floor(F.lit(float(n)) * F.col("of") / F.sum("of").over(Window.partitionBy()) + 0.5)))
-    w = Window.partitionBy(y).orderBy("priority", key)
-    ranked = df.withColumn("priority", uniform_hash(seed, key)).withColumn("at", F.row_number().over(w))
-    return ranked.join(F.broadcast(sizes), y).where("at <= quota").drop("at", "of", "quota").orderBy("priority", key).limit(n)  # sizes: a row for each class
+    """About n rows in the proportions of the classes, one of each at least, n in all at most.
+
+    A histogram of the hash's ranges tells in which of them a class's quota ends: rows of lower ranges are taken by a filter,
+    and only those of the last one are ordered."""
+    ranged = df.withColumn("priority", uniform_hash(seed, key)).withColumn("_range", F.shiftright("priority", 32 - RANGES.bit_length() + 1))
+    own = Window.partitionBy(y)
+    upto = own.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    cells = ranged.groupBy(y, "_range").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(upto)).withColumn("_of", F.sum("_n").over(own))
+    cells = materialized(cells)  # RANGES rows a class
+    total = cells.agg(F.sum("_n").alias("_all"))
+    quota = F.least(F.col("_of"), F.greatest(F.lit(1), F.floor(F.lit(float(n)) * F.col("_of") / F.col("_all") + 0.5)))
+    last = cells.crossJoin(total).withColumn("_quota", quota).where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))  # one row of totals
+    last = materialized(last.select(y, F.col("_range").alias("_last"), (F.col("_quota") - (F.col("_upto") - F.col("_n"))).alias("_need")))
+    met = ranged.join(last, y).where("_range <= _last")
+    at = F.row_number().over(own.orderBy("priority", key))
+    border = met.where("_range = _last").withColumn("_at", at).where("_at <= _need")
+    return met.where("_range < _last").select(*df.columns, "priority").unionByName(border.select(*df.columns, "priority")).orderBy("priority", key).limit(n)
 
 
 def resamples(df: DataFrame, seeds: list[int], share: float, y: str = "y", key: str = "id") -> DataFrame:

@@ -37,12 +37,20 @@ def scan_ragged(spark: SparkSession, d: str) -> DataFrame:
     return files.read_positional(spark, path, ["id", "flag", "label", "difficulty"], "difficulty")
 
 
-@query("scan_files", f"""WITH {V.FLOWS} SELECT 's=' || src AS folder, CAST(count(*) AS BIGINT) AS n, round(sum(quantity), 6) AS quantity, CAST(count(*) - 1 AS BIGINT) AS last_row, CAST(count(*) AS BIGINT) AS places FROM flows GROUP BY 1""")
+@query("scan_files", f"""WITH {V.FLOWS} SELECT 's=' || src AS folder, CAST(count(*) AS BIGINT) AS n, round(sum(quantity), 6) AS quantity, round(sum(CASE WHEN src % 3 = 1 THEN tax END), 6) AS tax, CAST(count(*) FILTER (y = 1) AS BIGINT) AS attacks, CAST(count(*) - 1 AS BIGINT) AS last_row, CAST(count(*) AS BIGINT) AS places FROM flows GROUP BY 1""")
 def scan_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of three headers: one plain, one with its columns swapped and one more, one with a mark and blanks in it."""
     path = scratch(spark)
-    V.flows(spark, d).select(F.col("src").alias("s"), "id", F.col("quantity").alias(" Flow  Quantity ")).repartition("s").write.partitionBy("s").csv(path, header=True)
+    f = V.flows(spark, d).withColumn("s", F.col("src"))
+    quantity = F.col("quantity").alias(" Flow  Quantity ")
+    kinds = [["id", quantity, "y"], ["y", F.col("tax").alias("Tax"), quantity, "id"], [F.col("id").alias("\ufeffid"), F.col("quantity").alias("Flow Quantity"), F.col("y").alias(" y ")]]
+    for i, columns in enumerate(kinds):
+        f.where(F.col("src") % 3 == i).select("s", *columns).repartition("s").write.mode("append").partitionBy("s").csv(path, header=True)
     df = files.read_flow_files(spark, path).withColumn("folder", F.regexp_extract("source_file", r"(s=\d+)/[^/]+$", 1))
-    return df.groupBy("folder").agg(F.count("*").alias("n"), F.round(F.sum(F.col("Flow Quantity").cast("double")), 6).alias("quantity"), F.max("source_row").alias("last_row"), F.count_distinct("source_row").alias("places"))
+    total = lambda c: F.round(F.sum(F.col(c).cast("double")), 6)
+    return df.groupBy("folder").agg(
+        F.count("*").alias("n"), total("Flow Quantity").alias("quantity"), total("Tax").alias("tax"), F.count_if(F.col("y") == "1").alias("attacks"), F.max("source_row").alias("last_row"), F.count_distinct("source_row").alias("places"),
+    )
 
 
 @query("bounded_scan", f"WITH {V.FLOWS} SELECT src, id, y, n <= 800 AS scan_complete FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY id) AS pos, count(*) OVER (PARTITION BY src) AS n FROM flows) WHERE pos <= 800")
@@ -432,24 +440,25 @@ def mrmr(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i + 1, f, relevance[f]) for i, f in enumerate(order)], "rank int, feature string, mi double")
 
 
-@query("mi_knn")
-def mi_knn(spark: SparkSession, d: str) -> DataFrame:
-    return X.knn_information(X.melted(V.flows(spark, d), ["y"], V.FEATURES)).withColumn("mi", F.round("mi", 9))
+#: Neighbours by windows over whole classes, and points within the radius by a frame of its width; H has the harmonic numbers.
+KNN = f"""{V.FLOWS}, l AS (SELECT u.feature, y, u.x FROM flows, LATERAL (SELECT * FROM (VALUES {LONG}) v(feature, x)) u), s AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS ny, count(*) OVER (PARTITION BY feature) AS n_all,
+{', '.join(f'lag(x, {i}) OVER c AS b{i}, lead(x, {i}) OVER c AS a{i}' for i in (1, 2, 3))} FROM l WINDOW c AS (PARTITION BY feature, y ORDER BY x)),
+r AS (SELECT *, least(a3 - x, CASE WHEN b1 IS NOT NULL AND a2 IS NOT NULL THEN greatest(x - b1, a2 - x) END, CASE WHEN b2 IS NOT NULL AND a1 IS NOT NULL THEN greatest(x - b2, a1 - x) END, x - b3) * (1 - 1e-9) AS r0 FROM s),
+rr AS (SELECT *, min(r0) OVER (PARTITION BY feature, y, x) AS r FROM r), c AS (SELECT feature, ny, n_all, count(*) OVER (PARTITION BY feature ORDER BY x RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS m FROM rr),
+h0 AS (SELECT range AS n FROM range(1, (SELECT count(*) + 2 FROM flows))), h AS (SELECT n, coalesce(sum(1.0::DOUBLE / n) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.5772156649015329 AS psi FROM h0)
+SELECT feature, round(greatest(0, max(ha.psi) + avg(1.5 - 0.5772156649015329 - hy.psi - hm.psi)), 9) AS mi FROM c JOIN h hm ON hm.n = m JOIN h hy ON hy.n = ny JOIN h ha ON ha.n = n_all GROUP BY 1"""
 
 
-FOUR = [f"e{i:02d}" for i in range(4)]
-FOUR_LONG = ", ".join(f"('{f}', {f})" for f in FOUR)
+@query("mi_knn", f"WITH {KNN}")
+def mi_knn(spark: SparkSession, d: str) -> DataFrame:
+    return X.knn_information(X.melted(V.flows(spark, d), ["y"], V.FEATURES)).withColumn("mi", F.round("mi", 9))
 
 
-@query("spearman", f"""WITH {V.EMB}, l AS (SELECT vec_id, u.feature, u.x FROM emb, LATERAL (SELECT * FROM (VALUES {FOUR_LONG}) v(feature, x)) u), r AS (SELECT vec_id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS r FROM l)
+@query("spearman", f"""WITH {V.EMB}, l AS (SELECT vec_id, u.feature, u.x FROM emb, LATERAL (SELECT * FROM (VALUES {', '.join(f"('{f}', {f})" for f in E)}) v(feature, x)) u), r AS (SELECT vec_id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS r FROM l)
   SELECT p.feature AS a, q.feature AS b, round(corr(p.r, q.r), 9) AS rho FROM r p JOIN r q ON p.vec_id = q.vec_id AND p.feature < q.feature GROUP BY 1, 2""")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of selected features."""
-    long = X.average_rank(X.melted(V.emb(spark, d).select("vec_id", *FOUR), ["vec_id"], FOUR), ["feature"], "x", "r")
-    wide = long.groupBy("vec_id").pivot("feature", FOUR).agg(F.first("r"))
-    pairs = [(a, b) for i, a in enumerate(FOUR) for b in FOUR[i + 1 :]]
-    one = wide.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(a, b), 9).alias("rho")) for a, b in pairs)).alias("p"))
-    return one.select(F.explode("p").alias("p")).select("p.*")
+    """All pairs of all components."""
+    return X.rank_correlation(V.emb(spark, d), "vec_id", E).withColumn("rho", F.round("rho", 9))
 
 
 ELONG = ", ".join(f"('{f}', {f})" for f in E)

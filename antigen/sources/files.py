@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 import re
 from collections import Counter
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +47,33 @@ def read_positional(spark: SparkSession, path: str, names: list[str], optional:
     return df.select(*(F.col(n) if n in kept else F.lit(None).cast("string").alias(n) for n in names))
 
 
+def headers_of(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
+    """The files under a folder by their header lines, split but not cleaned; files without a line are left out."""
+    lines = spark.read.text(folder, recursiveFileLookup=True, pathGlobFilter="*.csv").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("line"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(first.collect(), key=lambda r: r["file"]):  # a row a file
+        found.setdefault(tuple(next(csv.reader([r["line"].removeprefix("\ufeff")]), [])), []).append(unquote(r["file"]))
+    return found
+
+
 def read_flow_files(spark: SparkSession, folder: str) -> DataFrame:
     """All CSV files under a folder, text columns with clean names, the file's path as `source_file` and the row's place in it,
-    from 0 and without the header, as `source_row`. Files of one folder share their header.
+    from 0 and without the header, as `source_row`.
 
+    Each file is read by its own header: files of one header are scanned together, and the scans are joined by name, in the
+    order of the first files that have a column; what a file lacks is null. A folder without lines is an error.
     A long file is read in blocks: rows are numbered within each, and the blocks' counts give where each begins."""
-    raw = spark.read.csv(folder, header=True, recursiveFileLookup=True, pathGlobFilter="*.csv")
-    named = raw.toDF(*clean_header(raw.columns)).columns
-    rows = raw.select(*(F.col(f"`{a}`").alias(b) for a, b in zip(raw.columns, named)), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    scans = []
+    for header, paths in headers_of(spark, folder).items():
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+        raw = spark.read.csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths], schema=schema, header=True, recursiveFileLookup=True)
+        named = [F.col(c).alias(name) for c, name in zip(raw.columns, clean_header(list(header)))]
+        scans.append(raw.select(*named, F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")))
+    if not scans:
+        raise ValueError(f"{folder} has no CSV file with a header")
+    rows = union_tables(*scans)
+    named = [c for c in rows.columns if c not in ("source_file", "_block", "_id")]
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = rows.groupBy("source_file", "_block").agg(F.count("*").alias("_n")).withColumn("_before", before).drop("_n")
     within = F.row_number().over(Window.partitionBy("source_file", "_block").orderBy("_id")) - 1

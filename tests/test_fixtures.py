@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from antigen.functions import bits, labels, special
 from antigen.functions.metrics import confusion, with_metrics
-from antigen.operators import baselines, cleaning, deploy, detectors, evaluation, features, sampling, stats
+from antigen.operators import baselines, cleaning, deploy, detectors, evaluation, features, matching, sampling, stats
 from antigen.sources import files
 
 
@@ -451,3 +451,111 @@ def test_isolation_forest_ranks_outliers_first(spark):
     df = frame(spark, rows, "id long, a double, b double")
     out = baselines.isolation_scores(df, df, ["a", "b"], "id")
     assert out.orderBy(F.desc("score")).first().id == 1000
+
+
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "deep er").mkdir()
+    (tmp_path / "a.csv").write_text("x,y,label\n1,2,benign\n3,4,benign\n")
+    (tmp_path / "b.csv").write_text("y,x,label\n20,10,attack\n")
+    (tmp_path / "deep er" / "c[1].csv").write_text('\ufeffx, extra  name ,y,label\n5,"7,7",6,benign\n')
+    (tmp_path / "d.csv").write_text("x,y,label\n8,9,late\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "bare.csv").write_text("label,x\n")
+    (tmp_path / "notes.txt").write_text("x,y\n0,0\n")
+    df = files.read_flow_files(spark, str(tmp_path))
+    assert df.columns == ["x", "y", "label", "extra name", "source_file", "source_row"]
+    got = sorted((r.x, r.y, r.label, r["extra name"], r.source_file.rsplit("/", 1)[1], r.source_row) for r in df.collect())
+    assert got == [("1", "2", "benign", None, "a.csv", 0), ("10", "20", "attack", None, "b.csv", 0), ("3", "4", "benign", None, "a.csv", 1), ("5", "6", "benign", "7,7", got[3][4], 0), ("8", "9", "late", None, "d.csv", 0)]
+    (tmp_path / "only").mkdir()
+    with pytest.raises(ValueError):
+        files.read_flow_files(spark, str(tmp_path / "only"))
+
+
+def test_least_step_and_caps_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    own = {g: sorted({round(rnd.gauss(0, 10), 3) for _ in range(n)}) for g, n in (("a", 700), ("b", 40), ("c", 1), ("d", 2))}
+    df = frame(spark, [(g, x) for g, xs in own.items() for x in xs], "g string, x double").repartition(5)
+    got = {r.g: r.least_step for r in evaluation.least_step(df, ["g"], "x").collect()}
+    assert got == {g: (pytest.approx(min(b - a for a, b in zip(xs, xs[1:])), abs=1e-12) if len(xs) > 1 else None) for g, xs in own.items()}
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 50 == 0, 1).otherwise(0).alias("y")).withColumn("h", sampling.uniform_hash(3, "id"))
+    every = rows.collect()
+    for n in (1, 2, 7, 100, 4999, 9000):
+        want = []
+        for y in (0, 1):
+            of = sorted((r.h, r.id) for r in every if r.y == y)
+            want += of[: max(1, math.floor(n * len(of) / 5000 + 0.5))]
+        got = [(r.priority, r.id) for r in sampling.class_cap(rows.drop("h"), n, 3).collect()]
+        assert got == sorted(want)[:n], n
+    plan = sampling.class_cap(rows.drop("h"), 100, 3)._jdf.queryExecution().toString()
+    assert "_range" in plan and plan.count("row_number") <= 8
+
+
+@pytest.mark.parametrize("parts", [64, 3])
+def test_neighbour_information_in_ranges(spark, monkeypatch, parts):
+    """Classes of few and many rows, ties of half of all rows, and classes whose rows lie far apart."""
+    import numpy as np
+
+    ranges = evaluation.in_ranges
+    monkeypatch.setattr(features, "in_ranges", lambda *a: ranges(*a, parts))
+    rng = np.random.default_rng(2)
+    data = {
+        "wide": ([*rng.normal(size=300), *rng.normal(3, 1, 200), *(100 + rng.normal(size=5))], [0] * 300 + [1] * 200 + [2] * 5),
+        "ties": ([0.0] * 200 + list(rng.integers(0, 4, 200).astype(float)), list(rng.integers(0, 2, 400))), "few": ([1.0, 2.0, 4.0, 4.0, 9.0], [0, 0, 1, 1, 2]),
+    }
+    rows = [(f, float(x), int(y)) for f, (xs, ys) in data.items() for x, y in zip(xs, ys)] + [("few", None, 0)]
+    got = {r.feature: r.mi for r in features.knn_information(frame(spark, rows, "feature string, x double, y int").repartition(4)).collect()}
+    psi = lambda n: sum(1 / i for i in range(1, n)) - 0.5772156649015329
+    for f, (xs, ys) in data.items():
+        xs, ys = np.array(xs), np.array(ys)
+        kept = [y for y in set(ys.tolist()) if (ys == y).sum() > 1]
+        xs, ys = xs[np.isin(ys, kept)], ys[np.isin(ys, kept)]
+        terms = []
+        for i, (x, y) in enumerate(zip(xs, ys)):
+            same = np.sort(np.abs(np.delete(xs, i)[np.delete(ys, i) == y] - x))
+            k = min(3, len(same))
+            r = same[k - 1] * (1 - 1e-9)
+            terms.append(psi(k) - psi(len(same) + 1) - psi(int((np.abs(xs - x) <= r).sum())))
+        assert got[f] == pytest.approx(max(0.0, psi(len(xs)) + np.mean(terms)), abs=1e-9), f
+
+
+def test_rank_correlation_by_pandas(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 5))
+    x[:, 1] = np.round(x[:, 0])
+    x[:, 3] = 4.0
+    df = frame(spark, [(i, *map(float, v)) for i, v in enumerate(x)] + [(999, None, 1.0, 1.0, 1.0, 1.0)], "id int, a double, b double, c double, d double, e double").repartition(3)
+    got = {(r.a, r.b): r.rho for r in features.rank_correlation(df, "id", list("ecadb")).collect()}
+    import pandas as pd
+
+    ranks = pd.DataFrame(x, columns=list("abcde")).rank()
+    want = {(a, b): None if "d" in (a, b) else pytest.approx(float(np.corrcoef(ranks[a], ranks[b])[0, 1]), abs=1e-12) for i, a in enumerate("abcde") for b in "abcde"[i + 1 :]}
+    assert got == want
+
+
+def test_weighted_and_wide_selection(spark):
+    """Measures of the trie, the product and the one pass agree; a radius of too many masks goes by the trie."""
+    pool, own = detectors.candidates(spark, 300, 14, 5), spark.range(0, 16384, 401).select(F.col("id").alias("bits"))
+    weights = bits.normalized([float(i % 5 + 1) for i in range(14)])
+    measure = matching.Weighted(tuple(weights))
+    direct = detectors.select_by(pool, own, lambda a, b: bits.weighted_hamming(a, b, weights) <= 0.2)
+    ids = lambda df: sorted(r.detector_id for r in df.collect())
+    assert ids(detectors.select_by(pool, own, measure, 0.2)) == ids(direct) and 0 < direct.count() < 300
+    assert detectors.ball_masks(14, 6) > detectors.MASKS
+    hits = detectors.select_by(pool, own, lambda a, b: bits.hamming(a, b) <= 6)
+    assert ids(detectors.select_detectors(pool, own.limit(3), 14, 6)) == ids(detectors.select_by(pool, own.limit(3), lambda a, b: bits.hamming(a, b) <= 6)) and hits.count() == 0
+    rows = spark.range(500).select("id", (F.col("id") * 37 % 310).alias("bits"))
+    for m, plain, distance in ((measure, lambda a, b: 1 - bits.weighted_hamming(a, b, weights), False), (matching.hamming(14), bits.hamming, True), (matching.Jaccard(14), bits.jaccard, False)):
+        want = detectors.nearest(rows, pool, plain, distance).select("id", F.round("score", 10).alias("s"))
+        for few in (1024, 10):
+            detectors.FEW = few
+            assert detectors.nearest(rows, pool, m, distance).select("id", F.round("score", 10).alias("s")).exceptAll(want).count() == 0
+    detectors.FEW = 1024
+    hit = {r.id: r.pred for r in detectors.detected_by(rows, pool, measure, 0.05).collect()}
+    near = {r.id: r.score for r in detectors.nearest(rows, pool, measure, True).collect()}
+    assert hit == {i: int(s <= 0.05) for i, s in near.items()} and set(hit.values()) == {0, 1}
+    empty = detectors.nearest(rows, pool.limit(0), measure, False)
+    assert {r.score for r in empty.collect()} == {0.0}
