@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 
 import numpy as np
@@ -225,13 +226,14 @@ def spans_by_hand(rows: dict[int, str | None]) -> dict[int, str | None]:
     out = {}
     for i, text in sorted(rows.items()):
         raw = (text or "").encode()
-        _, starts, _, _ = span_dedup.units([raw])
+        _, starts, _, _, whole = span_dedup.units([raw])
         parts = [raw[a:b].decode() for a, b in zip(starts, [*starts[1:], len(raw)])]
         words = [tuple(w.lower() if w.isascii() else w for w in WORD.findall(p)) for p in parts]
         gone = set()
         enough = lambda a, b: b - a >= 3 and sum(map(len, words[a:b])) >= 12
         runs = {(a, next((b for b in range(a, len(parts) + 1) if enough(a, b)), None)) for a in range(len(parts))}
         runs |= {(next((a for a in range(b, -1, -1) if enough(a, b)), None), b) for b in range(1, len(parts) + 1)}
+        runs |= {(a, a + 3) for a in range(len(parts) - 2) if all(whole[a : a + 3])}
         for a, b in sorted(r for r in runs if None not in r):
             if seen.setdefault(tuple(words[a:b]), (i, a, b)) != (i, a, b):
                 gone |= set(range(a, b))
@@ -239,6 +241,32 @@ def spans_by_hand(rows: dict[int, str | None]) -> dict[int, str | None]:
     return out
 
 
+def short_sentences_by_hand(rows: dict[int, str]) -> dict[int, str]:
+    """Texts of short sentences, one behind another with a space: all three in a row are a run, whatever they hold."""
+    seen: dict[tuple, tuple] = {}
+    out = {}
+    for i, text in sorted(rows.items()):
+        parts = re.findall(r"[^.!?]+[.!?]+ ?", text)
+        assert "".join(parts) == text
+        key = [tuple(p.lower().split()) for p in parts]
+        gone: set = set()
+        for a in range(len(parts) - 2):
+            if seen.setdefault(tuple(key[a : a + 3]), (i, a)) != (i, a):
+                gone |= {a, a + 1, a + 2}
+        out[i] = "".join(p for k, p in enumerate(parts) if k not in gone)
+    return out
+
+
+def test_every_run_of_short_sentences_counts(spark):
+    rnd = random.Random(12)
+    one = lambda n: " ".join(rnd.choice(["buy", "it", "Now"]) for _ in range(n)).capitalize() + rnd.choice(".!?")
+    rows = {i: " ".join(one(rnd.choice([1, 1, 2, 5])) for _ in range(rnd.randint(1, 14))) for i in range(120)}
+    rows |= {200: "Buy it now. Call us today. Offer ends soon.", 201: "Buy it now. Call us today. Offer ends soon.", 202: "First. buy it NOW. Call us today. Offer ends soon."}
+    got = {r.doc_id: r.text for r in dedup_spans(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)).collect()}
+    want = short_sentences_by_hand(rows)
+    assert got == want and got[201] == "" and got[202] == "First. " and sum(want[i] != rows[i] for i in rows) > 5
+
+
 def test_span_dedup_by_brute_force(spark):
     import random
 
