@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from antigen.functions.hashing import uniform_hash
 
+#: Logistic regression draws nothing, so its seeds agree.
 MODELS = {
-    "lr": lambda **k: LogisticRegression(maxIter=1000, **k),
-    "dt": lambda **k: DecisionTreeClassifier(maxDepth=20, minInstancesPerNode=2, seed=42, **k),
-    "rf": lambda **k: RandomForestClassifier(numTrees=200, maxDepth=20, seed=42, **k),
+    "lr": lambda seed, **k: LogisticRegression(maxIter=1000, **k),
+    "dt": lambda seed, **k: DecisionTreeClassifier(maxDepth=20, minInstancesPerNode=2, seed=seed, **k),
+    "rf": lambda seed, **k: RandomForestClassifier(numTrees=200, maxDepth=20, seed=seed, **k),
 }
 #: Rows that a tree of the isolation forest is grown from.
 TREE_ROWS = 256
@@ -31,10 +32,10 @@ def class_weighted(df: DataFrame, y: str = "y") -> DataFrame:
     return df.join(F.broadcast(n.crossJoin(total)), y).withColumn("weight", F.col("_all") / (2 * F.col("_n"))).drop("_n", "_all")  # a row a class
 
 
-def scores(train: DataFrame, rows: DataFrame, features: list[str], model: str, y: str = "y") -> DataFrame:
+def scores(train: DataFrame, rows: DataFrame, features: list[str], model: str, y: str = "y", seed: int = 42) -> DataFrame:
     """Adds `score`, the probability of class 1."""
     assemble = VectorAssembler(inputCols=features, outputCol="_v").transform
-    fitted = MODELS[model](featuresCol="_v", labelCol=y, weightCol="weight").fit(assemble(class_weighted(train, y)))
+    fitted = MODELS[model](seed, featuresCol="_v", labelCol=y, weightCol="weight").fit(assemble(class_weighted(train, y)))
     return fitted.transform(assemble(rows)).withColumn("score", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
 
 

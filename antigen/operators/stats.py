@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -150,17 +152,40 @@ def holm_with_subfamily(df: DataFrame, member: Column, p: str = "p") -> DataFram
     return holm(sub, [], p)
 
 
-def bootstrap(df: DataFrame, by: list[str], d: str, replicates: int, seed: int) -> DataFrame:
-    """Percentile interval of the mean of each group's differences: a replicate draws by hash from the group's sorted values,
-    which are run rows, few for each group. Groups times replicates are the rows of the job."""
-    from antigen.functions.hashing import uniform_hash
-
-    groups = df.groupBy(*by).agg(F.sort_array(F.collect_list(d)).alias("v"), F.avg(d).alias("mean"))
-    many = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    n = F.size("v")
-    draw = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, i: a + F.element_at("v", (uniform_hash(seed, F.col("b"), i) % n + 1).cast("int")))
-    means = many.withColumn("m", draw / n)
-    return means.groupBy(*by).agg(F.max("mean").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+_WORD = np.uint64(0xFFFFFFFF)
+
+
+def counter_draws(seed: int, n: int, replicates: int) -> np.ndarray:
+    """For each replicate n places under n: 32-bit hashes of a counter, which any engine can repeat (two rounds of shift,
+    exclusive-or and multiplication)."""
+    x = (np.uint64(seed) * np.uint64(2654435761) + np.arange(replicates * n, dtype=np.uint64)) & _WORD
+    for _ in range(2):
+        x = ((x >> np.uint64(16)) ^ x) * np.uint64(0x45D9F3B) & _WORD
+    return (((x >> np.uint64(16)) ^ x) % np.uint64(n)).astype(np.int64).reshape(replicates, n)
+
+
+def bootstrap(df: DataFrame, by: list[str], d: str, replicates: int, seed: int, confidence: float = 0.95) -> DataFrame:
+    """(by, mean, low, high): percentile interval of the mean of each group's differences; all alike give the point, none gives
+    nulls. A group's seed is `seed` plus its place, from 0, in the order of `by`, so groups draw from streams of their own.
+    Differences are run rows, few for each group; each task draws for its groups, as vectors."""
+    groups = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.when(F.abs(d) < float("inf"), F.col(d)))).alias("v"))
+    groups = groups.withColumn("_at", F.row_number().over(Window.orderBy(*by)) - 1)  # a row a group
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for values, at in zip(batch.column("v").to_pylist(), batch.column("_at").to_pylist()):
+                v = np.array(values, float)
+                if not len(v) or np.allclose(v, v[0]):
+                    out.append([float(v.mean())] * 3 if len(v) else [None] * 3)
+                    continue
+                means = v[counter_draws(seed + at, len(v), replicates)].mean(axis=1)
+                out.append([float(v.mean()), *map(float, np.quantile(means, [(1 - confidence) / 2, (1 + confidence) / 2]))])
+            keys = [batch.column(c) for c in by]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.float64()) for c in zip(*out))], [*by, "mean", "low", "high"])
+
+    kinds = ", ".join(f"{c} {groups.schema[c].dataType.simpleString()}" for c in by)
+    return groups.select(*by, "v", "_at").mapInArrow(run, f"{kinds}, mean double, low double, high double")
 
 
 def binomial_interval(df: DataFrame, x: str = "met", n: str = "runs", confidence: float = 0.95) -> DataFrame:

@@ -12,7 +12,7 @@ from antigen.functions.metrics import confusion, with_metrics
 from antigen.operators import deploy, detectors, evaluation, matching, sampling, stats
 from antigen.plans import views as V
 from antigen.plans.data_queries import materialized
-from antigen.plans.run_queries import BUDGET, CAND, DSPLIT, K, PICKED, RADIUS, RAW, SEED, chosen_bits, raw_vectors, rounded, self_rows, split_sql
+from antigen.plans.run_queries import BUDGET, CAND, DSPLIT, GRID_MODELS, GRID_SEEDS, K, PICKED, RAW, SEED, baseline_metrics, chosen_bits, raw_vectors, rounded, self_rows, split_sql, split_vectors
 from antigen.sources import files
 
 QUERIES: dict = {}
@@ -225,7 +225,7 @@ tlock AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, targe
 #: The tuning stage becomes a table, as both stages give their steps the same names.
 FINAL_SQL = f"""WITH chosen AS MATERIALIZED (WITH {TUNED}, {LOCKED} SELECT method, budget, most, target FROM tlock),
 {stage_sql(FINAL_SEEDS, 'specs AS (SELECT DISTINCT method, budget, most FROM chosen)')}
-SELECT m.method, m.budget, m.most, m.target, m.seed, tn, fp, fn, tp, round(f1, 8) AS f1, round(fpr, 8) AS fpr, CAST((SELECT count(*) FROM specs) * {len(FINAL_SEEDS)} AS BIGINT) AS fits
+SELECT m.method, m.budget, m.most, m.target, m.seed, tn, fp, fn, tp, round(f1, 8) AS f1, round(recall, 8) AS recall, round(fpr, 8) AS fpr, CAST((SELECT count(*) FROM specs) * {len(FINAL_SEEDS)} AS BIGINT) AS fits
 FROM tmm m JOIN chosen USING (method, budget, most, target) WHERE split = 'test'"""
 
 
@@ -238,4 +238,19 @@ def final_run(spark: SparkSession, d: str) -> DataFrame:
     specs = sorted({(r["method"], r["budget"], r["most"]) for r in lock.collect()})  # a row a method and target
     final = stage(rows, {k: v for k, v in measures.items() if k in {s[0] for s in specs}}, specs, FINAL_SEEDS)
     out = final.where("split = 'test'").join(F.broadcast(lock), ["method", "budget", "most", "target"])
-    return rounded(out.select(*RUN_OF, "target", "tn", "fp", "fn", "tp", "f1", "fpr").withColumn("fits", F.lit(len(specs) * len(FINAL_SEEDS)).cast("long")))
+    return rounded(out.select(*RUN_OF, "target", "tn", "fp", "fn", "tp", "f1", "recall", "fpr").withColumn("fits", F.lit(len(specs) * len(FINAL_SEEDS)).cast("long")))
+
+
+@query("baseline_compare")
+def baseline_compare(spark: SparkSession, d: str) -> DataFrame:
+    """All baseline models and seeds beside the locked detectors on test rows, by target: means and deviations over the seeds.
+    Detector rows are kept where the hash of their partition is that of the baselines' rows."""
+    split = materialized(split_vectors(spark, d).select("vec_id", "split"))
+    signed = split.groupBy("split").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("vec_id")).alias("x")).orderBy("split").collect()  # three rows
+    partition = F.sha2(F.lit("|".join(f"{r['split']}:{r['n']}:{r['x']}" for r in signed)), 256).alias("partition_hash")
+    own = final_run(spark, d).select(F.lit("detector").alias("approach"), F.col("method").alias("model"), "target", "seed", "f1", "recall", "fpr", partition)
+    base = baseline_metrics(spark, d, GRID_MODELS, GRID_SEEDS).select(F.lit("baseline").alias("approach"), F.col("run").alias("model"), "target", "seed", "f1", "recall", "fpr", partition)
+    base = materialized(base)
+    both = files.union_tables(stats.compatible(own, base, [], ["partition_hash"]), base)
+    metrics = [f(m).alias(f"{m}_{n}") for m in ("f1", "recall", "fpr") for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))]
+    return rounded(both.groupBy("approach", "model", "target", "partition_hash").agg(F.count("*").alias("runs"), F.count_distinct("seed").alias("seeds"), *metrics))

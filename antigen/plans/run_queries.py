@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -293,12 +296,12 @@ def category_analysis(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluation.category_analysis(V.scored(spark, d), ["method"]))
 
 
-@query("category_universe", f"WITH {V.SCORED}, u AS (SELECT unnest(['C0', 'C1', 'C2', 'Absent']) AS category), a AS (SELECT category, sum(y) AS n, sum(y * pred) AS d, string_agg(DISTINCT dataset, '|' ORDER BY dataset) AS datasets FROM scored WHERE y = 1 GROUP BY 1) SELECT category, CAST(coalesce(n, 0) AS BIGINT) AS support, round(d / CAST(n AS DOUBLE), 8) AS recall, CASE WHEN n IS NULL THEN 'NOT_ESTIMABLE' ELSE 'ESTIMABLE' END AS status, datasets FROM u LEFT JOIN a USING (category)")
+@query("category_universe", f"WITH {V.SCORED}, u AS (SELECT unnest(['C0', 'C1', 'C2', 'Absent']) AS category), a AS (SELECT category, sum(y) AS n, sum(y * pred) AS d, string_agg(DISTINCT dataset, '|' ORDER BY dataset) AS datasets FROM scored WHERE y = 1 GROUP BY 1) SELECT category, CAST(coalesce(n, 0) AS BIGINT) AS support, CAST(coalesce(d, 0) AS BIGINT) AS detected, CAST(coalesce(n - d, 0) AS BIGINT) AS missed, round(d / CAST(n AS DOUBLE), 8) AS recall, CASE WHEN n IS NULL THEN 'NOT_ESTIMABLE' ELSE 'ESTIMABLE' END AS status, datasets FROM u LEFT JOIN a USING (category)")
 def category_universe(spark: SparkSession, d: str) -> DataFrame:
     universe = spark.createDataFrame([("C0",), ("C1",), ("C2",), ("Absent",)], "category string")
     a = V.scored(spark, d).where("y = 1").groupBy("category").agg(F.sum("y").alias("n"), F.sum("pred").alias("hit"), F.array_join(F.array_sort(F.collect_set("dataset")), "|").alias("datasets"))
     out = universe.join(a, "category", "left")
-    return out.select("category", F.coalesce("n", F.lit(0)).cast("long").alias("support"), F.round(F.col("hit") / F.col("n"), 8).alias("recall"), F.when(F.col("n").isNull(), "NOT_ESTIMABLE").otherwise("ESTIMABLE").alias("status"), "datasets")
+    return out.select("category", F.coalesce("n", F.lit(0)).cast("long").alias("support"), F.coalesce("hit", F.lit(0)).cast("long").alias("detected"), F.coalesce(F.col("n") - F.col("hit"), F.lit(0)).cast("long").alias("missed"), F.round(F.col("hit") / F.col("n"), 8).alias("recall"), F.when(F.col("n").isNull(), "NOT_ESTIMABLE").otherwise("ESTIMABLE").alias("status"), "datasets")
 
 
 @query("category_summary", f"WITH {V.SCORED}, c AS (SELECT method, category, seed, sum(y) AS n, sum(y * pred) / CAST(nullif(sum(y), 0) AS DOUBLE) AS recall FROM scored GROUP BY 1, 2, 3) SELECT method, category, CAST(count(*) AS BIGINT) AS runs, round(avg(recall), 8) AS mean_recall, round(stddev_samp(recall), 8) AS std_recall, CASE WHEN max(n) = 0 THEN 'no_test_observations' WHEN max(n) < 20 THEN 'limited_sample' ELSE 'reportable' END AS evidence FROM c GROUP BY 1, 2")
@@ -366,10 +369,14 @@ T20 = "2.093024054408263"
 T120 = repr(t_quantile(0.975, 119))
 
 
-@query("metric_long", f"WITH {V.RUNS}, u AS (UNPIVOT (SELECT dataset, method, f1, recall, fpr, accuracy FROM runs) ON f1, recall, fpr, accuracy INTO NAME metric VALUE v), g AS (SELECT dataset, method, metric, count(v) AS n, avg(v) AS m, stddev_samp(v) AS s FROM u GROUP BY 1, 2, 3) SELECT dataset, method, metric, CAST(n AS BIGINT) AS n, round(m, 7) AS mean, round(s, 7) AS std FROM g")
+#: Student's quantiles of up to 160 runs.
+STUDENT = "t(n, q) AS (VALUES " + ", ".join(f"({n}, {t_quantile(0.975, n - 1)!r})" for n in range(2, 161)) + ")"
+
+
+@query("metric_long", f"WITH {V.RUNS}, {STUDENT}, u AS (UNPIVOT (SELECT dataset, method, f1, recall, fpr, accuracy FROM runs) ON f1, recall, fpr, accuracy INTO NAME metric VALUE v), g AS (SELECT dataset, method, metric, count(v) AS n, avg(v) AS m, stddev_samp(v) AS s FROM u GROUP BY 1, 2, 3) SELECT dataset, method, metric, CAST(n AS BIGINT) AS n, round(m, 7) AS mean, round(s, 7) AS std, round(m - q * s / sqrt(n), 7) AS low, round(m + q * s / sqrt(n), 7) AS high FROM g LEFT JOIN t USING (n)")
 def metric_long(spark: SparkSession, d: str) -> DataFrame:
     u = V.runs(spark, d).unpivot(["dataset", "method"], ["f1", "recall", "fpr", "accuracy"], "metric", "v")
-    return rounded(stats.interval(u, ["dataset", "method", "metric"], "v"), 7).drop("low", "high")
+    return rounded(stats.interval(u, ["dataset", "method", "metric"], "v"), 7)
 
 
 @query("repeated_runs", f"WITH {V.RUNS}, u AS (UNPIVOT (SELECT dataset, method, k, target, seed, f1, recall FROM runs) ON f1, recall INTO NAME metric VALUE v) SELECT dataset, method, k, target, metric, CAST(count(*) AS BIGINT) AS runs, string_agg(DISTINCT CAST(seed AS VARCHAR), '|' ORDER BY CAST(seed AS VARCHAR)) AS seeds, CAST(count(v) AS BIGINT) AS n, round(avg(v), 7) AS mean, round(stddev_samp(v), 7) AS std, round(avg(v) - {T20} * stddev_samp(v) / sqrt(20), 7) AS low, round(avg(v) + {T20} * stddev_samp(v) / sqrt(20), 7) AS high FROM u GROUP BY 1, 2, 3, 4, 5")
@@ -500,9 +507,19 @@ def wilcoxon_holm(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.holm(stats.with_signed_p(signed(spark, d, ("dataset", "k", "target"))), []))
 
 
-@query("bootstrap_ci")
+MIXED = "(xor({0} >> 16, {0}) * 73244475) & 4294967295"
+BOOT = f"""{PAIRED3}, bg AS (SELECT dataset, k, metric, list_sort(list(diff)) AS v, count(*) AS n, row_number() OVER (ORDER BY dataset, k, metric) - 1 AS place, stddev_samp(diff) <= 1e-8 AS alike FROM pd GROUP BY 1, 2, 3),
+bx AS (SELECT dataset, k, metric, v, n, b.range AS b, ((2026 + place) * 2654435761 + b.range * n + i.range) & 4294967295 AS x FROM bg, range(5000) b, range(200) i WHERE i.range < n AND NOT alike),
+by1 AS (SELECT *, {MIXED.format('x')} AS x1 FROM bx), by2 AS (SELECT *, {MIXED.format('x1')} AS x2 FROM by1), bm AS (SELECT dataset, k, metric, b, avg(v[CAST(xor(x2 >> 16, x2) % n AS INT) + 1]) AS m FROM by2 GROUP BY ALL)
+SELECT dataset, k, metric, round(list_avg(v), 8) AS mean, round(coalesce(low, list_avg(v)), 8) AS low, round(coalesce(high, list_avg(v)), 8) AS high FROM bg LEFT JOIN (SELECT dataset, k, metric, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY ALL) USING (dataset, k, metric)"""
+
+
+@query("bootstrap_ci", f"WITH {BOOT}")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.bootstrap(paired_runs(spark, d), ["dataset", "k"], "diff", 5000, 2026))
+    """Every dataset, size and metric, each with its own seed."""
+    pairs = stats.paired(V.runs(spark, d), PAIR_KEYS, "method", "weighted", "hamming", list(DIRECTIONS))
+    diffs = pairs.select("dataset", "k", *((F.col(f"{m}_weighted") - F.col(f"{m}_hamming")).alias(m) for m in DIRECTIONS))
+    return rounded(stats.bootstrap(diffs.unpivot(["dataset", "k"], list(DIRECTIONS), "metric", "diff"), ["dataset", "k", "metric"], "diff", 5000, 2026))
 
 
 @query("performance_summary", f"WITH {V.RUNS} SELECT 'detector' AS approach, method AS model, CAST(count(*) AS BIGINT) AS n, round(avg(f1), 8) AS f1 FROM runs WHERE k = 20 GROUP BY 2 UNION ALL SELECT 'baseline', dataset, CAST(count(*) AS BIGINT), round(avg(f1), 8) FROM runs WHERE k = 10 GROUP BY 2")
@@ -658,29 +675,47 @@ def confusion_consistency(spark: SparkSession, d: str) -> DataFrame:
     return V.runs(spark, d).groupBy("dataset").agg(F.bool_and(F.abs(F.col("fpr") - F.col("fp") / (F.col("fp") + F.col("tn"))) <= 1e-12).alias("fpr_ok"), F.bool_and(F.abs(F.col("f1") - f1) <= 1e-9).alias("f1_ok"), F.count("*").alias("n"))
 
 
-INTEGRITY = """SELECT 'rows' AS "check", count(*) = 480 AS passed, CAST(count(*) AS VARCHAR) AS evidence FROM runs
-UNION ALL SELECT 'seeds', min(n) = 20, CAST(min(n) AS VARCHAR) FROM (SELECT count(DISTINCT seed) AS n FROM runs GROUP BY dataset, method, k, target)
-UNION ALL SELECT 'in_range', count(*) = 0, CAST(count(*) AS VARCHAR) FROM runs WHERE NOT (f1 BETWEEN 0 AND 1 AND fpr BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1 AND precision BETWEEN 0 AND 1 AND accuracy BETWEEN 0 AND 1)
-UNION ALL SELECT 'no_nulls', count(*) = 0, CAST(count(*) AS VARCHAR) FROM runs WHERE dataset IS NULL OR method IS NULL OR k IS NULL OR target IS NULL OR seed IS NULL OR f1 IS NULL OR fpr IS NULL
-UNION ALL SELECT 'unique_keys', count(*) = 0, CAST(count(*) AS VARCHAR) FROM (SELECT 1 FROM runs GROUP BY dataset, method, k, target, seed HAVING count(*) > 1)
-UNION ALL SELECT 'methods', count(DISTINCT method) = 2, CAST(count(DISTINCT method) AS VARCHAR) FROM runs
-UNION ALL SELECT 'ceiling', count(*) = 0, CAST(count(*) AS VARCHAR) FROM runs WHERE fpr > 0.9
-UNION ALL SELECT 'confusion', count(*) = 0, CAST(count(*) AS VARCHAR) FROM runs WHERE abs(recall - tp / CAST(nullif(tp + fn, 0) AS DOUBLE)) > 1e-12"""
+#: What must hold of each run row by itself, as SQL that both engines read.
+ROW_CHECKS = {
+    "in_range": "f1 BETWEEN 0 AND 1 AND fpr BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1 AND precision BETWEEN 0 AND 1 AND accuracy BETWEEN 0 AND 1",
+    "no_nulls": "dataset IS NOT NULL AND method IS NOT NULL AND k IS NOT NULL AND target IS NOT NULL AND seed IS NOT NULL AND f1 IS NOT NULL AND fpr IS NOT NULL",
+    "ceiling": "fpr <= 0.9",
+    "counts": "tn >= 0 AND fp >= 0 AND fn >= 0 AND tp >= 0 AND tn + fp + fn + tp > 0",
+    "recall": "abs(recall - CASE WHEN tp + fn = 0 THEN 0 ELSE tp / CAST(tp + fn AS DOUBLE) END) <= 1e-12",
+    "precision": "abs(precision - CASE WHEN tp + fp = 0 THEN 0 ELSE tp / CAST(tp + fp AS DOUBLE) END) <= 1e-12",
+    "accuracy": "abs(accuracy - (tp + tn) / CAST(tn + fp + fn + tp AS DOUBLE)) <= 1e-12",
+    "f1": "abs(f1 - CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) END) <= 1e-12",
+    "fpr": "abs(fpr - CASE WHEN fp + tn = 0 THEN 0 ELSE fp / CAST(fp + tn AS DOUBLE) END) <= 1e-12",
+    "fnr": "abs(fnr - CASE WHEN fn + tp = 0 THEN 0 ELSE fn / CAST(fn + tp AS DOUBLE) END) <= 1e-12",
+    "specificity": "abs(specificity - CASE WHEN tn + fp = 0 THEN 0 ELSE tn / CAST(tn + fp AS DOUBLE) END) <= 1e-12",
+    "rates_sum": "(tn + fp = 0 OR abs(specificity + fpr - 1) <= 1e-12) AND (tp + fn = 0 OR abs(recall + fnr - 1) <= 1e-12)",
+    "cost": "cost >= 0",
+}
+EXPECTED = "(SELECT " + " * ".join(f"count(DISTINCT {c})" for c in V.RUN_KEYS) + " FROM runs)"
+INTEGRITY = "\nUNION ALL ".join([
+    f"""SELECT 'rows' AS "check", count(*) = {EXPECTED} AS passed, CAST(count(*) AS VARCHAR) AS evidence FROM runs""",
+    "SELECT 'seeds', min(n) = (SELECT count(DISTINCT seed) FROM runs), CAST(min(n) AS VARCHAR) FROM (SELECT count(DISTINCT seed) AS n FROM runs GROUP BY dataset, method, k, target)",
+    "SELECT 'unique_keys', count(*) = 0, CAST(count(*) AS VARCHAR) FROM (SELECT 1 FROM runs GROUP BY dataset, method, k, target, seed HAVING count(*) > 1)",
+    "SELECT 'methods', count(DISTINCT method) = 2, CAST(count(DISTINCT method) AS VARCHAR) FROM runs",
+    "SELECT 'balanced', count(DISTINCT n) = 1, CAST(count(DISTINCT n) AS VARCHAR) FROM (SELECT count(*) AS n FROM runs GROUP BY method, k, target)",
+    *(f"SELECT '{n}', count(*) = 0, CAST(count(*) AS VARCHAR) FROM runs WHERE NOT ({c})" for n, c in ROW_CHECKS.items()),
+])
 
 
 @query("integrity_checks", f"WITH {V.RUNS} {INTEGRITY}")
 def integrity_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a table of runs is whole and each row right. The rows and seeds expected are those of the grid that the table's
+    own datasets, methods, sizes, targets and seeds span."""
     r = materialized(V.runs(spark, d))
-    metrics = ["f1", "fpr", "recall", "precision", "accuracy"]
-    within = ~F.forall(F.array(*metrics), lambda m: m.between(0, 1))
-    empty = F.exists(F.array(*(F.col(c).isNull() for c in [*V.RUN_KEYS, "f1", "fpr"])), lambda x: x)
-    off = F.abs(F.col("recall") - F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))) > 1e-12
     per = r.groupBy(*GROUP).agg(F.count_distinct("seed").alias("n"))
     again = r.groupBy(*V.RUN_KEYS).count().where("count > 1")
+    even = r.groupBy("method", "k", "target").agg(F.count("*").alias("n"))
     n = F.count("*")
+    span = r.agg(*(F.count_distinct(c).alias(c) for c in V.RUN_KEYS)).first().asDict()
     checks = [
-        stats.check(r, "rows", n, lambda x: x == 480), stats.check(per, "seeds", F.min("n"), lambda x: x == 20), stats.none_of(r, "in_range", within), stats.none_of(r, "no_nulls", empty),
-        stats.check(again, "unique_keys", n, lambda x: x == 0), stats.check(r, "methods", F.count_distinct("method"), lambda x: x == 2), stats.none_of(r, "ceiling", F.col("fpr") > 0.9), stats.none_of(r, "confusion", off),
+        stats.check(r, "rows", n, lambda x: x == math.prod(span.values())), stats.check(per, "seeds", F.min("n"), lambda x: x == span["seed"]), stats.check(again, "unique_keys", n, lambda x: x == 0),
+        stats.check(r, "methods", F.count_distinct("method"), lambda x: x == 2), stats.check(even, "balanced", F.count_distinct("n"), lambda x: x == 1),
+        *(stats.none_of(r, name, ~F.expr(rule)) for name, rule in ROW_CHECKS.items()),
     ]
     return files.union_tables(*checks)
 
@@ -707,14 +742,24 @@ def readiness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def baseline_metrics(spark: SparkSession, d: str, models: list[str], seeds: list[int]) -> DataFrame:
-    """Metrics on test rows of each model, seed of the split and target, calibrated on validation rows."""
-    runs = []
-    for seed in seeds:
-        s = materialized(sampling.stratified_split(V.emb(spark, d), "y", 0.3, 0.2, seed, "vec_id"))
-        runs += [baselines.scores(s.where("split = 'train'"), s.where("split <> 'train'"), E, m).select("y", "split", "score", F.lit(m).alias("run"), F.lit(seed).alias("seed")) for m in models]
-    scored = materialized(files.union_tables(*runs))
+    """Metrics on test rows of each model, seed and target, calibrated on validation rows. As with detectors, all share one
+    split; a model's seed is that of its own draws. Fits are independent Spark jobs, four side by side; the rows that all of
+    them score are calibrated and counted together, keyed by fit."""
+    s = materialized(split_vectors(spark, d))
+    train, later = s.where("split = 'train'"), s.where("split <> 'train'")
+
+    def fit(of: tuple[str, int]) -> DataFrame:
+        model, seed = of
+        if model == "iso":
+            own = later.select("vec_id", "y", "split").join(baselines.isolation_scores(train.where("y = 0"), later, E, "vec_id", seed=seed), "vec_id")
+        else:
+            own = baselines.scores(train, later, E, model, seed=seed)
+        return materialized(own.select("y", "split", "score", F.lit(model).alias("run"), F.lit(seed).alias("seed")))
+
+    with ThreadPoolExecutor(4) as pool:
+        scored = files.union_tables(*pool.map(fit, [(m, seed) for m in models for seed in seeds]))
     t = evaluation.calibrate(scored.where("split = 'validation'"), ["run", "seed"], [0.05, 0.25], False).select("run", "seed", "target", "threshold", "strict")
-    test = scored.where("split = 'test'").join(F.broadcast(t), ["run", "seed"])  # a row a run and target
+    test = scored.where("split = 'test'").join(F.broadcast(t), ["run", "seed"])  # a row a fit and target
     hit = F.when(F.col("strict"), F.col("score") > F.col("threshold")).otherwise(F.col("score") >= F.col("threshold"))
     return with_metrics(test.withColumn("pred", hit.cast("int")).groupBy("run", "seed", "target").agg(*confusion()))
 
@@ -729,11 +774,14 @@ def baseline(model: str):
 for _m in ("lr", "dt", "rf"):
     query(f"baseline_{_m}")(baseline(_m))
 
+#: Models and seeds of the grid.
+GRID_MODELS, GRID_SEEDS = ["lr", "dt", "rf", "iso"], [42, 43, 44, 45, 46]
+
 
 @query("baseline_grid")
 def baseline_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The grid of models and seeds, summarised over the seeds."""
-    m = baseline_metrics(spark, d, ["lr", "dt"], [42, 43, 44])
+    """The grid of all models and seeds, summarised over the seeds."""
+    m = baseline_metrics(spark, d, GRID_MODELS, GRID_SEEDS)
     return rounded(stats.repeated_runs(m.withColumn("seed", F.col("seed").cast("string")), ["run", "target"], ["f1", "recall", "fpr"]))
 
 
@@ -771,3 +819,17 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
     """New rows through the pipeline that `deploy_batch` uses, as a stream."""
     stream = twins.stream_of(spark, f"{d}/embeddings.parquet")
     return twins.drained(deployed(spark, d, 0.25).transform(raw_vectors(spark, d, stream), ["vec_id"]).drop("bits"), scratch(spark))
+
+
+@query("stream_resume", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT event_id) AS BIGINT) AS ids, round(sum(value), 6) AS total FROM events GROUP BY 1")
+def stream_resume(spark: SparkSession, d: str) -> DataFrame:
+    """A stream over six files that ends within its third batch, and again goes on over two more that came since."""
+    path = scratch(spark)
+    rows = V.table(spark, d, "events").select("event_id", "event_type", "value")
+    early = F.col("event_id") % 4 != 0
+    rows.where(early).repartition(6, "event_id").write.parquet(f"{path}/in")
+    stream = lambda: twins.stream_of(spark, f"{path}/in", 1)
+    twins.resumed(stream(), f"{path}/out", stop=2)
+    rows.where(~early).repartition(2, "event_id").write.mode("append").parquet(f"{path}/in")
+    out = twins.resumed(stream(), f"{path}/out")
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.round(F.sum("value"), 6).alias("total"))

@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antigen.operators.sampling import lowest_of_each
 
 
-def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet files of a folder or file as a stream."""
+def stream_of(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """The Parquet files of a folder or file as a stream, `files` of them a batch."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(folder)
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    if files:
+        return reader.option("maxFilesPerTrigger", files).parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def resumed(df: DataFrame, path: str, stop: int | None = None) -> DataFrame:
+    """Runs a stream from where its checkpoint under `path` left it, over all that is there, and reads the table of all runs.
+
+    Each batch is a part of its own, written under the batch's number: one that was written but not committed when a run
+    ended is replayed with the same number and rows, and replaces its part, so no row is lost or there twice. `stop` ends
+    the run, for tests of this, as batch `stop` is written and before it is committed."""
+
+    def put(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={i}")
+        if i == stop:
+            raise InterruptedError(f"stopped at batch {i}")
+
+    q = df.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    except StreamingQueryException:
+        if stop is None:
+            raise
+    return df.sparkSession.read.schema(f"{ddl(df)}, batch long").parquet(f"{path}/rows")
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def drained(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -28,7 +57,7 @@ def dedup(stream: DataFrame, keys: list[str], time: str, lateness: str = "30 day
 
 
 def complete(df: DataFrame, path: str) -> DataFrame:
-    """An aggregate in update mode, its last state of each batch replaced in a table."""
+    """An aggregate in complete mode, its last state of each batch replaced in a table."""
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows")
 

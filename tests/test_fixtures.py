@@ -444,6 +444,25 @@ def test_bootstrap_is_repeatable(spark):
     df = frame(spark, [(1, 0.1), (1, 0.3), (2, 0.2), (2, 0.2)], "g int, d double")
     a, b = (sorted(map(tuple, stats.bootstrap(df, ["g"], "d", 200, 1).collect())) for _ in range(2))
     assert a == b and a[1][1:] == (0.2, 0.2, 0.2)
+    # the draws by plain integers, each group from a stream of its own; what is not finite counts as missing
+    import numpy as np
+
+    own = {1: [0.5, -0.25, 1.0, 2.0, -3.0], 2: [0.1, 0.7, 0.2], 3: [4.0]}
+    df = frame(spark, [(g, v) for g, vs in own.items() for v in vs] + [(2, None), (2, math.inf), (4, None)], "g int, d double")
+    got = {r.g: (r.mean, r.low, r.high) for r in stats.bootstrap(df, ["g"], "d", 300, 2026).collect()}
+    for at, g in enumerate(own):
+        v, means = sorted(own[g]), []
+        for b in range(300):
+            drawn = []
+            for i in range(len(v)):
+                x = ((2026 + at) * 2654435761 + b * len(v) + i) % 2**32
+                for _ in range(2):
+                    x = ((x >> 16) ^ x) * 0x45D9F3B % 2**32
+                drawn.append(v[((x >> 16) ^ x) % len(v)])
+            means.append(sum(drawn) / len(v))
+        want = (np.mean(v), np.quantile(means, 0.025), np.quantile(means, 0.975))
+        assert got[g] == pytest.approx(want, abs=1e-12)
+    assert got[4] == (None, None, None) and got[1][1] < got[1][0] < got[1][2]
 
 
 def test_isolation_forest_ranks_outliers_first(spark):
@@ -536,6 +555,22 @@ def test_rank_correlation_by_pandas(spark):
     assert got == want
 
 
+def test_a_stream_resumes_without_loss_or_repeats(spark, tmp_path):
+    """Ended within each batch in turn, then resumed; files that come later are read as well."""
+    from antigen.streaming import twins
+
+    spark.range(60).repartition(4, "id").write.parquet(str(tmp_path / "in"))
+    for stop in (0, 1, 3):
+        stream = lambda: twins.stream_of(spark, str(tmp_path / "in"), 1)
+        first = twins.resumed(stream(), str(tmp_path / f"out{stop}"), stop=stop)
+        assert 0 < first.count() <= 60
+        if stop == 3:
+            spark.range(60, 70).write.mode("append").parquet(str(tmp_path / "in"))
+        got = sorted(r.id for r in twins.resumed(stream(), str(tmp_path / f"out{stop}")).collect())
+        assert got == list(range(70 if stop == 3 else 60))
+        assert sorted(r.id for r in twins.resumed(stream(), str(tmp_path / f"out{stop}")).collect()) == got
+
+
 def test_weighted_and_wide_selection(spark):
     """Measures of the trie, the product and the one pass agree; a radius of too many masks goes by the trie."""
     pool, own = detectors.candidates(spark, 300, 14, 5), spark.range(0, 16384, 401).select(F.col("id").alias("bits"))
