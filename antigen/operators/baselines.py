@@ -84,6 +84,7 @@ def isolation_scores(train: DataFrame, rows: DataFrame, features: list[str], key
     f = np.where(leaf, 0, grown["f"]).astype(np.int32)
     cut = np.where(leaf, np.inf, grown["cut"])
     lo, hi = (np.where(leaf, here, grown[c].to_numpy() + first).astype(np.int32) for c in ("lo", "hi"))
+    child = np.stack([hi, lo], axis=1).ravel()  # a node's right child, then its left one
     depth, roots = grown["depth"].to_numpy(), here[grown["node"].to_numpy() == 0].astype(np.int32)
     deepest = int(np.ceil(np.log2(TREE_ROWS)))
 
@@ -92,10 +93,12 @@ def isolation_scores(train: DataFrame, rows: DataFrame, features: list[str], key
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
                 x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features], axis=1)
-                rows, at = np.arange(len(x))[:, None], np.tile(roots, (len(x), 1))
-                for _ in range(deepest):
-                    at = np.where(x[rows, f[at]] <= cut[at], lo[at], hi[at])
-                total = depth[at].sum(axis=1)
+                row, flat, total = (np.arange(len(x), dtype=np.int32) * x.shape[1])[:, None], x.ravel(), np.zeros(len(x))
+                for first_tree in range(0, len(roots), 16):  # so few trees stay in the cache
+                    at = np.tile(roots[first_tree : first_tree + 16], (len(x), 1))
+                    for _ in range(deepest):
+                        at = child.take(2 * at + (flat.take(row + f.take(at)) <= cut.take(at)))
+                    total += depth.take(at).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(2 ** (-total / max(1, len(roots)) / norm))], [key, "score"])
 
     kind = rows.schema[key].dataType.simpleString()
