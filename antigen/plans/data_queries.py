@@ -431,7 +431,16 @@ def pairwise_mi(spark: SparkSession, d: str) -> DataFrame:
     return X.pair_information(binned_train(spark, d), V.FEATURES).withColumn("mi", F.round("mi", 9))
 
 
-@query("mrmr")
+#: The greedy order, one feature a step, over lists of what is chosen.
+MRMR = f"""{MI}, pn AS (SELECT p.feature AS a, q.feature AS b, p.x AS x, q.x AS y, count(*) AS n FROM bins p JOIN bins q ON p.id = q.id AND p.feature <> q.feature WHERE p.split = 'train' AND q.split = 'train' GROUP BY 1, 2, 3, 4),
+pt AS (SELECT *, sum(n) OVER (PARTITION BY a, b, x) AS nx, sum(n) OVER (PARTITION BY a, b, y) AS ny, sum(n) OVER (PARTITION BY a, b) AS s FROM pn), red AS (SELECT a, b, sum(n / s * ln(n * s / (nx * ny))) AS r FROM pt GROUP BY 1, 2),
+every AS (SELECT list({{'f': feature, 'm': mi, 'r': (SELECT list({{'b': b, 'r': r}}) FROM red WHERE a = feature)}} ORDER BY feature) AS l FROM mi),
+steps AS (SELECT 0 AS step, CAST([] AS VARCHAR[]) AS chosen UNION ALL SELECT step + 1, list_append(chosen, list_sort(list_transform(list_filter(l, lambda e: NOT list_contains(chosen, e.f)),
+  lambda e: {{'g': -round(e.m - coalesce(list_avg(list_transform(list_filter(e.r, lambda x: list_contains(chosen, x.b)), lambda x: x.r)), 0), 12), 'f': e.f}}))[1].f) FROM steps, every WHERE step < len(l))
+SELECT CAST(u.i AS INT) AS rank, chosen[u.i] AS feature, mi FROM steps, range(1, len(chosen) + 1) u(i) JOIN mi ON mi.feature = chosen[u.i] WHERE step = (SELECT count(*) FROM mi)"""
+
+
+@query("mrmr", f"WITH RECURSIVE {MRMR}")
 def mrmr(spark: SparkSession, d: str) -> DataFrame:
     train = materialized(binned_train(spark, d))
     relevance = {r["feature"]: r["mi"] for r in information(spark, d, train).collect()}  # features

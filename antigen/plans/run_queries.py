@@ -420,7 +420,17 @@ def calibration_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(wide_runs(spark, d).groupBy("dataset", "method", "target").agg(F.count("*").alias("runs"), F.avg("fpr").alias("mean_fpr"), F.avg(F.abs(F.col("fpr") - F.col("target"))).alias("mean_error"), F.count_if(F.expr(MET)).alias("met")))
 
 
-@query("calibration_trace")
+#: The exact interval by bisection: the tails of the binomial distribution, added up term by term, reach half of 5 %.
+TAIL = "list_sum(list_transform(range({0}, {1}), lambda i: exp(lgamma(runs + 1) - lgamma(i + 1) - lgamma(runs - i + 1) + i * ln((lo + hi) / 2) + (runs - i) * ln(1 - (lo + hi) / 2))))"
+TRACE = f"""{WIDE}, {STUDENT}, g AS (SELECT dataset, method, target, count(*) AS runs, count(*) FILTER ({MET}) AS met, median(fpr) AS median_fpr, min(fpr) AS least, max(fpr) AS most, avg(fpr) AS mean_fpr, stddev_samp(fpr) AS s FROM wide GROUP BY 1, 2, 3),
+lows AS (SELECT DISTINCT met, runs, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM g WHERE met > 0 UNION ALL SELECT met, runs, CASE WHEN {TAIL.format('met', 'runs + 1')} < 0.025 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {TAIL.format('met', 'runs + 1')} < 0.025 THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM lows WHERE step < 45),
+highs AS (SELECT DISTINCT met, runs, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM g WHERE met < runs UNION ALL SELECT met, runs, CASE WHEN {TAIL.format('0', 'met + 1')} > 0.025 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {TAIL.format('0', 'met + 1')} > 0.025 THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM highs WHERE step < 45)
+SELECT dataset, method, target, CAST(g.runs AS BIGINT) AS runs, CAST(g.met AS BIGINT) AS met, round(median_fpr, 8) AS median_fpr, round(least, 8) AS least, round(most, 8) AS most, round(coalesce(l.lo, 0), 8) AS low, round(coalesce(h.hi, 1), 8) AS high,
+  round(mean_fpr, 8) AS mean_fpr, round(mean_fpr - q * s / sqrt(g.runs), 8) AS mean_low, round(mean_fpr + q * s / sqrt(g.runs), 8) AS mean_high
+FROM g LEFT JOIN t ON t.n = g.runs LEFT JOIN lows l ON l.met = g.met AND l.runs = g.runs AND l.step = 45 LEFT JOIN highs h ON h.met = g.met AND h.runs = g.runs AND h.step = 45"""
+
+
+@query("calibration_trace", f"WITH RECURSIVE {TRACE}")
 def calibration_trace(spark: SparkSession, d: str) -> DataFrame:
     """How many runs met their target, with the exact interval of that share, and the interval of the mean rate."""
     by = ["dataset", "method", "target"]
@@ -501,7 +511,16 @@ def holm_subfamily(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.holm_with_subfamily(p, F.col("k") == 20))
 
 
-@query("wilcoxon_holm")
+#: All signs of up to 20 ranks, each as a mask, give the exact p; with ties the normal one, whose error function is a series.
+WILCOXON = f"""{SIGNED.replace('dataset, k', 'dataset, k, target').replace('SELECT dataset, k, target, diff', 'SELECT dataset, k, target, diff').replace('GROUP BY 1, 2)', 'GROUP BY 1, 2, 3)').replace('AS z FROM w)', 'AS z, CAST(ties AS DOUBLE) AS ties FROM w)')},
+signs AS (SELECT range AS m, {' + '.join(f'((range >> {i}) & 1) * {i + 1}' for i in range(20))} AS s FROM range(1048576)),
+ex AS (SELECT DISTINCT n, least(w_plus, w_minus) AS w FROM sr WHERE n BETWEEN 1 AND 20 AND ties = 0), exact AS (SELECT n, w, least(1.0, 2.0 * count(*) / (1 << CAST(n AS INT))) AS pe FROM ex JOIN signs ON m < (1 << CAST(n AS INT)) AND s <= w GROUP BY 1, 2),
+p AS (SELECT sr.*, coalesce(pe, least(1.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda i: (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * i + 1) * ln(abs(z) / sqrt(2)) - lgamma(i + 1)) / (2 * i + 1)))), 1.0) AS p FROM sr LEFT JOIN exact ON exact.n = sr.n AND w = least(w_plus, w_minus) AND ties = 0),
+s AS (SELECT *, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p) + 1)) AS s FROM p)
+SELECT dataset, k, target, n, w_plus, w_minus, effect, z, ties, round(p, 8) AS p, round(max(s) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING), 8) AS p_holm FROM s"""
+
+
+@query("wilcoxon_holm", f"WITH {WILCOXON}")
 def wilcoxon_holm(spark: SparkSession, d: str) -> DataFrame:
     """Twenty pairs each, so that the exact p is taken where no differences tie."""
     return rounded(stats.holm(stats.with_signed_p(signed(spark, d, ("dataset", "k", "target"))), []))
