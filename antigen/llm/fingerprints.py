@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from antigen.llm.common import Steps, join_counted, table
+from antigen.llm.common import Steps, by_bytes, join_counted, table
 from antigen.llm.shingles import mix
 
 #: Code points of a shingle.
@@ -186,7 +186,7 @@ def edited_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     last: tuple | None = None
     out: list[tuple] = []
     size = 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_bytes(whole, "text")):
         for doc_id, text_hash, text, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "after"))):
             own = sketch(text)
             if last is not None:

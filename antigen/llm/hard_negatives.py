@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from antigen.llm.ann import matrix, usable
-from antigen.llm.common import Steps, table
+from antigen.llm.common import Steps, join_counted, table
 from antigen.llm.exact_topk import products
 
 SCALE, POSITIVES, NEGATIVES = 256, 5, 5
@@ -51,13 +51,13 @@ def whole_vectors(rows: DataFrame, id_col: str, label_col: str, vector_col: str,
 
 def blocks(rows: DataFrame, anchors: DataFrame, keys: list[str], steps: Steps) -> DataFrame:
     """Rows and anchors (`asks`) side by side, each block of rows with each block of anchors of the same keys."""
-    count = lambda df, n, each: df.groupBy(*keys).agg(F.ceil(F.count("*") / each).cast("int").alias(n))
-    both = F.broadcast(steps(count(rows, "parts", ROWS).join(count(anchors, "qparts", ANCHORS), keys)))  # a row a label and length of vectors
+    count = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
+    both = count(rows, "n").join(count(anchors, "m"), keys)
+    both = steps(both.withColumn("parts", F.ceil(F.col("n") / ROWS).cast("int")).withColumn("qparts", F.ceil(F.col("m") / ANCHORS).cast("int")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    columns = ["vec_id", "label", "v", "limits"]
-    left = rows.join(both, keys).select(*keys, place("parts").alias("part"), every("qparts").alias("qpart"), F.lit(False).alias("asks"), "vec_id", rows["label"].alias("of"), "v", F.lit(None).cast("array<long>").alias("limits"))
-    right = anchors.join(both, keys).select(*keys, every("parts").alias("part"), place("qparts").alias("qpart"), F.lit(True).alias("asks"), "vec_id", anchors["label"].alias("of"), "v", columns[3])
+    left = join_counted(rows.withColumn("of", F.col("label")), both, keys).select(*keys, place("parts").alias("part"), every("qparts").alias("qpart"), F.lit(False).alias("asks"), "vec_id", "of", "v", F.lit(None).cast("array<long>").alias("limits"))
+    right = join_counted(anchors.withColumn("of", F.col("label")), both, keys, "m").select(*keys, every("parts").alias("part"), place("qparts").alias("qpart"), F.lit(True).alias("asks"), "vec_id", "of", "v", "limits")
     return left.union(right)
 
 
