@@ -23,7 +23,7 @@ def melted(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
 
 
 #: Cells that an interval is parted into at a time, and rows that are ordered in one task.
-CELLS, ORDERED = 32, 1 << 16
+CELLS, ORDERED = 32, 1 << 20
 
 
 @dataclass
@@ -46,30 +46,23 @@ def quantiles(long: DataFrame, shares: list[float], by: str = "feature", x: str
     places wanted are found by these counts; a cell that holds one is parted again until it has ORDERED rows at most, and
     only such cells are ordered. The driver keeps a few numbers for each group (a feature) and share. Values at an edge are
     a cell of their own, so each parting takes values away, and many equal ones are never ordered."""
-    some = long.where(F.col(x).isNotNull()).select(by, x)
-    kinds = {c: some.schema[c].dataType.simpleString() for c in (by, x)}
-    at_edges = F.array_distinct(F.percentile_approx(x, F.array(*(F.lit(i / CELLS) for i in range(1, CELLS))), 1000))
-    sized = [F.count("*").alias("rows"), at_edges.alias("edges")]
-    groups = some.groupBy(by).agg(*sized).collect()
+    some = long.where(F.col(x).isNotNull()).select(by, F.col(x).cast("double").alias(x))
+    kind = some.schema[by].dataType.simpleString()
+    points = F.array(*(F.lit(i / CELLS) for i in range(1, CELLS)))
+    groups = some.groupBy(by).agg(F.count("*").alias("rows")).collect()
     wanted = lambda n: {p for s in shares for p in (math.floor(s * (n - 1)), min(n - 1, math.floor(s * (n - 1)) + 1))}
     sizes = {r[by]: r["rows"] for r in groups}
-    todo = [Interval(r[by], rows=r["rows"], edges=r["edges"], places=sorted(wanted(r["rows"]))) for r in groups]
+    todo = [Interval(r[by], rows=r["rows"], places=sorted(wanted(r["rows"]))) for r in groups]
     found: dict[tuple[Any, int], Any] = {}
 
-    def inside(intervals: list[Interval]) -> DataFrame:
-        rows = [(v.of, i, v.low, v.high, v.edges) for i, v in enumerate(intervals)]
-        ranges = some.sparkSession.createDataFrame(rows, f"_of {kinds[by]}, _i int, _low {kinds[x]}, _high {kinds[x]}, _edges array<{kinds[x]}>")
-        within = F.col(by).eqNullSafe(F.col("_of")) & (F.col("_low").isNull() | (F.col(x) > F.col("_low"))) & (F.col("_high").isNull() | (F.col(x) < F.col("_high")))
-        return some.join(F.broadcast(ranges), within)  # a row a group and wanted place
-
     while todo:
         small, large = [v for v in todo if v.rows <= ORDERED], [v for v in todo if v.rows > ORDERED]
-        for r in ordered_places(inside(small), small, x) if small else []:
-            found[small[r["_i"]].of, r["place"]] = r["value"]
-        todo = parted(inside(large), large, x, found) if large else []
-        if todo:
-            for r in inside(todo).groupBy("_i").agg(*sized).collect():
-                todo[r["_i"]].edges = r["edges"]
+        for r in ordered_places(inside(some, small, True), small) if small else []:
+            found[small[r["i"]].of, r["place"]] = r["value"]
+        if large:  # quantiles of the values that differ within each batch will do for edges
+            for r in inside(some, large, True).groupBy("i").agg(F.array_distinct(F.percentile_approx("x", points, 1000)).alias("edges")).collect():
+                large[r["i"]].edges = r["edges"]
+        todo = parted(inside(some, large, False), large, found) if large else []
     rows = []
     for of, n in sizes.items():
         for s in shares:
@@ -77,27 +70,71 @@ def quantiles(long: DataFrame, shares: list[float], by: str = "feature", x: str
             at = math.floor(place)
             low, high = float(found[of, at]), float(found[of, min(n - 1, at + 1)])
             rows.append((of, float(s), low + ((high - low) * (place - at) if place > at else 0.0)))
-    return some.sparkSession.createDataFrame(rows, f"{by} {kinds[by]}, share double, value double")
-
+    return some.sparkSession.createDataFrame(rows, f"{by} {kind}, share double, value double")
+
+
+def inside(some: DataFrame, intervals: list[Interval], values: bool) -> DataFrame:
+    """What of the two columns, a group and a value, lies in the intervals: (i, x, n), counts of distinct values, or (i, cell, n,
+    low, high), counts and ends of the cells between an interval's edges; an edge is a cell of its own. In parts, each of a
+    few rows or of a task; intervals are a few for each group."""
+    of: dict[Any, list[tuple[int, Interval]]] = {}
+    for i, v in enumerate(intervals):
+        of.setdefault(v.of, []).append((i, v))
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, Interval, np.ndarray]]:
+        keys = batch.column(0).dictionary_encode(null_encoding="encode")
+        codes, x = keys.indices.to_numpy(), batch.column(1).to_numpy()
+        for code, key in enumerate(keys.dictionary.to_pylist()):
+            if key in of:
+                own = np.sort(x[codes == code])
+                for i, v in of[key]:
+                    start = 0 if v.low is None else np.searchsorted(own, v.low, "right")
+                    stop = len(own) if v.high is None else np.searchsorted(own, v.high, "left")
+                    if start < stop:
+                        yield i, v, own[start:stop]
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, own in parts(batch):
+                x, n = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(x), pa.array(n.astype(np.int64))], ["i", "x", "n"])
 
-def ordered_places(rows: DataFrame, intervals: list[Interval], x: str) -> list:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, v, own in parts(batch):
+                edges = np.array(v.edges, float)
+                ends = np.stack([np.searchsorted(own, edges, "left"), np.searchsorted(own, edges, "right")], axis=1).ravel()
+                start, stop = np.append(0, ends), np.append(ends, len(own))
+                some_ = stop > start
+                new = np.stack([stop - start, np.full(len(start), np.inf), np.full(len(start), -np.inf)]).astype(float)
+                new[1, some_], new[2, some_] = own[start[some_]], own[stop[some_] - 1]
+                old = total.get(i)
+                total[i] = new if old is None else np.stack([old[0] + new[0], np.fmin(old[1], new[1]), np.maximum(old[2], new[2])])
+        for i, (n, low, high) in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64)), pa.array(low[at]), pa.array(high[at])], ["i", "cell", "n", "low", "high"])
+
+    return some.mapInArrow(distinct, "i int, x double, n long") if values else some.mapInArrow(cells, "i int, cell int, n long, low double, high double")
+
+
+def ordered_places(values: DataFrame, intervals: list[Interval]) -> list:
     """The values at the wanted places of small intervals."""
-    upto = F.sum("_n").over(Window.partitionBy("_i").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
-    run = rows.groupBy("_i", x).agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    run = values.groupBy("i", "x").agg(F.sum("n").alias("n")).withColumn("upto", upto)
     places = [(i, p, p - v.before) for i, v in enumerate(intervals) for p in v.places]
-    asked = F.broadcast(rows.sparkSession.createDataFrame(places, "_j int, place long, _at long"))  # a row a wanted place
-    met = run.join(asked, (F.col("_i") == F.col("_j")) & (F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at")))
-    return met.select("_i", "place", F.col(x).alias("value")).collect()
+    asked = F.broadcast(values.sparkSession.createDataFrame(places, "j int, place long, at long"))  # a row a wanted place
+    met = run.join(asked, (F.col("i") == F.col("j")) & (F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at")))
+    return met.select("i", "place", F.col("x").alias("value")).collect()
 
 
-def parted(rows: DataFrame, intervals: list[Interval], x: str, found: dict) -> list[Interval]:
+def parted(cells: DataFrame, intervals: list[Interval], found: dict) -> list[Interval]:
     """The cells of large intervals that hold wanted places; what is at an edge or alone in its cell is found."""
-    cell = F.size(F.filter("_edges", lambda e: e < F.col(x))) + F.size(F.filter("_edges", lambda e: e <= F.col(x)))
-    counts = rows.groupBy("_i", cell.alias("cell")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).collect()  # 2 * CELLS rows an interval
+    counts = cells.groupBy("i", "cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()  # 2 * CELLS rows an interval
     out: dict[tuple[int, int], Interval] = {}
     before = {i: v.before for i, v in enumerate(intervals)}
-    for r in sorted(counts, key=lambda r: (r["_i"], r["cell"])):
-        i, k = r["_i"], r["cell"] // 2
+    for r in sorted(counts, key=lambda r: (r["i"], r["cell"])):
+        i, k = r["i"], r["cell"] // 2
         v, first = intervals[i], before[i]
         before[i] += r["n"]
         for p in v.places:

@@ -226,7 +226,7 @@ def test_places_and_quantiles_by_brute_force(spark):
     assert got == {(f, s): pytest.approx(float(np.quantile(x, s)), abs=1e-12) for f, x in data.items() for s in shares}
 
 
-@pytest.mark.parametrize("ordered", [1 << 16, 100, 1])
+@pytest.mark.parametrize("ordered", [1 << 20, 100, 1])
 def test_quantiles_of_every_size(spark, monkeypatch, ordered):
     """Groups of 1 to 200 values and of many more sizes, all deciles; with cells that are parted again and again."""
     import numpy as np
