@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +40,28 @@ def interval(df: DataFrame, by: list[str], metric: str, confidence: float = 0.95
 
 
 def repeated_runs(df: DataFrame, by: list[str], metrics: list[str], seed: str = "seed", confidence: float = 0.95) -> DataFrame:
-    """(by, metric, runs, seeds, n, mean, std, low, high) of each group and metric; seeds are a text, the least first. Null keys
+    """(by, metric, runs, seeds, n, mean, std, low, high) of each group and metric; seeds are joined as a text, the least first. Null keys
     are groups of their own."""
     long = df.unpivot([*by, seed], metrics, "metric", "value")
     keys = [*by, "metric"]
     # nulls of the keys have to meet
     named = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
     stat = interval(long.withColumn("_k", named), ["_k"], "value", confidence)
-    runs = long.withColumn("_k", named).groupBy("_k", *keys).agg(F.count("*").alias("runs"), F.array_join(F.array_sort(F.collect_set(seed)), "|").alias("seeds"))
+    runs = long.withColumn("_k", named).groupBy("_k", *keys).agg(F.count("*").alias("runs"), F.array_join(F.array_sort(F.collect_set(seed)).cast("array<string>"), "|").alias("seeds"))
     return runs.join(stat, "_k").drop("_k")
 
 
+def performance_summary(approaches: dict[str, tuple[DataFrame, str]], by: list[str], metrics: list[str], seed: str = "seed", confidence: float = 0.95) -> DataFrame:
+    """(approach, procedure, by, metric, runs, seeds, n, mean, std, low, high): run tables of several approaches summarised
+    over their seeds, one below the other. An approach is a table and the column that names its procedures; a metric that a
+    table lacks has no rows there, and an empty table gives none. Keys that are null form groups of their own."""
+    parts = []
+    for approach, (df, procedure) in approaches.items():
+        own = df.withColumn("procedure", F.col(procedure)).select(F.lit(approach).alias("approach"), "procedure", *by, seed, *(m for m in metrics if m in df.columns))
+        parts.append(repeated_runs(own, ["approach", "procedure", *by], [m for m in metrics if m in df.columns], seed, confidence))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def summary(df: DataFrame, by: list[str], metrics: list[str], population: bool = False) -> DataFrame:
     """Runs, seeds and the mean and deviation of each metric."""
     std = F.stddev_pop if population else F.stddev_samp

@@ -541,11 +541,18 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.bootstrap(diffs.unpivot(["dataset", "k"], list(DIRECTIONS), "metric", "diff"), ["dataset", "k", "metric"], "diff", 5000, 2026))
 
 
-@query("performance_summary", f"WITH {V.RUNS} SELECT 'detector' AS approach, method AS model, CAST(count(*) AS BIGINT) AS n, round(avg(f1), 8) AS f1 FROM runs WHERE k = 20 GROUP BY 2 UNION ALL SELECT 'baseline', dataset, CAST(count(*) AS BIGINT), round(avg(f1), 8) FROM runs WHERE k = 10 GROUP BY 2")
+#: What a performance summary tells of an approach.
+PERFORMANCE = ["accuracy", "precision", "recall", "f1", "fpr", "specificity"]
+
+
+@query("performance_summary", f"""WITH {V.RUNS}, {V.RULE_RUNS}, {STUDENT}, b AS (SELECT 'detector' AS approach, * EXCLUDE (cost) FROM runs UNION ALL BY NAME SELECT 'baseline' AS approach, * FROM rruns),
+u AS (UNPIVOT (SELECT approach, method AS procedure, dataset, k, target, seed, {', '.join(PERFORMANCE)} FROM b) ON {', '.join(PERFORMANCE)} INTO NAME metric VALUE v),
+g AS (SELECT approach, procedure, dataset, k, target, metric, count(*) AS runs, array_to_string(list_sort(list(DISTINCT seed)), '|') AS seeds, count(v) AS n, avg(v) AS m, stddev_samp(v) AS s FROM u GROUP BY 1, 2, 3, 4, 5, 6)
+SELECT approach, procedure, dataset, k, target, metric, CAST(runs AS BIGINT) AS runs, seeds, CAST(n AS BIGINT) AS n, round(m, 7) AS mean, round(s, 7) AS std, round(m - q * s / sqrt(n), 7) AS low, round(m + q * s / sqrt(n), 7) AS high FROM g LEFT JOIN t USING (n)""")
 def performance_summary(spark: SparkSession, d: str) -> DataFrame:
-    r = V.runs(spark, d)
-    part = lambda name, col, k: r.where(F.col("k") == k).groupBy(F.col(col).alias("model")).agg(F.count("*").alias("n"), F.round(F.avg("f1"), 8).alias("f1")).withColumn("approach", F.lit(name))
-    return part("detector", "method", 20).unionByName(part("baseline", "dataset", 10))
+    """Detector runs and, below them, the runs of a rule of one column. `baseline_compare` has fitted classifiers there."""
+    tables = {"detector": (V.runs(spark, d), "method"), "baseline": (V.rule_runs(spark, d), "method")}
+    return rounded(stats.performance_summary(tables, ["dataset", "k", "target"], PERFORMANCE), 7)
 
 
 @query("efficiency_summary", f"WITH {V.RUNS}, e AS (SELECT method, k, (tn + fp + fn + tp) / cost AS rate, cost, CAST((tn + fp + fn + tp) * k / 8.0 AS DOUBLE) AS memory, tp / CAST(tp + fn AS DOUBLE) AS retention FROM runs), u AS (UNPIVOT e ON rate, cost, memory, retention INTO NAME metric VALUE v) SELECT method, k, metric, CAST(count(v) AS BIGINT) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(avg(v) - {T120} * stddev_samp(v) / sqrt(count(v)) , 4) AS low, round(avg(v) + {T120} * stddev_samp(v) / sqrt(count(v)), 4) AS high FROM u GROUP BY 1, 2, 3")
@@ -623,22 +630,24 @@ def summaries(spark: SparkSession, d: str) -> DataFrame:
     return V.runs(spark, d).groupBy(*GROUP).agg(F.count("*").alias("n"), *(F.round(F.avg(m), 9).alias(m) for m in ("f1", "recall", "fpr", "accuracy", "cost")))
 
 
+#: A configuration keeps its own target's limit; the views' rates are about 0.15, so theirs lies so far above the target.
+ABOVE = 0.2
 LOCK_OUT = "dataset, method, k, target, f1, recall, fpr"
 
 
-@query("lock_config", f"WITH {SELECTED} SELECT {LOCK_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY dataset, method, target ORDER BY f1 DESC, recall DESC, fpr, cost, k) AS pos FROM s WHERE n = 20 AND fpr <= 0.6) WHERE pos = 1")
+@query("lock_config", f"WITH {SELECTED} SELECT {LOCK_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY dataset, method, target ORDER BY f1 DESC, recall DESC, fpr, cost, k) AS pos FROM s WHERE n = 20 AND fpr <= target + {ABOVE} + 1e-12) WHERE pos = 1")
 def lock_config(spark: SparkSession, d: str) -> DataFrame:
     """By mean F1, recall, rate, time and size, among complete sets of seeds; the size breaks what ties remain."""
     s = summaries(spark, d).where(F.col("n") == 20)
-    return stats.locked(s, ["dataset", "method", "target"], [F.desc("f1"), F.desc("recall"), F.col("fpr"), F.col("cost"), F.col("k")], F.col("fpr") <= 0.6).select("dataset", "method", "k", "target", "f1", "recall", "fpr")
+    return stats.locked(s, ["dataset", "method", "target"], [F.desc("f1"), F.desc("recall"), F.col("fpr"), F.col("cost"), F.col("k")], F.col("fpr") <= F.col("target") + ABOVE + 1e-12).select("dataset", "method", "k", "target", "f1", "recall", "fpr")
 
 
-@query("lock_deterministic", f"WITH {SELECTED} SELECT {LOCK_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY dataset, target ORDER BY f1 DESC, recall DESC, fpr, k, target, method) AS pos FROM s WHERE n = 20 AND fpr <= 0.6) WHERE pos = 1")
+@query("lock_deterministic", f"WITH {SELECTED} SELECT {LOCK_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY dataset, target ORDER BY f1 DESC, recall DESC, fpr, k, target, method) AS pos FROM s WHERE n = 20 AND fpr <= target + {ABOVE} + 1e-12) WHERE pos = 1")
 def lock_deterministic(spark: SparkSession, d: str) -> DataFrame:
     """The other order, which no run time enters: budget (here the size), threshold (here the target) and method last."""
     s = summaries(spark, d).where(F.col("n") == 20)
     order = [F.desc("f1"), F.desc("recall"), F.col("fpr"), F.col("k"), F.col("target"), F.col("method")]
-    return stats.locked(s, ["dataset", "target"], order, F.col("fpr") <= 0.6).select("dataset", "method", "k", "target", "f1", "recall", "fpr")
+    return stats.locked(s, ["dataset", "target"], order, F.col("fpr") <= F.col("target") + ABOVE + 1e-12).select("dataset", "method", "k", "target", "f1", "recall", "fpr")
 
 
 @query("select_config", f"WITH {SELECTED}, a AS (SELECT *, max(CASE WHEN fpr <= 0.2 THEN 1 ELSE 0 END) OVER (PARTITION BY dataset) AS ok FROM s) SELECT dataset, method, k, target, f1, CASE WHEN ok = 1 THEN 'within limit' ELSE 'fallback' END AS rule FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY f1 DESC, recall DESC, fpr, method, k, target) AS pos FROM a WHERE fpr <= 0.2 OR ok = 0) WHERE pos = 1")

@@ -70,14 +70,14 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 EMB = "emb AS (SELECT vec_id, CAST(label <> 0 AS INT) AS y, label AS category, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i:02d}" for i in range(DIMS)) + " FROM embeddings)"
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored rows: a score of few values, the truth, a prediction, and the run that they belong to."""
+def scored(spark: SparkSession, sf_dir: str, rule: str = "l_discount >= 0.08") -> DataFrame:
+    """Scored rows: a score of few values, the truth, a prediction by a rule, and the run that they belong to."""
     c = F.col
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", c("l_returnflag").alias("dataset"), F.when(c("l_linestatus") == "F", "hamming").otherwise("weighted").alias("method"),
         F.when(c("l_linenumber") % 2 == 0, 10).otherwise(20).alias("k"), F.when(c("l_suppkey") % 2 == 0, 0.01).otherwise(0.05).alias("target"),
         (c("l_orderkey") % 20).alias("seed"), c("l_discount").alias("score"), (c("l_quantity") * c("l_discount") >= 2.0).cast("int").alias("y"),
-        (c("l_discount") >= 0.08).cast("int").alias("pred"), F.concat(F.lit("C"), (c("l_partkey") % 7).cast("string")).alias("category"), F.round(c("l_tax") * 100).cast("long").alias("cost"),
+        F.expr(rule).cast("int").alias("pred"), F.concat(F.lit("C"), (c("l_partkey") % 7).cast("string")).alias("category"), F.round(c("l_tax") * 100).cast("long").alias("cost"),
     )
 
 
@@ -100,8 +100,20 @@ METRICS = """CASE WHEN tp + tn + fp + fn = 0 THEN 0.0 ELSE (tp + tn) / CAST(tp +
   CASE WHEN fn + tp = 0 THEN 0.0 ELSE fn / CAST(fn + tp AS DOUBLE) END AS fnr, CASE WHEN tn + fp = 0 THEN 0.0 ELSE tn / CAST(tn + fp AS DOUBLE) END AS specificity"""
 COUNTS = """CAST(count(*) FILTER (y = 0 AND pred = 0) AS BIGINT) AS tn, CAST(count(*) FILTER (y = 0 AND pred = 1) AS BIGINT) AS fp,
   CAST(count(*) FILTER (y = 1 AND pred = 0) AS BIGINT) AS fn, CAST(count(*) FILTER (y = 1 AND pred = 1) AS BIGINT) AS tp"""
+#: A rule of another column, the plainest classifier to hold detectors against.
+RULE = "l_quantity >= 30"
+
+
+def rule_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run rows of the rule: as `runs`, but no method tells them apart."""
+    keys = [k for k in RUN_KEYS if k != "method"]
+    return with_metrics(scored(spark, sf_dir, RULE).groupBy(*keys).agg(*confusion())).withColumn("method", F.lit("rule"))
+
+
 RUNS = f"""{SCORED}, runs0 AS (SELECT dataset, method, k, target, seed, {COUNTS}, avg(cost) AS cost FROM scored GROUP BY ALL),
 runs AS (SELECT *, {METRICS} FROM runs0)"""
+RULE_RUNS = f"""ruled{SCORED.removeprefix('scored').replace('l_discount >= 0.08', RULE)},
+rruns0 AS (SELECT dataset, 'rule' AS method, k, target, seed, {COUNTS} FROM ruled GROUP BY ALL), rruns AS (SELECT *, {METRICS} FROM rruns0)"""
 
 
 def sql_wide_hash(seed: str, *ids: str) -> str:

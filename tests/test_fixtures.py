@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -594,3 +595,27 @@ def test_weighted_and_wide_selection(spark):
     assert hit == {i: int(s <= 0.05) for i, s in near.items()} and set(hit.values()) == {0, 1}
     empty = detectors.nearest(rows, pool.limit(0), measure, False)
     assert {r.score for r in empty.collect()} == {0.0}
+
+
+def test_performance_summary_of_unlike_tables(spark):
+    detectors = spark.createDataFrame([("a", None, 10, 0.5, 0.1), ("a", None, 9, 0.7, None), ("b", "x", 9, 0.25, 0.2)], "method string, dataset string, seed int, f1 double, mcc double")
+    trees = spark.createDataFrame([("lr", "x", 2, 0.5), ("lr", "x", 2, 1.0)], "model string, dataset string, seed int, f1 double")
+    got = stats.performance_summary({"detector": (detectors, "method"), "baseline": (trees, "model")}, ["dataset"], ["f1", "mcc"])
+    rows = {(r["approach"], r["procedure"], r["dataset"], r["metric"]): r for r in got.collect()}
+    assert len(rows) == 5  # no mcc of the baseline
+    r = rows["detector", "a", None, "f1"]
+    assert (r["runs"], r["seeds"], r["n"]) == (2, "9|10", 2) and abs(r["mean"] - 0.6) < 1e-12
+    half = 12.706204736432095 * np.std([0.5, 0.7], ddof=1) / np.sqrt(2)
+    assert abs(r["high"] - r["mean"] - half) < 1e-9
+    one = rows["detector", "a", None, "mcc"]
+    assert (one["runs"], one["n"], one["std"], one["low"], one["high"]) == (2, 1, 0.0, 0.1, 0.1)
+    assert rows["baseline", "lr", "x", "f1"]["seeds"] == "2"
+    assert stats.performance_summary({"none": (trees.limit(0), "model")}, ["dataset"], ["f1"]).count() == 0
+
+
+def test_locks_hold_each_row_against_its_own_limit(spark):
+    rows = spark.createDataFrame([("m", 0.1, 1, 0.9, 0.3), ("m", 0.1, 2, 0.5, 0.1), ("m", 0.3, 1, 0.9, 0.3)], "method string, target double, k int, f1 double, fpr double")
+    keeps = lambda df: stats.locked(df, ["method", "target"], [F.desc("f1")], F.col("fpr") <= F.col("target") + 1e-12)
+    assert {(r["target"], r["k"]) for r in keeps(rows).collect()} == {(0.1, 2), (0.3, 1)}
+    with pytest.raises(Exception, match="no configuration keeps the limit"):
+        keeps(rows.where("k = 1")).collect()
