@@ -11,8 +11,10 @@ The plan, each step a Spark job over all rows:
    copies this leaves one component, with one comparison a text and value;
 4. the estimate from the union's sketch discards hopeless pairs of 2 and 3, and the exact similarity of the full sets
    confirms the rest;
-5. hot texts that share a hot value and are still in different components are compared in blocks, exactly: those outside a
-   group's largest component with all others, never the large component with itself;
+5. hot texts that share a hot value and are still in different components meet by a prefix filter: with all shingles in
+   one order, the rarest first, two linked texts share one of the first few of both. Pairs outside a group's largest
+   component, or of one such text with it, are estimated and confirmed as before; only texts whose own rarest shingles are
+   in long lists are compared in blocks, exactly;
 6. components of all confirmed links give the result.
 
 A linked pair shares each value of its union's sketch with a chance of 0.75 at least. The bounds below are set so that one
@@ -41,6 +43,8 @@ HOT_SHARE, LEAST_ESTIMATE = 0.34, 24 / 64
 CHAIN = 32
 #: Hot values whose central texts a text is compared with.
 STARS = 6
+#: Sizes of a prefix band are within this factor, so linked texts are up to six bands apart; prefix lists of more are long.
+BAND, BANDS, PREFIX_LIST = 1.05, 6, 64
 #: Texts, and shingles on the average, of one block.
 BLOCK, BLOCK_SHINGLES = 256, 200_000
 
@@ -175,6 +179,70 @@ def unresolved(pool: DataFrame, components: DataFrame, steps: Steps) -> DataFram
     return steps(join_counted(own.select("rep", "n_shingles", "component"), known, "component").drop("n"))
 
 
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(rep, values): all shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, "text"):
+                sets = shingle_sets([t.encode() for t in batch.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "values"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, values array<long>")
+
+
+def prefixes(left: DataFrame, texts: DataFrame, steps: Steps) -> DataFrame:
+    """(value, lo, hi, band, rep, component, outside): the shingles by which each text meets linked texts of a band of size.
+
+    Sets of a and b shingles are linked if they share 3/7 of a + b at least. If the shingles of all sets stand in one order,
+    one that both share is among the first a - 3/7 * (a + b) + 1 of the one set and as many of the other. The rarest come
+    first; those that one text alone holds take places but meet nothing. A key is a shingle and a pair of bands."""
+    held = steps(shingle_rows(texts.join(left.select("rep"), "rep", "left_semi")))
+    values = held.select("rep", F.explode("values").alias("value"))
+    lists = steps(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("n", "value"))), lambda v: v["value"])
+    shared = join_counted(values, lists, "value").groupBy("rep").agg(ordered.alias("shared"))  # a text's shingles
+    own = left.join(shared, "rep").withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(BAND))))
+    each = own.select("*", F.explode(F.sequence(F.col("band") - BANDS, F.col("band") + BANDS)).alias("other"))
+    least = F.greatest(F.floor(F.pow(F.lit(BAND), F.col("other"))), F.ceil(F.col("n_shingles") * 3 / 4))
+    places = F.col("n_shingles") - F.ceil((F.col("n_shingles") + least) * 3 / 7) + 1
+    room = F.least(places - (F.col("n_shingles") - F.size("shared")), F.size("shared")).cast("int")
+    met = each.withColumn("room", room).where("room > 0 and other >= 0")
+    return steps(met.select(
+        F.explode(F.slice("shared", F.lit(1), F.col("room"))).alias("value"), F.least("band", "other").alias("lo"), F.greatest("band", "other").alias("hi"),
+        "band", "rep", "component", "outside",
+    ))
+
+
+def prefix_pairs(entries: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of short lists that links could join, and the texts (rep) of long ones."""
+    key = ["value", "lo", "hi"]
+    lists = entries.groupBy(*key).agg(
+        F.count("*").alias("n"), F.max("outside").alias("any"), F.min("component").alias("first"), F.max("component").alias("last"),
+        F.min("band").alias("low"), F.max("band").alias("high"),
+    )
+    lists = steps(lists.where("any and first <> last and low = lo and high = hi").select(*key, "n"))
+    useful = steps(join_counted(entries, lists, key))
+    left, right = useful.where(F.col("n") <= PREFIX_LIST).drop("n").alias("l"), useful.where(F.col("n") <= PREFIX_LIST).drop("n").alias("r")
+    same = (F.col("l.value") == F.col("r.value")) & (F.col("l.lo") == F.col("r.lo")) & (F.col("l.hi") == F.col("r.hi"))
+    once = (F.col("l.band") < F.col("r.band")) | ((F.col("l.lo") == F.col("l.hi")) & (F.col("l.rep") < F.col("r.rep")))
+    wanted = (F.col("l.component") != F.col("r.component")) & (F.col("l.outside") | F.col("r.outside"))
+    pairs = left.join(right, same & once & wanted).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
+    return pairs, useful.where(F.col("n") > PREFIX_LIST).select("rep").distinct()
+
+
+def remaining_edges(left: DataFrame, texts: DataFrame, reps: DataFrame, steps: Steps) -> DataFrame:
+    """(a, b): components of `left` that links between their texts join."""
+    entries = prefixes(left, texts, steps)
+    pairs, dense = prefix_pairs(entries, steps)
+    links = steps(confirmed(steps(promising(pairs, reps)), texts))
+    of = lambda c: left.select(F.col("rep").alias(c), F.col("component").alias(f"c{c}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    dense = steps(left.join(dense, "rep", "left_semi"))
+    steps.forget(entries)
+    return edges if dense.isEmpty() else edges.union(block_edges(dense, texts, steps))
+
+
 def block_edges(left: DataFrame, texts: DataFrame, steps: Steps) -> DataFrame:
     """(a, b): components of `left` that links between their texts join, as forests of blocks.
 
@@ -244,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = classes.select("n_shingles", "d1", "d2", "rep").join(components, F.col("rep") == F.col("id"), "left").select("n_shingles", "d1", "d2", reached)
     left = unresolved(pool, components, steps)
     if left is not None:
-        more = connected_components(steps(block_edges(left, texts, steps)))
+        more = connected_components(steps(remaining_edges(left, texts, classes, steps)))
         ids = ids.join(more, F.col("reached") == F.col("id"), "left").select("n_shingles", "d1", "d2", F.coalesce("component", "reached").alias("reached"))
     steps.forget(texts, pairs, pool)
 

@@ -78,10 +78,12 @@ def test_hot_groups_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == groups(rows)
 
 
-def test_hot_texts_that_no_star_links(spark, monkeypatch):
+@pytest.mark.parametrize("prefix_list", [64, 3])
+def test_hot_texts_that_no_star_links(spark, monkeypatch, prefix_list):
     """Copies of copies, each a few edits from the last: far ones are linked through those between only."""
     import random
 
+    monkeypatch.setattr(near_dedup, "PREFIX_LIST", prefix_list)
     monkeypatch.setattr(near_dedup, "LIST_SIZE", 3)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     rnd = random.Random(8)
@@ -97,6 +99,22 @@ def test_hot_texts_that_no_star_links(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == groups(rows)
 
 
+def test_a_passage_of_many_unlike_texts_needs_no_blocks(spark, monkeypatch):
+    """Texts of one passage, longer than the rest of each, and a pair of linked ones among them."""
+    import random
+
+    def blocks(*_):
+        raise AssertionError("compared in blocks")
+
+    monkeypatch.setattr(near_dedup, "block_edges", blocks)
+    rnd = random.Random(11)
+    passage = prose(rnd, 100)
+    rows = {i: passage + " " + " ".join(f"own{i}x{j}" for j in range(rnd.randint(40, 70))) for i in range(300)}
+    rows[500] = rows[7] + " and a few words more"
+    got = near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {**{i: i for i in range(300)}, 500: 7}
+
+
 def test_rows_without_near_copies(spark):
     base, other = texts()[1], texts()[5]
     near = base.replace(" ", "  ", 3)
