@@ -24,7 +24,7 @@ class Deployed:
     columns: list[str] = field(default_factory=list)
     medians: dict[str, float] = field(default_factory=dict)
     detectors: list[int] = field(default_factory=list)
-    threshold: float = 0.0
+    threshold: float | None = 0.0
     strict: bool = False
     weights: list[float] | None = None
 
@@ -48,16 +48,18 @@ class Deployed:
 
     def transform(self, raw: DataFrame, keys: list[str]) -> DataFrame:
         """(keys, bits, score, pred): the Hamming distance to the nearest detector, infinite without any, and whether it is within
-        the threshold; with weights the largest weighted similarity, 0 without any, and whether it reaches the threshold."""
+        the threshold; with weights the largest weighted similarity, 0 without any, and whether it reaches the threshold. Without
+        a threshold (None) the prediction is null."""
         known = F.array(*(F.lit(d).cast("bigint") for d in self.detectors)).cast("array<bigint>")
         measure = (lambda m: bits.weight_of(m, self.weights)) if self.weights else F.bit_count
         near = F.array_min(F.transform(known, lambda d: measure(d.bitwiseXOR(F.col("bits"))))).cast("double")
         score = F.coalesce(1 - near, F.lit(0.0)) if self.weights else F.coalesce(near, F.lit(float("inf")))
         scored = self.with_bits(raw, keys).withColumn("score", score)
+        limit = F.lit(self.threshold).cast("double")
         if self.weights:
-            hit = F.col("score") > self.threshold if self.strict else F.col("score") >= self.threshold
+            hit = F.col("score") > limit if self.strict else F.col("score") >= limit
         else:
-            hit = F.col("score") < self.threshold if self.strict else F.col("score") <= self.threshold
+            hit = F.col("score") < limit if self.strict else F.col("score") <= limit
         return scored.withColumn("pred", hit.cast("int"))
 
 
