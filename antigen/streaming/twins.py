@@ -15,8 +15,11 @@ def stream_of(spark: SparkSession, path: str, files: int | None = None) -> DataF
     folder, _, name = path.rpartition("/")
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
     if files:
-        return reader.option("maxFilesPerTrigger", files).parquet(path)
-    return reader.option("pathGlobFilter", name).parquet(folder)
+        reader = reader.option("maxFilesPerTrigger", files)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder)  # a stream reads folders; of this one, the file alone
 
 
 def resumed(df: DataFrame, path: str, stop: int | None = None) -> DataFrame:
