@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from antigen.functions.hashing import uniform_hash
 
-#: Logistic regression draws nothing, so its seeds agree.
+#: Each row's node ids stay with the executors (cacheNodeIds), else the driver sends all trees, as far as grown, for each
+#: group of nodes.
 MODELS = {
     "lr": lambda seed, **k: LogisticRegression(maxIter=1000, **k),
-    "dt": lambda seed, **k: DecisionTreeClassifier(maxDepth=20, minInstancesPerNode=2, seed=seed, **k),
-    "rf": lambda seed, **k: RandomForestClassifier(numTrees=200, maxDepth=20, seed=seed, **k),
+    "dt": lambda seed, **k: DecisionTreeClassifier(maxDepth=20, minInstancesPerNode=2, seed=seed, cacheNodeIds=True, **k),
+    "rf": lambda seed, **k: RandomForestClassifier(numTrees=200, maxDepth=20, seed=seed, cacheNodeIds=True, **k),
 }
+#: Models that draw nothing, so that one fit serves all seeds; and those whose trees fill the driver, fitted one at a time.
+UNSEEDED, LARGE = {"lr"}, {"rf"}
 #: Rows that a tree of the isolation forest is grown from.
 TREE_ROWS = 256
 
