@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from antigen.llm.common import by_bytes, held, table
 
-#: Distinct pieces whose ids a worker keeps, about 25 MB; it changes speed only.
-MEMO_PIECES = 100_000
+#: Distinct pieces whose ids a worker keeps in each of two generations, about 50 MB each; it changes speed only.
+MEMO_PIECES = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -60,6 +61,7 @@ class ByteBpe:
     def __init__(self, content: bytes, pattern: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share out the cores already
         self.tokenizer = Tokenizer.from_str(content.decode())
         back = {c: b for b, c in enumerate(byte_characters())}
         self.bytes_of = {n: bytes(map(back.__getitem__, t)) for t, n in self.tokenizer.get_vocab(False).items()}
@@ -67,16 +69,21 @@ class ByteBpe:
         self.one = {n: (n,) for n in self.bytes_of}
         self.pieces = regex.compile(pattern).findall
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def decode(self, ids) -> bytes:
         """The bytes of the ids; characters that tokens share are whole again once their tokens stand side by side."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes the pieces that are new. A memo that is full starts anew with what the present texts need."""
+        """Encodes the pieces that are new. A memo that is full becomes the old one, from which pieces that come again are
+        taken over, so frequent ones are encoded once."""
         if len(self.memo) + len(pieces) > MEMO_PIECES:
-            self.memo = {p: self.memo[p] for p in pieces if p in self.memo}
+            self.memo, self.old = {}, self.memo
         new = [p for p in pieces if p not in self.memo]
+        if self.old:
+            self.memo |= {p: self.old[p] for p in new if p in self.old}
+            new = [p for p in new if p not in self.old]
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
             for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):

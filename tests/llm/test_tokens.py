@@ -113,3 +113,27 @@ def test_a_full_memo_starts_anew(reference, monkeypatch):
         text = " ".join(str(rnd.randint(0, 999)) for _ in range(9))
         assert own.encode([text, None]) == [reference.encode_ordinary(text), []]
     assert len(own.memo) < 40
+
+
+def test_frequent_pieces_are_encoded_once(monkeypatch):
+    """However many rare pieces pass through a memo that is soon full; ids stay the same."""
+    import public_tokenizers
+
+    from antigen.llm import byte_bpe
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        content = byte_bpe.vocabulary(f.read())
+    texts = [f"the frequent words and rare{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    want = byte_bpe.ByteBpe(content, public_tokenizers.PATTERN).encode(texts)
+    monkeypatch.setattr(byte_bpe, "MEMO_PIECES", 20)
+    small = byte_bpe.ByteBpe(content, public_tokenizers.PATTERN)
+    encoded = []
+
+    class Counting:
+        def encode_batch_fast(self, part, **k):
+            encoded.extend(part)
+            return own.encode_batch_fast(part, **k)
+
+    own, small.tokenizer = small.tokenizer, Counting()
+    assert [small.encode([t])[0] for t in texts] == want
+    assert encoded.count(" frequent") == encoded.count(" words") == 1 and len(small.memo) <= 20 and len(small.old) <= 20
