@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from antigen.functions.hashing import uniform_hash
+from antigen.operators import forest
 
 #: Each row's node ids stay with the executors (cacheNodeIds), else the driver sends all trees, as far as grown, for each
 #: group of nodes.
@@ -22,7 +23,7 @@ MODELS = {
     "dt": lambda seed, **k: DecisionTreeClassifier(maxDepth=20, minInstancesPerNode=2, seed=seed, cacheNodeIds=True, **k),
     "rf": lambda seed, **k: RandomForestClassifier(numTrees=200, maxDepth=20, seed=seed, cacheNodeIds=True, **k),
 }
-#: Models that draw nothing, so that one fit serves all seeds; and those whose trees fill the driver, fitted one at a time.
+#: Models that draw nothing, so that one fit serves all seeds; and those that are fitted one at a time, as each fills the cluster.
 UNSEEDED, LARGE = {"lr"}, {"rf"}
 #: Rows that a tree of the isolation forest is grown from.
 TREE_ROWS = 256
@@ -36,7 +37,10 @@ def class_weighted(df: DataFrame, y: str = "y") -> DataFrame:
 
 
 def scores(train: DataFrame, rows: DataFrame, features: list[str], model: str, y: str = "y", seed: int = 42) -> DataFrame:
-    """Adds `score`, the probability of class 1."""
+    """Adds `score`, the probability of class 1. Forests take their parameters from MLlib, but its trees would all be gathered on
+    the driver, so they are grown in the tasks."""
+    if model in LARGE:
+        return forest.scores(train, rows, features, MODELS[model](seed), y)
     assemble = VectorAssembler(inputCols=features, outputCol="_v").transform
     fitted = MODELS[model](seed, featuresCol="_v", labelCol=y, weightCol="weight").fit(assemble(class_weighted(train, y)))
     return fitted.transform(assemble(rows)).withColumn("score", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
