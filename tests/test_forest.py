@@ -8,6 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from antigen.operators import baselines, forest
+from antigen.plans import registry
 
 
 def rows(spark, n=400, seed=3):
@@ -100,6 +101,18 @@ def test_no_tree_reaches_the_driver(spark, monkeypatch):
     assert sum(len(t.f) for t in held[0][0]) == 5
 
 
+@pytest.mark.parametrize("name, runs", [("baseline_grid", 24)])
+def test_queries_gather_no_forest(spark, monkeypatch, name, runs):
+    """With ten trees rather than 200, as only where they grow is held here."""
+    def gathers(*_):
+        raise AssertionError("a forest was gathered on the driver")
+
+    monkeypatch.setattr(RandomForestClassifier, "_fit", gathers)
+    monkeypatch.setitem(baselines.MODELS, "rf", lambda seed, **k: RandomForestClassifier(numTrees=10, maxDepth=20, seed=seed, **k))
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == runs and any("rf" in r for r in got)
+
+
 def test_labels_and_values_that_a_forest_does_not_take(spark):
     of = RandomForestClassifier(numTrees=3)
     for bad, said in (("SELECT 1.0D AS a, 2 AS y", "labels"), ("SELECT 1.0D AS a, 1 AS y WHERE false", "labels"), ("SELECT CAST(null AS double) AS a, 1 AS y", "missing")):
